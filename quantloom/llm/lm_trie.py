@@ -29,8 +29,10 @@ END = "\n"  # never a word, since words hold no white space
 #: Codes of the quantiser cover log10 values from -LOG_RANGE to 0.
 LOG_RANGE = 12.0
 SHARDS = 16
-CHUNK = 1 << 17
+SHARD_ROWS = 4_000_000
+CHUNK = 1 << 18
 _ONES = np.array([[i for i in range(8) if b >> i & 1] + [0] * (8 - bin(b).count("1")) for b in range(256)], np.int64)
+_U, _BYTES = np.uint64, np.uint64(0x0101010101010101)
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -46,6 +48,7 @@ class EliasFano:
 
     def __init__(self, n: int, bits: int, low, high, ones):
         self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
+        self.words, self.zeros = high.view(np.uint64), np.arange(len(ones), dtype=np.int64) * 64 - ones
 
     @classmethod
     def build(cls, x: np.ndarray) -> EliasFano:
@@ -69,31 +72,44 @@ class EliasFano:
     def open(cls, stem: str, n: int, bits: int) -> EliasFano:
         return cls(n, bits, *(np.load(f"{stem}.{p}.npy", mmap_mode="r") for p in ("low", "high", "ones")))
 
+    def _select(self, words: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Place of the r-th one within 64-bit words, through the running counts of their bytes."""
+        per = np.bitwise_count(words.view(np.uint8)).view(np.uint64) * _BYTES
+        r = r.astype(np.uint64)
+        byte = np.bitwise_count(((r * _BYTES | _BYTES << _U(7)) - per) & _BYTES << _U(7)).astype(np.uint64)
+        left = r - (((per << _U(8)) >> (byte << _U(3))) & _U(255))
+        return (byte << _U(3)).astype(np.int64) + _ONES[((words >> (byte << _U(3))) & _U(255)).astype(np.int64), left.astype(np.int64)]
+
     def get(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i, "right") - 1
-        left, byte = i - self.ones[word], word * 8
-        for _ in range(7):
-            here = np.bitwise_count(self.high[byte]).astype(np.int64)
-            go = left >= here
-            left, byte = np.where(go, left - here, left), np.where(go, byte + 1, byte)
-        at = byte * 8 + _ONES[self.high[byte], left]
+        at = word * 64 + self._select(self.words[word], i - self.ones[word])
         return ((at - i) << self.bits) | self.low[i].astype(np.int64)
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero."""
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        return word * 64 + self._select(~self.words[word], k - self.zeros[word])
+
     def find(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Index of value in [lo, hi), or -1."""
-        end, lo, hi = hi, lo.copy(), hi.copy()
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.get(mid) < value[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
+        """Index of value in [lo, hi), or -1: the zeros around its high part bound the few candidates, whose low bits are searched."""
         found = np.full(len(value), -1, np.int64)
-        ok = np.flatnonzero(lo < end)
-        hit = ok[self.get(lo[ok]) == value[ok]]
-        found[hit] = lo[hit]
+        if not self.n:
+            return found
+        last = int(self.get(np.array([self.n - 1]))[0]) >> self.bits
+        ok = np.flatnonzero((lo < hi) & (value >= 0) & (value >> self.bits <= last))
+        value, high = value[ok], value[ok] >> self.bits
+        lo = np.maximum(lo[ok], np.where(high > 0, self._zero(np.maximum(high, 1) - 1) + 1 - high, 0))
+        hi = end = np.minimum(hi[ok], np.where(high < last, self._zero(np.minimum(high, max(last - 1, 0))) - high, self.n))
+        low = value & ((1 << self.bits) - 1)
+        while len(more := np.flatnonzero(lo < hi)):
+            mid = (lo[more] + hi[more]) >> 1
+            less = self.low[mid].astype(np.int64) < low[more]
+            lo[more[less]] = mid[less] + 1
+            hi = hi.copy() if hi is end else hi
+            hi[more[~less]] = mid[~less]
+        here = np.flatnonzero(lo < end)
+        hit = here[self.low[lo[here]].astype(np.int64) == low[here]]
+        found[ok[hit]] = lo[hit]
         return found
 
 
@@ -148,7 +164,7 @@ def bigram_counts(texts: DataFrame) -> DataFrame:
             yield add()
 
     counts = texts.mapInPandas(run, "u long, w long, n long")
-    return counts.groupBy("u", "w").agg(F.sum("n").alias("n"))
+    return counts.repartition("u", "w").groupBy("u", "w").agg(F.sum("n").alias("n"))  # batches are aggregated already
 
 
 class Vocabulary:
@@ -202,14 +218,19 @@ class Trie:
             ctx = u[at] - s["u0"]
             ok = ctx < s["contexts"]
             at, ctx = at[ok], ctx[ok]
-            i = suc.find(ctx * self.width + w[at], ptr.get(ctx), ptr.get(ctx + 1))
+            each, back = np.unique(ctx, return_inverse=True)
+            i = suc.find(ctx * self.width + w[at], ptr.get(each)[back], ptr.get(each + 1)[back])
             out[at[i >= 0]] = restore(prob[i[i >= 0]])
         return out
 
 
 def build(counts: DataFrame, discount: float = DISCOUNT, shards: int = SHARDS) -> tuple[str, dict]:
-    """Write both levels under the shared folder; returns the folder and the small description of its parts."""
+    """Write both levels under the shared folder; returns the folder and the small description of its parts.
+
+    `shards` is the least number of parts; more are used where a part would hold over SHARD_ROWS pairs.
+    """
     spark = counts.sparkSession
+    shards = max(shards, -(-counts.count() // SHARD_ROWS))
     root = posix(shared_dir(spark))
     os.makedirs(root, exist_ok=True)
     types = counts.groupBy("u").agg(F.count("*").alias("t")).withColumnRenamed("u", "h")
@@ -277,24 +298,38 @@ def trie_at(root: str, meta: dict) -> Trie:
     return _OPEN[root]
 
 
-def score_text(text: str, trie: Trie, known: dict):
-    """n_tokens, n_known, base_score, score; long texts go through in chunks."""
-    w = hashed(text, known)
-    u = np.concatenate([[_hash(END)], w[:-1]])
-    n_known, base, score = 0, 0.0, 0.0
-    for lo in range(0, len(w), CHUNK):
-        a, b = u[lo : lo + CHUNK], w[lo : lo + CHUNK]
+def score_texts(texts: list[str], trie: Trie, known: dict) -> pd.DataFrame:
+    """n_tokens, n_known, base_score, score per text; tokens of many texts are looked up together, CHUNK at a time."""
+    n = len(texts)
+    sizes, n_known, base, score = (np.zeros(n) for _ in range(4))
+    end = _hash(END)
+    held, size = [], 0
+
+    def add():
+        at = np.concatenate([np.full(len(w), i) for i, _, w in held])
+        a, b = (np.concatenate([p[k] for p in held]) for k in (1, 2))
         hs, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-        ids, n, g = trie.words.look(hs)
+        ids, c, g = trie.words.look(hs)
         ia, ib = inv[: len(a)], inv[len(a) :]
         pairs, back = np.unique(ia * len(hs) + ib, return_inverse=True)
         x, y = pairs // len(hs), pairs % len(hs)
-        one = trie.unigram(n)
+        one = trie.unigram(c)
         p = (trie.bigram(ids[x], ids[y]) + g[x] * one[y])[back]
-        n_known += int((n[ib] > 0).sum())
-        base += float(np.log10(one[ib]).sum())
-        score += float(np.log10(p).sum())
-    return len(w), n_known, base, score
+        for total, part in ((sizes, np.ones(len(at))), (n_known, c[ib] > 0), (base, np.log10(one[ib])), (score, np.log10(p))):
+            total += np.bincount(at, part, n)
+
+    for i, t in enumerate(texts):
+        w = hashed(t, known)
+        u = np.concatenate([[end], w[:-1]])
+        for lo in range(0, len(w), CHUNK):
+            held.append((i, u[lo : lo + CHUNK], w[lo : lo + CHUNK]))
+            size += len(held[-1][1])
+            if size >= CHUNK:
+                add()
+                held, size = [], 0
+    if held:
+        add()
+    return pd.DataFrame({"n_tokens": sizes.astype(np.int64), "n_known": n_known.astype(np.int64), "base_score": base, "score": score})
 
 
 def score_documents(docs: DataFrame, train=None) -> DataFrame:
@@ -307,8 +342,7 @@ def score_documents(docs: DataFrame, train=None) -> DataFrame:
     def run(batches):
         trie, known = trie_at(root, meta), {}
         for b in batches:
-            rows = [score_text(t, trie, known) for t in b["t"]]
-            out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score"])
+            out = score_texts(b["t"].tolist(), trie, known)
             yield pd.concat([b[["doc_id", "held_out"]].reset_index(drop=True), out], axis=1).assign(train_tokens=meta["total"])
 
     types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long"
