@@ -53,12 +53,12 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """docs plus fp long."""
 
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t) for t in text], dtype="int64")
+        return pd.Series([fingerprint(t, size) for t in text], dtype="int64")
 
     return docs.withColumn("fp", fp(ascii_lower(F.coalesce("text", F.lit("")))))
 
@@ -76,7 +76,7 @@ def near_codewords(part: np.ndarray, code: np.ndarray):
     return np.bitwise_count(part[:, None] ^ code[None, :]).astype(np.uint8)
 
 
-def replicas(fps: DataFrame) -> DataFrame:
+def replicas(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """fp, anchor, home for every anchor within covering radius plus threshold."""
 
     def run(batches):
@@ -86,25 +86,25 @@ def replicas(fps: DataFrame) -> DataFrame:
                 fp = b["fp"].to_numpy()[lo : lo + 512].astype(np.int64)
                 d1, d2 = near_codewords(fp & HALF, code), near_codewords((fp >> 23) & HALF, code)
                 e1, e2 = np.maximum(d1, 3) - 3, np.maximum(d2, 3) - 3
-                r1, c1 = np.nonzero(e1 <= MAX_BITS)
-                r2, c2 = np.nonzero(e2 <= MAX_BITS)
+                r1, c1 = np.nonzero(e1 <= bits)
+                r2, c2 = np.nonzero(e2 <= bits)
                 starts, ends = np.searchsorted(r2, r1, "left"), np.searchsorted(r2, r1, "right")
                 k = ends - starts
                 left = np.repeat(np.arange(len(r1)), k)
                 right = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(starts, k)
                 x, y = e1[r1[left], c1[left]], e2[r2[right], c2[right]]
-                ok = x + y <= MAX_BITS
+                ok = x + y <= bits
                 left, right, home = left[ok], right[ok], (x + y == 0)[ok]
                 yield pd.DataFrame({"fp": fp[r1[left]], "anchor": c1[left] * 4096 + c2[right], "home": home})
 
     return fps.select("fp").mapInPandas(run, "fp long, anchor int, home boolean")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """u, v: pairs u < v of distinct fingerprints within MAX_BITS."""
-    reps = materialise(replicas(fps))
+def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """u, v: pairs u < v of distinct fingerprints within `bits`."""
+    reps = materialise(replicas(fps, bits))
     home, away = reps.where("home").select("anchor", F.col("fp").alias("v")), reps.select("anchor", F.col("fp").alias("u"))
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits
     pairs = away.join(home, (away["anchor"] == home["anchor"]) & (F.col("u") != F.col("v")) & near)
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -130,11 +130,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return star.select(F.col("a").alias("node"), F.col("b").alias("root")).union(star.select("b", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
-    ids = materialise(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
+    ids = materialise(fingerprints(docs.select("doc_id", "text"), size).select("doc_id", "fp"))
     fps = materialise(ids.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    comp = components(links(fps))
+    comp = components(links(fps, bits))
     of = fps.join(comp, fps["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     out = of.join(least, "root").select("fp", "component_id")
