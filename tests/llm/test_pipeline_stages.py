@@ -29,3 +29,10 @@ def test_near_duplicates_reach_jaccard(spark):
     assert len({root[4], root[5], root[6], root[1], root[100]}) == 5
     assert len({root[100 + i] for i in range(40)}) == 1
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 4, 5, 6, 100]
+
+
+def test_near_duplicates_keep_null_ids_and_unlinked_texts(spark):
+    a, b, c, d = (" ".join(prose(s, 60)) for s in (11, 12, 13, 14))
+    rows = [(None, a, "", "", 0), (7, b, "", "", 0), (7, c, "", "", 0), (None, d, "", "", 0), (9, d, "", "", 0), (9, d, "", "", 0)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("None", a), ("7", b), ("7", c), ("9", d)])
