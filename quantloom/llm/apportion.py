@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import words
+from quantloom.llm.common import materialise, words
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -89,8 +89,30 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return one.join(g, F.col("source").eqNullSafe(F.col("_src"))).select("doc_id", "source", "_th", "size", "source_size", "target", "taken")
 
 
-def taken_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The documents that the mix takes at all, in the columns of docs; copies of one doc_id and text go together."""
-    chosen = mix(docs, seed).where("taken > 0").select(F.col("doc_id").alias("_d"), "_th").distinct()
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix in whole documents, in the columns of docs: each document as often as it is taken.
+
+    A source's quota is what the mix takes of it. Every document is there quota div size times, and the first ones in seeded order
+    once more, as far as their middle lies in the rest; so a source misses its quota by half a document at most. Rows of one doc_id
+    and text go together.
+    """
+    m = materialise(mix(docs, seed))
+    quota = m.groupBy("source").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_quota"))
+    shards = m.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // SHARD_WORDS + 8
+    units = m.where("size > 0").groupBy("doc_id", "source", "_th").agg(F.sum("size").alias("_words"))
+    h = F.xxhash64("doc_id", "_th", F.lit(seed + 1))
+    units = materialise(units.withColumn("_g", F.pmod(h, F.lit(shards))))
+    order = Window.partitionBy("source", "_g").orderBy(F.xxhash64(F.lit(seed + 1), "_th", "doc_id"), "doc_id", "_th")
+    units = units.withColumn("_to", F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    cells = units.groupBy("source", "_g").agg(F.sum("_words").alias("_w"))
+    before = Window.partitionBy("source").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_base", F.coalesce(F.sum("_w").over(before), F.lit(0)))
+    cells = cells.join(quota.withColumnRenamed("source", "_q"), F.col("source").eqNullSafe(F.col("_q"))).select(
+        F.col("source").alias("_s2"), F.col("_g").alias("_g2"), "_base", F.floor(F.col("_quota") / F.col("_size")).alias("_turns"), (F.col("_quota") % F.col("_size")).alias("_rest")
+    )
+    units = units.join(cells, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_g") == F.col("_g2")))
+    more = (F.col("_base") + F.col("_to") - F.col("_words") / 2 <= F.col("_rest")).cast("int")
+    units = units.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_th", (F.col("_turns").cast("int") + more).alias("_copies")).where("_copies > 0")
     keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(chosen, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_th")), "left_semi").select(*docs.columns)
+    same = keyed["doc_id"].eqNullSafe(F.col("_d")) & keyed["source"].eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_th"))
+    return keyed.join(units, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from quantloom.llm import shingle_join
+from quantloom.llm import apportion, shingle_join
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,3 +36,17 @@ def test_near_duplicates_keep_null_ids_and_unlinked_texts(spark):
     rows = [(None, a, "", "", 0), (7, b, "", "", 0), (7, c, "", "", 0), (None, d, "", "", 0), (9, d, "", "", 0), (9, d, "", "", 0)]
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("None", a), ("7", b), ("7", c), ("9", d)])
+
+
+def test_mixing_meets_targets(spark):
+    sizes = {"a": 300, "b": 300, "c": 60, None: 300}
+    rows = [(i * 1000 + j, " ".join(prose(i * 1000 + j, 40 + j % 20)), "", s, 0) for i, (s, n) in enumerate(sizes.items()) for j in range(n)]
+    df = spark.createDataFrame(rows, DOCS)
+    totals = {r.source: (r.source_size, r.target) for r in apportion.mix(df).select("source", "source_size", "target").distinct().collect()}
+    out = corpus_pipeline.mixing(spark, df, "").collect()
+    words, copies = Counter(), Counter(r.doc_id for r in out)
+    for r in out:
+        words[r.source] += len(r.text.split())
+    for s, (size, target) in totals.items():
+        assert abs(words[s] - target) <= 0.03 * size, (s, words[s], target)
+    assert max(copies.values()) in (2, 3)
