@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, with DataFrame functions only.
 
-Documents are dealt to shards by a hash; a (source, shard) is laid out in seeded order and cut into blocks of equal words. In each
+Documents are dealt to shards by a hash; a (source, shard) is laid out in seeded order and cut into blocks of equal words; a small
+source has smaller blocks and fewer shards. In each
 shard, blocks are allocated to sources by the highest quotients target / (2k + 1); a source's quota q over its n blocks takes every
 block q div n times and q mod n blocks, chosen by a seeded permutation, once more. A document is taken as far as its blocks are.
 
@@ -19,6 +20,8 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SHARD_WORDS = 2_000_000
 SHARD_BLOCKS = 1 << 14
+#: A source has so many blocks in each of its shards, and in all if it has so many words.
+CELL_BLOCKS = 128
 SEED = 7
 #: Fixed value: a prime over any count of blocks, to permute them.
 PRIME = 2_147_483_647
@@ -54,16 +57,20 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     block = max(1, total // (shards * SHARD_BLOCKS))
     goal = targets(totals)
 
-    lean = lean.withColumn("_g", F.pmod(F.xxhash64("doc_id", "_th", F.lit(seed)), F.lit(shards)))
+    # Small sources have smaller blocks and fewer shards, so that no cell rounds to nothing; their shards start at a seeded one.
+    own = goal.withColumn("_block", F.greatest(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), F.floor(F.col("source_size") / CELL_BLOCKS))))
+    own = own.withColumn("_spread", F.greatest(F.lit(1).cast("long"), F.least(F.lit(shards).cast("long"), F.floor(F.col("source_size") / (F.col("_block") * CELL_BLOCKS)))))
+    own = own.select(F.col("source").alias("_src"), "source_size", "target", "_block", "_spread")
+    lean = lean.join(own, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    lean = lean.withColumn("_g", F.pmod(F.pmod(F.xxhash64("doc_id", "_th", F.lit(seed)), F.col("_spread")) + F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(shards)), F.lit(shards)))
     inner = Window.partitionBy("source", "_g").orderBy(F.xxhash64(F.lit(seed), "_th", "doc_id"), "doc_id", "_th")
     lean = lean.withColumn("_to", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     group = Window.partitionBy("source", "_g")
     lean = lean.withColumn("_all", F.sum("size").over(group)).withColumn("_same", F.count("*").over(Window.partitionBy("source", "_g", "doc_id", "_th")))
-    cells = lean.groupBy("source", "_g").agg(F.sum("size").alias("_words")).where("_words > 0")
-    g = goal.select(F.col("source").alias("_src"), "source_size", "target")
-    cells = cells.join(g, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
-    cells = cells.withColumn("_vote", F.col("target") * F.col("_words") / F.col("source_size") / block)
-    cells = cells.withColumn("_n", F.ceil(F.col("_words") / block)).withColumn("_most", F.col("_n") * MAX_EPOCHS)
+    cells = lean.groupBy("source", "_g", "source_size", "target", "_block").agg(F.sum("size").alias("_words")).where("_words > 0")
+    # A seat is one of the cell's _n blocks, so votes count blocks as well.
+    cells = cells.withColumn("_n", F.ceil(F.col("_words") / F.col("_block"))).withColumn("_most", F.col("_n") * MAX_EPOCHS)
+    cells = cells.withColumn("_vote", F.col("target") * F.col("_n") / F.col("source_size"))
     seats = cells.groupBy("_g").agg(F.round(F.sum("_vote")).alias("_seats"))
     last = F.least(F.col("_most"), F.ceil("_vote") + 1) - 1
     bids = cells.select("source", "_g", "_vote", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_k"))
@@ -73,20 +80,19 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     won = won.select(F.col("source").alias("_s2"), F.col("_g").alias("_g2"), "_quota")
 
     one = lean.join(won, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_g") == F.col("_g2")), "left").drop("_s2", "_g2")
-    one = one.withColumn("_n", F.greatest(F.ceil(F.col("_all") / block), F.lit(1).cast("long"))).withColumn("_quota", F.coalesce("_quota", F.lit(0)))
+    one = one.withColumn("_n", F.greatest(F.ceil(F.col("_all") / F.col("_block")), F.lit(1).cast("long"))).withColumn("_quota", F.coalesce("_quota", F.lit(0)))
     one = one.withColumn("_from", F.col("_to") - F.col("size")).withColumn("_shift", F.xxhash64("source", "_g", F.lit(seed)))
     one = one.withColumn("_more", F.col("_quota") % F.col("_n")).withColumn("_turns", F.floor(F.col("_quota") / F.col("_n")))
 
     def part(b):
         chosen = F.pmod(b * F.pmod(F.lit(PRIME), F.col("_n")) + F.pmod(F.col("_shift"), F.col("_n")), F.col("_n")) < F.col("_more")
-        words_in = F.least(F.col("_to"), (b + 1) * block) - F.greatest(F.col("_from"), b * block)
+        words_in = F.least(F.col("_to"), (b + 1) * F.col("_block")) - F.greatest(F.col("_from"), b * F.col("_block"))
         return F.when(chosen, words_in).otherwise(F.lit(0).cast("long"))
 
-    blocks = F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))
+    blocks = F.sequence(F.floor(F.col("_from") / F.col("_block")), F.floor((F.col("_to") - 1) / F.col("_block")))
     extra = F.aggregate(F.transform(blocks, part), F.lit(0).cast("long"), lambda a, x: a + x)
     one = one.withColumn("taken", F.when(F.col("size") == 0, 0).otherwise(F.col("_turns") * F.col("size") + extra).cast("long"))
-    g = goal.select(F.col("source").alias("_src"), "source_size", "target")
-    return one.join(g, F.col("source").eqNullSafe(F.col("_src"))).select("doc_id", "source", "_th", "size", "source_size", "target", "taken")
+    return one.select("doc_id", "source", "_th", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:

@@ -28,12 +28,7 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.with_probe(read(spark, sf_dir, "conversations"))
-    spans = chat_format.examples(turns)
-    n = spans.groupBy("conv_id").agg(F.count("*").alias("n_examples"), F.sum(F.col("target_end") - F.col("target_start")).alias("target_chars"))
-    back = chat_format.read_back(chat_format.chunks(turns))
-    n = n.withColumnRenamed("conv_id", "_c")
-    out = back.join(n, back["conv_id"].eqNullSafe(F.col("_c")), "left").drop("_c")
-    return out.withColumn("n_examples", F.coalesce("n_examples", F.lit(0))).withColumn("target_chars", F.coalesce("target_chars", F.lit(0)))
+    return chat_format.read_back(chat_format.chunks(turns))
 
 
 def op4_bpe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
