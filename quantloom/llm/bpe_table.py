@@ -1,125 +1,198 @@
 """BPE encoding by a table of distinct words, and decoding by an id-to-piece join.
 
-Texts are split at white space in Spark, each distinct word is encoded once by the tokenizer, and ids go back by position. A word
-table of at most `max_table_bytes` (measured, not assumed) is broadcast; a larger one is joined by shuffle, position by position.
-The id-to-piece table is bounded by the tokenizer's vocabulary, hence always broadcast.
+Texts are split into words in Spark and every distinct word is encoded once by the tokenizer; ids go back by position.
 
-White space separates words for this tokenizer's normaliser and pre-tokenizer, and its special tokens hold none, so encoding word
-by word equals encoding the text. Null or empty text: no ids, decoded to ''. Rows that repeat a doc_id are each encoded.
+- The head holds the words that a bounded, hashed sample of the texts repeats (at most HEAD_WORDS words of at most HEAD_BYTES bytes, so
+  its size is bounded at any input size). It is encoded first and given to all tasks.
+- All other words, the tail, are shuffled by word, encoded once each, and sent back to the blocks of documents that hold them.
+- A document travels to its block as codes of head words and a list of its tail words, not as text.
+
+Both ways always run; the sample changes their shares and never the ids. Blocks are chosen by a hash of the row, so their number grows
+with the data and a group of copies is dealt over all of them; only rows equal in all columns share a block.
+
+A cut between words is where the tokenizer's pre-tokenizer cuts anyway: at white space, and between a Latin letter or digit and the
+marks that end a word. Its special tokens hold neither. Null or empty text: no ids, decoded to ''. Rows that repeat a doc_id are each
+encoded. An empty table gives an empty result. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from quantloom.llm.common import materialise
+from quantloom.llm.common import private
 
 #: The characters with Unicode property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-MAX_TABLE_BYTES = 192 << 20
-PARTS = 64
+#: Letters before and marks after a cut inside white space's runs.
+LETTER, MARK = "0-9A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f", ",.;:!?"
+HEAD_WORDS = 1 << 17
+HEAD_BYTES = 256
+SAMPLE_DOCS = 10_000
+BLOCK_BYTES = 8 << 20
 
 
-def _java_class() -> str:
-    return "[" + re.sub(r"\\x([0-9a-f]{2})", r"\\u00\1", WHITE) + "]+"
+def _java_split() -> str:
+    white = re.sub(r"\\x([0-9a-f]{2})", r"\\u00\1", WHITE)
+    return f"[{white}]+|(?<=[{LETTER}])(?=[{MARK}]+(?:[{white}]|$))"
 
 
 def split_words(text):
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _java_class()), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), _java_split()), lambda w: w != "")
+
 
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """word, ids: every distinct word of the texts, encoded once."""
-    distinct = docs.select(F.explode(split_words(F.col("text"))).alias("word")).distinct()
 
-    def encode(batches):
-        from tokenizers import Tokenizer
+def _encode(tok, words: list[str]) -> list[list[int]]:
+    return [e.ids for i in range(0, len(words), 2000) for e in tok.encode_batch(words[i : i + 2000], add_special_tokens=False)]
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
+
+def head_table(docs: DataFrame, path: str, text: str, rows: int) -> pa.Table:
+    """word, ids of the words that the sample repeats, the most frequent first; at most HEAD_WORDS."""
+    some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(max(1, rows))) < SAMPLE_DOCS)
+    counts = some.select(F.explode(split_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = counts.where((F.col("n") > 1) & (F.octet_length("word") <= HEAD_BYTES))
+    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()]
+    return pa.table({"word": pa.array(words, pa.string()), "ids": pa.array(_encode(_tokenizer(path), words), pa.list_(pa.int32()))})
+
+
+def _tail_words(shared):
+    """block, word: the distinct tail words of each batch's blocks."""
+
+    def run(batches):
+        head = shared.value.column("word").combine_chunks()
         for b in batches:
-            ws = b["word"].tolist()
-            for i in range(0, len(ws), 2000):
-                part = ws[i : i + 2000]
-                ids = [e.ids for e in tok.encode_batch(part, add_special_tokens=False)]
-                yield pd.DataFrame({"word": part, "ids": ids})
-
-    return materialise(distinct.mapInPandas(encode, "word string, ids array<int>"))
-
-
-def _lookup(table: DataFrame, rows: int):
-    words, ids = [], []
-    for r in table.toLocalIterator():
-        words.append(r["word"])
-        ids.append(np.asarray(r["ids"], np.int32))
-    return words, ids
-
-
-def encode(docs: DataFrame, path: str, max_table_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
-    """docs plus ids array<int>."""
-    spark = docs.sparkSession
-    table = word_table(docs, path)
-    n, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("ids") + 120), F.lit(0))).first()
-    if size > max_table_bytes:
-        return _encode_shuffled(docs, table)
-    shared = spark.sparkContext.broadcast(_lookup(table, n))
-    cache: dict = {}
-
-    @F.pandas_udf("array<int>")
-    def ids_of(text: pd.Series) -> pd.Series:
-        if not cache:
-            cache.update(zip(*shared.value))
-        out = []
-        for t in text:
-            found = [cache[w] for w in re.split(f"[{WHITE}]+", t or "") if w]
-            out.append(np.concatenate(found) if found else np.zeros(0, np.int32))
-        return pd.Series(out)
-
-    return docs.withColumn("ids", ids_of(F.coalesce("text", F.lit(""))))
-
-
-def _encode_shuffled(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """The same by a shuffled join on the word; frequent words are dealt over PARTS salts."""
-    base = materialise(docs.withColumn("_row", F.expr("uuid()")))
-    at = base.select("_row", F.posexplode(split_words(F.col("text"))).alias("_p", "word"))
-    at = at.withColumn("_s", F.pmod(F.xxhash64("_row", "_p"), F.lit(PARTS)))
-    salted = table.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-    back = at.join(salted, ["word", "_s"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_p", "ids"))).alias("_l"))
-    ids = F.coalesce(F.flatten(F.transform("_l", lambda x: x["ids"])), F.array().cast("array<int>"))
-    return base.join(back, "_row", "left").withColumn("ids", ids).drop("_row", "_l")
-
-
-def pieces(path: str) -> list[str]:
-    from tokenizers import Tokenizer
+            ws = b.column("words")
+            flat = ws.flatten()
+            tail = pc.invert(pc.is_in(flat, value_set=head))
+            block = pa.array(np.repeat(b.column("block").to_numpy(), np.diff(ws.offsets.to_numpy())))
+            pairs = pa.table({"block": block.filter(tail), "word": flat.filter(tail)}).group_by(["block", "word"]).aggregate([])
+            yield from pairs.to_batches()
 
-    tok = Tokenizer.from_file(path)
-    return [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
+    return run
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded plus decoded: the pieces of the ids joined by one blank (this tokenizer has no decoder)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces(path))
+def _encoded_words(path: str):
+    """block, word, ids from rows sorted by word: each word is encoded once."""
 
-    @F.pandas_udf("string")
-    def text_of(ids: pd.Series) -> pd.Series:
-        table = shared.value
-        return pd.Series([" ".join([table[i] for i in x]) for x in ids], dtype=object)
+    def run(batches):
+        tok, last = _tokenizer(path), (None, None)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = b.column("word").dictionary_encode()
+            words = d.dictionary.to_pylist()
+            known = words[0] == last[0]
+            ids = ([last[1]] if known else []) + _encode(tok, words[known:])
+            last = words[-1], ids[-1]
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("word"), pa.array(ids, pa.list_(pa.int32())).take(d.indices)], ["block", "word", "ids"])
 
-    return encoded.withColumn("decoded", text_of("ids"))
+    return run
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """encoded plus n_tokens and ids_sha256."""
+def _coded(shared):
+    """block, row, n, codes, tail: the places of head words in the head, -1 for the tail words, which follow as strings."""
+
+    def run(batches):
+        head = shared.value.column("word").combine_chunks()
+        for b in batches:
+            ws = b.column("words")
+            flat, at = ws.flatten(), ws.offsets.to_numpy()
+            at = at - at[0]
+            code = pc.fill_null(pc.index_in(flat, value_set=head), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+            planes = [code[lo:hi].view(np.uint8).reshape(-1, 4).T.tobytes() for lo, hi in zip(at[:-1], at[1:])]
+            codes = [pa.compress(x, codec="zstd", asbytes=True) if x else b"" for x in planes]
+            missing = np.concatenate([[0], np.cumsum(code < 0)])[at].astype(np.int32)
+            tail = pa.ListArray.from_arrays(pa.array(missing), flat.filter(pa.array(code < 0)))
+            out = [b.column("block"), b.column("row"), pa.array(np.diff(at).astype(np.int32)), pa.array(codes, pa.binary()), tail]
+            yield pa.RecordBatch.from_arrays(out, ["block", "row", "n", "codes", "tail"])
+
+    return run
+
+
+def _assembled(shared):
+    """row, ids: the ids of one block of documents, put together by position from the head and the block's tail words."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        head = shared.value.column("ids").combine_chunks()
+        own = right.column("ids").combine_chunks()
+        lens = np.concatenate([np.diff(x.offsets.to_numpy()) for x in (head, own)]).astype(np.int64)
+        flat = np.concatenate([x.flatten().to_numpy() for x in (head, own)])
+        starts = np.cumsum(lens) - lens
+        parts = [
+            np.frombuffer(pa.decompress(c, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view(np.int32).ravel() if n else np.zeros(0, np.int32)
+            for c, n in zip(left.column("codes").to_pylist(), left.column("n").to_pylist())
+        ]
+        code = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        tail = pc.index_in(left.column("tail").combine_chunks().flatten(), value_set=right.column("word").combine_chunks())
+        code = code.astype(np.int64)
+        code[code < 0] = tail.to_numpy(zero_copy_only=False).astype(np.int64) + len(head)
+        size = lens[code]
+        until = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(starts[code] - until[:-1], size) + np.arange(until[-1])]
+        at = until[np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)]
+        return pa.table({"row": left.column("row"), "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))})
+
+    return run
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """ids array<int> and the columns of docs, of which the text only if asked for (it would be shuffled)."""
+    kept = [c for c in docs.columns if keep_text or c != text]
+    out, = private(docs.select(*kept), "ids")
+    size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    blocks = size[1] // BLOCK_BYTES + 1
+    shared = docs.sparkSession.sparkContext.broadcast(head_table(docs, path, text, size[0]))
+    block = F.pmod(F.xxhash64(*docs.columns), F.lit(blocks)).cast("int").alias("block")
+    row = F.struct(*kept).alias("row") if kept else F.struct(F.lit(0).alias("_")).alias("row")
+    split = docs.select(block, row, split_words(F.col(text)).alias("words"))
+
+    ids = ArrayType(IntegerType())
+    tail = split.select("block", "words").mapInArrow(_tail_words(shared), "block int, word string")
+    table = tail.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded_words(path), "block int, word string, ids array<int>")
+    row_type = StructField("row", split.schema["row"].dataType)
+    types = [StructField("block", IntegerType()), row_type, StructField("n", IntegerType()), StructField("codes", BinaryType()), StructField("tail", ArrayType(StringType()))]
+    coded = split.mapInArrow(_coded(shared), StructType(types))
+    both = coded.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_assembled(shared), StructType([row_type, StructField("ids", ids)]))
+    return both.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("ids").alias(out))
+
+
+def pieces(path: str) -> pa.Array:
+    """The id-to-piece table, ordered by id."""
+    tok = _tokenizer(path)
+    return pa.array([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())], pa.string())
+
+
+def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """encoded plus decoded: ids joined to their pieces, which are joined by one blank (this tokenizer has no decoder).
+
+    The id-to-piece table is bounded by the vocabulary, so every task holds it and takes pieces by id, many documents at once.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces(path))
+
+    @F.arrow_udf("string")
+    def text_of(x: pa.Array) -> pa.Array:
+        at = x.offsets.to_numpy()
+        held = pa.ListArray.from_arrays(pa.array(at - at[0]), shared.value.take(x.flatten()))
+        return pc.binary_join(held, " ")
 
-    @F.pandas_udf("string")
-    def sha(ids: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], dtype=object)
+    return encoded.withColumn(private(encoded, "decoded")[0], text_of(ids))
 
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", sha("ids"))
+
+def digest(encoded: DataFrame, ids: str = "ids") -> DataFrame:
+    """encoded plus n_tokens and ids_sha256."""
+    text = F.array_join(F.col(ids).cast("array<string>"), " ")
+    return encoded.withColumn("n_tokens", F.size(ids).cast("long")).withColumn("ids_sha256", F.sha2(text, 256))

@@ -20,11 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name under the cluster's shared folder (`spark.checkpoint.dir`)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder name under the cluster's shared folder (`spark.checkpoint.dir`); only a local master may do without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:  # tests on one machine
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -44,7 +44,16 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that `materialise` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:
@@ -60,8 +69,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until none is a column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], salt: Column, n: int = 16) -> DataFrame:
     """Left join in which a hot key of `left` is dealt over n tasks; `right` must be one small row per key."""
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(n)))
-    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return a.join(b, [*keys, "_salt"], "left").drop("_salt")
+    (s,) = private(left.select(*left.columns, *[F.lit(0).alias(c) for c in right.columns if c not in left.columns]), "_salt")
+    a = left.withColumn(s, F.pmod(F.xxhash64(salt), F.lit(n)))
+    b = right.withColumn(s, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return a.join(b, [*keys, s], "left").drop(s)

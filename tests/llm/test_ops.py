@@ -113,20 +113,27 @@ def test_chat_spans_and_escapes(spark):
     assert chat_format.read_back(chat_format.chunks(conv)).count() == 2
 
 
-@pytest.mark.parametrize("limit", [bpe_table.MAX_TABLE_BYTES, 0])
-def test_bpe_equals_library(spark, texts, odd, limit):
+@pytest.mark.parametrize("head", [bpe_table.HEAD_WORDS, 5, 0])
+def test_bpe_equals_library(spark, texts, odd, head, monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(bpe_table, "HEAD_WORDS", head)
+    monkeypatch.setattr(bpe_table, "BLOCK_BYTES", 1 << 16)
     path = queries.tokenizer_path()
     tok = Tokenizer.from_file(path)
-    extra = "Ünï<|endoftext|>don't  \x1c\x85 İΣ σ 12ab é ́x"
-    rows = [(d, t, "", "", 0) for d, t, _ in texts[:60]] + [(-1, extra, "", "", 0), (-2, None, "", "", 0)]
+    extra = "Ünï<|endoftext|>don't  \x1c\x85 İΣ σ 12ab é ́x"
+    marks = "we'll, 3.14, A.B. é,, x̸ ≮ a;̸ no<|endoftext|>. l'été!? 'S, ΑΣ. \u3000ab,\u3000c.\n.d, ñ.\x0b...,x"
+    rows = [(d, t, "", "", 0) for d, t, _ in texts[:60]] + [(-1, extra, "", "", 0), (-2, None, "", "", 0), (-3, marks, "", "", 0), (-4, marks, "", "", 0)]
     df = spark.createDataFrame(rows, DOCS)
-    out = bpe_table.decode(bpe_table.encode(df, path, limit), path)
-    for r in out.collect():
+    out = bpe_table.decode(bpe_table.encode(df, path, keep_text=True), path)
+    assert out.columns == [*df.columns, "ids", "decoded"]
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:
         want = tok.encode(r.text or "", add_special_tokens=False).ids
         assert list(r.ids) == want and r.decoded == tok.decode(want, skip_special_tokens=False)
-    assert bpe_table.encode(odd, path, limit).count() == odd.count()
+    clash = odd.withColumnRenamed("lang", "ids").withColumnRenamed("n_chars", "block")
+    assert bpe_table.encode(clash, path).count() == odd.count()
 
 
 def test_ordinal_accuracy(spark):
