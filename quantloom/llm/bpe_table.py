@@ -1,14 +1,14 @@
 """BPE encoding by a table of distinct words, and decoding by an id-to-piece join.
 
-Texts are split into words in Spark and every distinct word is encoded once by the tokenizer; ids go back by position.
+Texts are split into words by Spark's tasks and every distinct word is encoded once by the tokenizer; ids go back by position.
 
 - The head holds the words that a bounded, hashed sample of the texts repeats (at most HEAD_WORDS words of at most HEAD_BYTES bytes, so
   its size is bounded at any input size). It is encoded first and given to all tasks.
-- All other words, the tail, are shuffled by word, encoded once each, and sent back to the blocks of documents that hold them.
-- A document travels to its block as codes of head words and a list of its tail words, not as text.
+- Documents are dealt to blocks by a hash of the row, compressed, in one shuffle. The words of a block that the head lacks, the tail, are
+  shuffled by word, encoded once each, and joined back to the blocks that hold them, where ids are put together by position.
 
-Both ways always run; the sample changes their shares and never the ids. Blocks are chosen by a hash of the row, so their number grows
-with the data and a group of copies is dealt over all of them; only rows equal in all columns share a block.
+Both ways always run; the sample changes their shares and never the ids. The number of blocks grows with the data, and a group of copies
+is dealt over all of them; only rows equal in all columns share a block.
 
 A cut between words is where the tokenizer's pre-tokenizer cuts anyway: at white space, and between a Latin letter or digit and the
 marks that end a word. Its special tokens hold neither. Null or empty text: no ids, decoded to ''. Rows that repeat a doc_id are each
@@ -24,27 +24,31 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from quantloom.llm.common import private
 
 #: The characters with Unicode property White_Space.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Letters before and marks after a cut inside white space's runs.
-LETTER, MARK = "0-9A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f", ",.;:!?"
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Letters before and marks after a cut that is not at white space.
+LETTER, MARKS = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"), ",.;:!?"
 HEAD_WORDS = 1 << 17
 HEAD_BYTES = 256
 SAMPLE_DOCS = 10_000
 BLOCK_BYTES = 8 << 20
 
 
-def _java_split() -> str:
-    white = re.sub(r"\\x([0-9a-f]{2})", r"\\u00\1", WHITE)
-    return f"[{white}]+|(?<=[{LETTER}])(?=[{MARK}]+(?:[{white}]|$))"
+def cut(word: str) -> tuple[str, ...]:
+    """A run without white space, and the marks at its end as a word of their own."""
+    if word and word[-1] in MARKS:
+        stem = word.rstrip(MARKS)
+        if stem and LETTER.match(stem[-1]):
+            return stem, word[len(stem) :]
+    return (word,) if word else ()
 
 
-def split_words(text):
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _java_split()), lambda w: w != "")
+def split_words(text: str | None) -> list[str]:
+    return [p for w in WHITE.split(text or "") for p in cut(w)]
 
 
 def _tokenizer(path: str):
@@ -60,33 +64,55 @@ def _encode(tok, words: list[str]) -> list[list[int]]:
     return [e.ids for i in range(0, len(words), 2000) for e in tok.encode_batch(words[i : i + 2000], add_special_tokens=False)]
 
 
+def _counts(batches):
+    """word, n of each batch's texts."""
+    for b in batches:
+        for part in range(0, b.num_rows, 1000):
+            words = pa.array([w for t in b.column("text").slice(part, 1000).to_pylist() for w in split_words(t)], pa.string())
+            c = words.value_counts()
+            yield pa.RecordBatch.from_arrays([c.field("values"), c.field("counts")], ["word", "n"])
+
+
 def head_table(docs: DataFrame, path: str, text: str, rows: int) -> pa.Table:
     """word, ids of the words that the sample repeats, the most frequent first; at most HEAD_WORDS."""
-    some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(max(1, rows))) < SAMPLE_DOCS)
-    counts = some.select(F.explode(split_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(max(1, rows))) < SAMPLE_DOCS).select(F.col(text).alias("text"))
+    counts = some.mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = counts.where((F.col("n") > 1) & (F.octet_length("word") <= HEAD_BYTES))
-    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()]
+    words = counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word").toArrow().column(0).to_pylist()
     return pa.table({"word": pa.array(words, pa.string()), "ids": pa.array(_encode(_tokenizer(path), words), pa.list_(pa.int32()))})
 
 
+def _packed(batches):
+    """block, row, size, text: the text compressed for the shuffle."""
+    for b in batches:
+        raw = [(t or "").encode() for t in b.column("text").to_pylist()]
+        out = [b.column("block"), b.column("row"), pa.array([len(r) for r in raw], pa.int64()), pa.array([pa.compress(r, codec="zstd", asbytes=True) if r else b"" for r in raw], pa.binary())]
+        yield pa.RecordBatch.from_arrays(out, ["block", "row", "size", "text"])
+
+
+def _texts(b):
+    for size, text in zip(b.column("size").to_pylist(), b.column("text")):
+        yield pa.decompress(text.as_buffer(), size, codec="zstd", asbytes=True).decode() if size else ""
+
+
 def _tail_words(shared):
-    """block, word: the distinct tail words of each batch's blocks."""
+    """block, word: the distinct words of each batch's blocks that the head lacks."""
 
     def run(batches):
-        head = shared.value.column("word").combine_chunks()
+        head = set(shared.value.column("word").to_pylist())
         for b in batches:
-            ws = b.column("words")
-            flat = ws.flatten()
-            tail = pc.invert(pc.is_in(flat, value_set=head))
-            block = pa.array(np.repeat(b.column("block").to_numpy(), np.diff(ws.offsets.to_numpy())))
-            pairs = pa.table({"block": block.filter(tail), "word": flat.filter(tail)}).group_by(["block", "word"]).aggregate([])
-            yield from pairs.to_batches()
+            found: dict = {}
+            for block, text in zip(b.column("block").to_pylist(), _texts(b)):
+                found.setdefault(block, set()).update(WHITE.split(text))
+            for block, runs in found.items():
+                words = list({p for w in runs if w not in head for p in cut(w)} - head)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(words, pa.string())], ["block", "word"])
 
     return run
 
 
 def _encoded_words(path: str):
-    """block, word, ids from rows sorted by word: each word is encoded once."""
+    """block, word, ids from rows sorted by word: each word is encoded once; ids are packed in three bytes each."""
 
     def run(batches):
         tok, last = _tokenizer(path), (None, None)
@@ -96,29 +122,9 @@ def _encoded_words(path: str):
             d = b.column("word").dictionary_encode()
             words = d.dictionary.to_pylist()
             known = words[0] == last[0]
-            ids = ([last[1]] if known else []) + _encode(tok, words[known:])
+            ids = ([last[1]] if known else []) + [np.array(x, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for x in _encode(tok, words[known:])]
             last = words[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("word"), pa.array(ids, pa.list_(pa.int32())).take(d.indices)], ["block", "word", "ids"])
-
-    return run
-
-
-def _coded(shared):
-    """block, row, n, codes, tail: the places of head words in the head, -1 for the tail words, which follow as strings."""
-
-    def run(batches):
-        head = shared.value.column("word").combine_chunks()
-        for b in batches:
-            ws = b.column("words")
-            flat, at = ws.flatten(), ws.offsets.to_numpy()
-            at = at - at[0]
-            code = pc.fill_null(pc.index_in(flat, value_set=head), -1).to_numpy(zero_copy_only=False).astype(np.int32)
-            planes = [code[lo:hi].view(np.uint8).reshape(-1, 4).T.tobytes() for lo, hi in zip(at[:-1], at[1:])]
-            codes = [pa.compress(x, codec="zstd", asbytes=True) if x else b"" for x in planes]
-            missing = np.concatenate([[0], np.cumsum(code < 0)])[at].astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(missing), flat.filter(pa.array(code < 0)))
-            out = [b.column("block"), b.column("row"), pa.array(np.diff(at).astype(np.int32)), pa.array(codes, pa.binary()), tail]
-            yield pa.RecordBatch.from_arrays(out, ["block", "row", "n", "codes", "tail"])
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("word"), pa.array(ids, pa.binary()).take(d.indices)], ["block", "word", "ids"])
 
     return run
 
@@ -128,45 +134,47 @@ def _assembled(shared):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         head = shared.value.column("ids").combine_chunks()
-        own = right.column("ids").combine_chunks()
-        lens = np.concatenate([np.diff(x.offsets.to_numpy()) for x in (head, own)]).astype(np.int64)
-        flat = np.concatenate([x.flatten().to_numpy() for x in (head, own)])
-        starts = np.cumsum(lens) - lens
-        parts = [
-            np.frombuffer(pa.decompress(c, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view(np.int32).ravel() if n else np.zeros(0, np.int32)
-            for c, n in zip(left.column("codes").to_pylist(), left.column("n").to_pylist())
-        ]
-        code = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        tail = pc.index_in(left.column("tail").combine_chunks().flatten(), value_set=right.column("word").combine_chunks())
-        code = code.astype(np.int64)
-        code[code < 0] = tail.to_numpy(zero_copy_only=False).astype(np.int64) + len(head)
+        packed = right.column("ids").to_pylist() if right.num_columns else []
+        own = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([1, 1 << 8, 1 << 16], np.int32)
+        lens = np.concatenate([np.diff(head.offsets.to_numpy()), np.array([len(x) // 3 for x in packed], np.int32)]).astype(np.int64)
+        flat, starts = np.concatenate([head.flatten().to_numpy(), own]), np.cumsum(lens) - lens
+        place = dict(zip(right.column("word").to_pylist(), range(len(head), len(lens)))) if packed else {}
+        place |= zip(shared.value.column("word").to_pylist(), range(len(head)))
+        known: dict = {}
+        code, at = [], [0]
+        for text in _texts(left):
+            for w in WHITE.split(text):
+                found = known.get(w)
+                if found is None:
+                    found = known[w] = tuple(place[p] for p in cut(w))
+                code.extend(found)
+            at.append(len(code))
+        code = np.array(code, np.int64)
         size = lens[code]
         until = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.repeat(starts[code] - until[:-1], size) + np.arange(until[-1])]
-        at = until[np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)]
-        return pa.table({"row": left.column("row"), "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))})
+        return pa.table({"row": left.column("row"), "ids": pa.ListArray.from_arrays(pa.array(until[at].astype(np.int32)), pa.array(ids, pa.int32()))})
 
     return run
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """ids array<int> and the columns of docs, of which the text only if asked for (it would be shuffled)."""
+    """ids array<int> and the columns of docs, of which the text only if asked for (it would be shuffled once more)."""
     kept = [c for c in docs.columns if keep_text or c != text]
-    out, = private(docs.select(*kept), "ids")
+    (out,) = private(docs.select(*kept), "ids")
     size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     blocks = size[1] // BLOCK_BYTES + 1
     shared = docs.sparkSession.sparkContext.broadcast(head_table(docs, path, text, size[0]))
     block = F.pmod(F.xxhash64(*docs.columns), F.lit(blocks)).cast("int").alias("block")
     row = F.struct(*kept).alias("row") if kept else F.struct(F.lit(0).alias("_")).alias("row")
-    split = docs.select(block, row, split_words(F.col(text)).alias("words"))
-
-    ids = ArrayType(IntegerType())
-    tail = split.select("block", "words").mapInArrow(_tail_words(shared), "block int, word string")
-    table = tail.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded_words(path), "block int, word string, ids array<int>")
-    row_type = StructField("row", split.schema["row"].dataType)
-    types = [StructField("block", IntegerType()), row_type, StructField("n", IntegerType()), StructField("codes", BinaryType()), StructField("tail", ArrayType(StringType()))]
-    coded = split.mapInArrow(_coded(shared), StructType(types))
-    both = coded.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_assembled(shared), StructType([row_type, StructField("ids", ids)]))
+    dealt = docs.select(block, row, F.col(text).alias("text"))
+    row_type = StructField("row", dealt.schema["row"].dataType)
+    types = [StructField("block", IntegerType()), row_type, StructField("size", LongType()), StructField("text", BinaryType())]
+    # Both readers of the blocks share this one shuffle.
+    dealt = dealt.mapInArrow(_packed, StructType(types)).repartition("block")
+    tail = dealt.mapInArrow(_tail_words(shared), "block int, word string")
+    table = tail.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded_words(path), "block int, word string, ids binary")
+    both = dealt.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_assembled(shared), StructType([row_type, StructField("ids", ArrayType(IntegerType()))]))
     return both.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("ids").alias(out))
 
 
