@@ -4,8 +4,9 @@ Texts are split into words by Spark's tasks and every distinct word is encoded o
 
 - The head holds the words that a bounded, hashed sample of the texts repeats (at most HEAD_WORDS words of at most HEAD_BYTES bytes, so
   its size is bounded at any input size). It is encoded first and given to all tasks.
-- Documents are dealt to blocks by a hash of the row, compressed, in one shuffle. The words of a block that the head lacks, the tail, are
-  shuffled by word, encoded once each, and joined back to the blocks that hold them, where ids are put together by position.
+- Documents are dealt to blocks by a hash of the row, compressed, in one shuffle. The words of a block that the head lacks, the tail, go
+  in packs to buckets by a hash of the word, where each distinct word is encoded once, and the packs go back with their ids to the blocks
+  that hold them, where ids are put together by position.
 
 Both ways always run; the sample changes their shares and never the ids. The number of blocks grows with the data, and a group of copies
 is dealt over all of them; only rows equal in all columns share a block.
@@ -18,13 +19,14 @@ encoded. An empty table gives an empty result. Other columns pass through, whate
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from quantloom.llm.common import private
 
@@ -82,100 +84,137 @@ def head_table(docs: DataFrame, path: str, text: str, rows: int) -> pa.Table:
     return pa.table({"word": pa.array(words, pa.string()), "ids": pa.array(_encode(_tokenizer(path), words), pa.list_(pa.int32()))})
 
 
-def _packed(batches):
-    """block, row, size, text: the text compressed for the shuffle."""
-    for b in batches:
-        raw = [(t or "").encode() for t in b.column("text").to_pylist()]
-        out = [b.column("block"), b.column("row"), pa.array([len(r) for r in raw], pa.int64()), pa.array([pa.compress(r, codec="zstd", asbytes=True) if r else b"" for r in raw], pa.binary())]
-        yield pa.RecordBatch.from_arrays(out, ["block", "row", "size", "text"])
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
 
-def _texts(b):
-    for size, text in zip(b.column("size").to_pylist(), b.column("text")):
-        yield pa.decompress(text.as_buffer(), size, codec="zstd", asbytes=True).decode() if size else ""
+def expand(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if data else b""
 
 
-def _tail_words(shared):
-    """block, word: the distinct words of each batch's blocks that the head lacks."""
-
-    def run(batches):
-        head = set(shared.value.column("word").to_pylist())
-        for b in batches:
-            found: dict = {}
-            for block, text in zip(b.column("block").to_pylist(), _texts(b)):
-                found.setdefault(block, set()).update(WHITE.split(text))
-            for block, runs in found.items():
-                words = list({p for w in runs if w not in head for p in cut(w)} - head)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(words, pa.string())], ["block", "word"])
+def _packed(batches):
+    """block, row, text: the text compressed for the shuffle."""
+    for b in batches:
+        text = [squeeze((t or "").encode()) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("block"), b.column("row"), pa.array(text, pa.binary())], ["block", "row", "text"])
+
+
+def _tail_words(shared, buckets: int):
+    """bucket, block, words: per bucket, the sorted distinct words of one block that the head lacks."""
+    head: set = set()
+
+    def run(t: pa.Table) -> pa.Table:
+        if not head:
+            head.update(shared.value.column("word").to_pylist())
+        runs: set = set()
+        for text in t.column("text"):
+            runs.update(WHITE.split(expand(text.as_py()).decode()))
+        found: dict = {}
+        for w in sorted({p for w in runs if w not in head for p in cut(w)} - head):
+            found.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
+        block = t.column("block")[0].as_py()
+        rows = {"bucket": list(found), "block": [block] * len(found), "words": [squeeze("\n".join(ws).encode()) for ws in found.values()]}
+        return pa.table(rows, pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("words", pa.binary())]))
 
     return run
 
 
 def _encoded_words(path: str):
-    """block, word, ids from rows sorted by word: each word is encoded once; ids are packed in three bytes each."""
+    """block, words, ids from rows sorted by bucket: each distinct word of a bucket is encoded once.
+
+    ids holds, per word, the number of its ids, and then all ids in three bytes each.
+    """
 
     def run(batches):
-        tok, last = _tokenizer(path), (None, None)
+        tok, held, rows = _tokenizer(path), None, []
+
+        def close():
+            lists = [expand(x).decode().split("\n") for _, x in rows]
+            words = sorted(set().union(*lists))
+            known = dict(zip(words, _encode(tok, words)))
+            data = []
+            for ws in lists:
+                ids = [known[w] for w in ws]
+                flat = np.fromiter((i for x in ids for i in x), "<u4")
+                data.append(squeeze(np.array([len(x) for x in ids], "<u4").tobytes() + flat.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()))
+            out = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array(data, pa.binary())]
+            return pa.RecordBatch.from_arrays(out, ["block", "words", "ids"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            d = b.column("word").dictionary_encode()
-            words = d.dictionary.to_pylist()
-            known = words[0] == last[0]
-            ids = ([last[1]] if known else []) + [np.array(x, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for x in _encode(tok, words[known:])]
-            last = words[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("word"), pa.array(ids, pa.binary()).take(d.indices)], ["block", "word", "ids"])
+            for bucket, block, words in zip(*(b.column(c).to_pylist() for c in ("bucket", "block", "words"))):
+                if bucket != held and rows:
+                    yield close()
+                    rows = []
+                held = bucket
+                rows.append((block, words))
+        if rows:
+            yield close()
 
     return run
 
 
-def _assembled(shared):
-    """row, ids: the ids of one block of documents, put together by position from the head and the block's tail words."""
+def _assembled(shared, with_text: bool):
+    """row, ids (and decoded) of one block: ids by position, from the head and the block's tail words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        head = shared.value.column("ids").combine_chunks()
-        packed = right.column("ids").to_pylist() if right.num_columns else []
-        own = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([1, 1 << 8, 1 << 16], np.int32)
-        lens = np.concatenate([np.diff(head.offsets.to_numpy()), np.array([len(x) // 3 for x in packed], np.int32)]).astype(np.int64)
-        flat, starts = np.concatenate([head.flatten().to_numpy(), own]), np.cumsum(lens) - lens
-        place = dict(zip(right.column("word").to_pylist(), range(len(head), len(lens)))) if packed else {}
-        place |= zip(shared.value.column("word").to_pylist(), range(len(head)))
+        words, table, pieces = shared.value[0].column("word").to_pylist(), shared.value[0].column("ids").combine_chunks(), shared.value[1]
+        lens, flat = [np.diff(table.offsets.to_numpy())], [table.flatten().to_numpy()]
+        for ws, data in zip(right.column("words").to_pylist(), right.column("ids").to_pylist()) if right.num_rows else ():
+            ws, data = expand(ws).decode().split("\n"), expand(data)
+            words += ws
+            lens.append(np.frombuffer(data, "<u4", len(ws)).astype(np.int32))
+            flat.append(np.frombuffer(data, np.uint8, offset=4 * len(ws)).reshape(-1, 3).astype(np.int32) @ np.array([1, 1 << 8, 1 << 16], np.int32))
+        place = dict(zip(words, range(len(words))))
+        del words
+        lens, flat = np.concatenate(lens), np.concatenate(flat)
+        starts = (np.cumsum(lens, dtype=np.int64) - lens).astype(np.int32)
         known: dict = {}
         code, at = [], [0]
-        for text in _texts(left):
-            for w in WHITE.split(text):
+        for text in left.column("text"):
+            one: list = []
+            for w in WHITE.split(expand(text.as_py()).decode()):
                 found = known.get(w)
                 if found is None:
                     found = known[w] = tuple(place[p] for p in cut(w))
-                code.extend(found)
-            at.append(len(code))
-        code = np.array(code, np.int64)
+                one.extend(found)
+            code.append(np.array(one, np.int32))
+            at.append(at[-1] + len(one))
+        del place, known
+        code = np.concatenate(code)
         size = lens[code]
-        until = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(starts[code] - until[:-1], size) + np.arange(until[-1])]
-        return pa.table({"row": left.column("row"), "ids": pa.ListArray.from_arrays(pa.array(until[at].astype(np.int32)), pa.array(ids, pa.int32()))})
+        until = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        ids = flat[np.repeat(starts[code] - until[:-1], size) + np.arange(until[-1], dtype=np.int32)]
+        out = {"row": left.column("row"), "ids": pa.ListArray.from_arrays(pa.array(until[at]), pa.array(ids, pa.int32()))}
+        return pa.table(out | ({"decoded": texts_of(out["ids"], pieces)} if with_text else {}))
 
     return run
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """ids array<int> and the columns of docs, of which the text only if asked for (it would be shuffled once more)."""
+def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False, with_decoded: bool = False) -> DataFrame:
+    """ids array<int> and the columns of docs, of which the text only if asked for (it would be shuffled once more).
+
+    With `with_decoded` also decoded, made from the ids in the same task, as `decode` makes it in a pass of its own.
+    """
     kept = [c for c in docs.columns if keep_text or c != text]
-    (out,) = private(docs.select(*kept), "ids")
-    size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    blocks = size[1] // BLOCK_BYTES + 1
-    shared = docs.sparkSession.sparkContext.broadcast(head_table(docs, path, text, size[0]))
+    out, back = private(docs.select(*kept), "ids", "decoded")
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    blocks = size // BLOCK_BYTES + 1
+    head = head_table(docs, path, text, rows)
+    send = docs.sparkSession.sparkContext.broadcast
     block = F.pmod(F.xxhash64(*docs.columns), F.lit(blocks)).cast("int").alias("block")
     row = F.struct(*kept).alias("row") if kept else F.struct(F.lit(0).alias("_")).alias("row")
     dealt = docs.select(block, row, F.col(text).alias("text"))
     row_type = StructField("row", dealt.schema["row"].dataType)
-    types = [StructField("block", IntegerType()), row_type, StructField("size", LongType()), StructField("text", BinaryType())]
+    types = [StructField("block", IntegerType()), row_type, StructField("text", BinaryType())]
     # Both readers of the blocks share this one shuffle.
     dealt = dealt.mapInArrow(_packed, StructType(types)).repartition("block")
-    tail = dealt.mapInArrow(_tail_words(shared), "block int, word string")
-    table = tail.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded_words(path), "block int, word string, ids binary")
-    both = dealt.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_assembled(shared), StructType([row_type, StructField("ids", ArrayType(IntegerType()))]))
-    return both.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("ids").alias(out))
+    tail = dealt.groupBy("block").applyInArrow(_tail_words(send(head), blocks), "bucket int, block int, words binary")
+    table = tail.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoded_words(path), "block int, words binary, ids binary")
+    made = [row_type, StructField("ids", ArrayType(IntegerType()))] + [StructField("decoded", StringType())] * with_decoded
+    shared = send((head, pieces(path) if with_decoded else None))
+    both = dealt.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_assembled(shared, with_decoded), StructType(made))
+    named = [F.col("ids").alias(out)] + [F.col("decoded").alias(back)] * with_decoded
+    return both.select(*[F.col("row").getField(c).alias(c) for c in kept], *named)
 
 
 def pieces(path: str) -> pa.Array:
@@ -184,18 +223,19 @@ def pieces(path: str) -> pa.Array:
     return pa.array([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())], pa.string())
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """encoded plus decoded: ids joined to their pieces, which are joined by one blank (this tokenizer has no decoder).
+def texts_of(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """Ids joined to their pieces, many documents at once; pieces are joined by one blank (this tokenizer has no decoder)."""
+    at = ids.offsets.to_numpy()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at - at[0]), pieces.take(ids.flatten())), " ")
 
-    The id-to-piece table is bounded by the vocabulary, so every task holds it and takes pieces by id, many documents at once.
-    """
+
+def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """encoded plus decoded. The id-to-piece table is bounded by the vocabulary, so every task holds it and takes pieces by id."""
     shared = encoded.sparkSession.sparkContext.broadcast(pieces(path))
 
     @F.arrow_udf("string")
     def text_of(x: pa.Array) -> pa.Array:
-        at = x.offsets.to_numpy()
-        held = pa.ListArray.from_arrays(pa.array(at - at[0]), shared.value.take(x.flatten()))
-        return pc.binary_join(held, " ")
+        return texts_of(x, shared.value)
 
     return encoded.withColumn(private(encoded, "decoded")[0], text_of(ids))
 

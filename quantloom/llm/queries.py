@@ -34,7 +34,7 @@ def op3_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe_table.decode(bpe_table.digest(bpe_table.encode(docs, path)), path)
+    out = bpe_table.digest(bpe_table.encode(docs, path, with_decoded=True))
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
