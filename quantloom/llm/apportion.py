@@ -6,7 +6,7 @@ shard, blocks are allocated to sources by the highest quotients target / (2k + 1
 block q div n times and q mod n blocks, chosen by a seeded permutation, once more. A document is taken as far as its blocks are.
 
 Null text: size 0, nothing taken. The null source is one source, last. An empty table gives an empty result. Rows that repeat a
-doc_id are dealt alike and taken each. The number of shards follows from the total, so every group stays bounded.
+doc_id are dealt alike and taken each. Other columns take no part in `mix` and pass through `mixed_documents`. The number of shards follows from the total, so every group stays bounded.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from quantloom.llm.common import materialise, words
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SHARD_WORDS = 2_000_000
+SHARDS = 64
 SHARD_BLOCKS = 1 << 14
 #: A source has so many blocks in each of its shards, and in all if it has so many words.
 CELL_BLOCKS = 128
@@ -49,11 +50,11 @@ def targets(totals: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs plus size, source_size, target, taken."""
-    sized = docs.withColumn("size", F.size(words(F.col("text"))).cast("long"))
-    lean = sized.select("doc_id", "source", "size", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    size = F.size(words(F.col("text"))).cast("long").alias("size")
+    lean = materialise(docs.select("doc_id", "source", size, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th")))  # texts are read once
     totals = lean.groupBy("source").agg(F.sum("size").alias("source_size"))
     total = lean.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    shards = total // SHARD_WORDS + 8
+    shards = total // SHARD_WORDS + SHARDS
     block = max(1, total // (shards * SHARD_BLOCKS))
     goal = targets(totals)
 
@@ -66,14 +67,14 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     inner = Window.partitionBy("source", "_g").orderBy(F.xxhash64(F.lit(seed), "_th", "doc_id"), "doc_id", "_th")
     lean = lean.withColumn("_to", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     group = Window.partitionBy("source", "_g")
-    lean = lean.withColumn("_all", F.sum("size").over(group)).withColumn("_same", F.count("*").over(Window.partitionBy("source", "_g", "doc_id", "_th")))
+    lean = lean.withColumn("_all", F.sum("size").over(group))
     cells = lean.groupBy("source", "_g", "source_size", "target", "_block").agg(F.sum("size").alias("_words")).where("_words > 0")
     # A seat is one of the cell's _n blocks, so votes count blocks as well.
     cells = cells.withColumn("_n", F.ceil(F.col("_words") / F.col("_block"))).withColumn("_most", F.col("_n") * MAX_EPOCHS)
     cells = cells.withColumn("_vote", F.col("target") * F.col("_n") / F.col("source_size"))
     seats = cells.groupBy("_g").agg(F.round(F.sum("_vote")).alias("_seats"))
-    last = F.least(F.col("_most"), F.ceil("_vote") + 1) - 1
-    bids = cells.select("source", "_g", "_vote", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_k"))
+    # A cell bids for all the seats that it may take, so that no seat of its shard stays empty for want of a bid.
+    bids = cells.select("source", "_g", "_vote", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") - 1)).alias("_k"))
     bids = bids.withColumn("_q", F.col("_vote") / (2 * F.col("_k") + 1))
     rank = F.row_number().over(Window.partitionBy("_g").orderBy(F.desc("_q"), F.col("source").isNull(), "source", "_k"))
     won = bids.withColumn("_r", rank).join(seats, "_g").where("_r <= _seats").groupBy("source", "_g").agg(F.count("*").alias("_quota"))
@@ -104,7 +105,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     m = materialise(mix(docs, seed))
     quota = m.groupBy("source").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_quota"))
-    shards = m.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // SHARD_WORDS + 8
+    shards = m.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // SHARD_WORDS + SHARDS
     units = m.where("size > 0").groupBy("doc_id", "source", "_th").agg(F.sum("size").alias("_words"))
     h = F.xxhash64("doc_id", "_th", F.lit(seed + 1))
     units = materialise(units.withColumn("_g", F.pmod(h, F.lit(shards))))
@@ -119,6 +120,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     units = units.join(cells, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_g") == F.col("_g2")))
     more = (F.col("_base") + F.col("_to") - F.col("_words") / 2 <= F.col("_rest")).cast("int")
     units = units.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_th", (F.col("_turns").cast("int") + more).alias("_copies")).where("_copies > 0")
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
     same = keyed["doc_id"].eqNullSafe(F.col("_d")) & keyed["source"].eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_th"))
-    return keyed.join(units, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    every = keyed.join(units, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return every.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

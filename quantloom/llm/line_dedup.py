@@ -5,6 +5,7 @@ aggregation by (hash, document); only positions to drop are joined back, by docu
 
 A null or empty text is one empty line and stays so. Rows that repeat a doc_id count as one document; each row keeps its own
 lines. The holder that keeps a line is the largest doc_id; a null doc_id never holds it unless all are null.
+Other columns pass through, whatever their names; one that has the name of an output column is replaced.
 """
 
 from __future__ import annotations
@@ -32,19 +33,20 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     hits = lines.withColumn("_s", F.pmod(F.hash("_d", "_p"), F.lit(SALTS))).join(shared, ["_a", "_b", "_s"])
     hits = hits.where(~F.col("_d").eqNullSafe(F.col("_m")))
     drops = hits.groupBy("_d", "_th").agg(F.collect_set("_p").alias("_drop"))
-    d, r = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d"), drops.alias("r")
-    out = d.join(r, F.col("d.doc_id").eqNullSafe(F.col("r._d")) & (F.col("d._h") == F.col("r._th")), "left")
-    out = out.select("d.*", "_drop").drop("_h")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n")
+    row = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")  # the text travels once
+    d = docs.select(row, "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).alias("d")
+    out = d.join(drops.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r._d")) & (F.col("d._h") == F.col("r._th")), "left").select("_row", "text", "_drop")
+    text = F.coalesce("text", F.lit(""))
+    parts = F.split(text, "\n")
 
     def rebuilt(ls):
         stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_drop"))
         return F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n")
 
-    return (
-        out.withColumn("n_lines", F.size(parts).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-        .withColumn("kept_text", F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(let(parts, rebuilt)))
-        .withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
-        .drop("_drop")
-    )
+    made = {
+        "n_lines": F.size(parts).cast("long"),
+        "n_dropped": F.greatest(F.coalesce(F.size("_drop"), F.lit(0)), F.lit(0)).cast("long"),
+        "kept_text": F.when(F.col("_drop").isNull(), text).otherwise(let(parts, rebuilt)),
+    }
+    kept = [F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in made]
+    return out.select(*kept, *[x.alias(n) for n, x in made.items()])

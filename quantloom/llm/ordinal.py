@@ -5,7 +5,8 @@ ordered thresholds t_0 < t_1. The model is fitted on at most `sample` labelled r
 bound); scoring covers every document whole.
 
 Null or empty text: features of zero, so the score follows from the thresholds. Labels that are null take no part in fitting; an empty set of
-labels gives zero weights. Repeated rows are scored each.
+labels gives zero weights. A doc_id with several grades takes the least, one with several texts the first of them in fitting. Repeated
+rows are scored each. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -70,15 +71,17 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE):
-    chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
-    rows = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("t")).join(F.broadcast(chosen), "doc_id")
+    one = grades.groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = rows.select("grade", ascii_lower(F.coalesce("text", F.lit(""))).alias("t")).orderBy("t", "grade")
 
     def run(batches):
         for b in batches:
             f = [features(t) for t in b["t"]]
             yield pd.DataFrame({"i": [x[0] for x in f], "x": [x[1] for x in f], "grade": b["grade"].tolist()})
 
-    got = rows.mapInPandas(run, "i array<int>, x array<double>, grade int").limit(sample).collect()
+    got = rows.mapInPandas(run, "i array<int>, x array<double>, grade int").collect()
     return fit([(np.array(r["i"], np.int64), np.array(r["x"]), r["grade"]) for r in got])
 
 

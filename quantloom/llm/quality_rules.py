@@ -3,7 +3,11 @@
 Every line is judged by punctuation, navigation and boilerplate rules; failing lines are removed; a document that loses more than
 `max_loss` of its word characters, or that fails the base rules, is rejected. All work is per row, so there is no shuffle.
 
-Null or empty text: no words, base_failed, rejected. Repeated rows are judged alike. Extra columns pass through `clean`.
+- Punctuation: no letter or digit, too many symbols, or a line of LONG_LINE words or more without a mark at its end.
+- Navigation: short items between separators. - Boilerplate: nothing but one link, a line of rights with a year, or a stock phrase.
+
+Null or empty text: no words, base_failed, rejected. Repeated rows are judged alike. Other columns pass through, whatever their names;
+one that has the name of an output column of `judge` is replaced there.
 """
 
 from __future__ import annotations
@@ -11,13 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SPACE, SPACE_RE, let, words
+from quantloom.llm.common import SPACE, let, private, words
 
 MIN_WORDS = 50
 MAX_LOSS = 0.3
 SYMBOLS = "#*$%&|<>"
-#: A line of navigation: at least three separators between short items.
-NAVIGATION = r"^[^|»›•·]{0,40}([|»›•·][^|»›•·]{0,40}){3,}$"
+#: A line of navigation: at least so many separators, no item longer than ITEM characters.
+SEPARATORS, MIN_SEPARATORS, ITEM = "|»›•·", 3, 40
+#: A line of so many words or more needs one of these marks at its end.
+LONG_LINE, END_MARKS = 8, ".!?…:;,\"'»“”’)]。！？"
+LINK = r"^[\x20\x09-\x0D]*(https?://|www[.])[^\x20\x09-\x0D]*[\x20\x09-\x0D]*$"
+RIGHTS = r"(?i)(©|\(c\)|copyright)[\x20\x09]{0,3}(19|20)[0-9]{2}"
+#: Stock phrases of web pages.
 BOILERPLATE = (
     r"(?i)(all rights reserved|privacy policy|terms of (use|service)|cookie policy|accept cookies|enable javascript|click here"
     r"|sign up for our newsletter|lorem ipsum|back to top|skip to content)"
@@ -26,32 +35,39 @@ BOILERPLATE = (
 MAX_SYMBOL_SHARE = 0.1
 
 
+def _count(text: Column, chars: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, chars, ""))
+
+
 def line_fails(line: Column) -> Column:
     bare = F.length(F.translate(line, SPACE, ""))
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    return (bare > 0) & (
-        (symbols > bare * MAX_SYMBOL_SHARE) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | ~line.rlike(r"[\p{L}\p{N}]")
+    unended = line.rlike(r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (LONG_LINE - 1)) & (
+        F.instr(F.lit(END_MARKS), F.right(F.rtrim(line, F.lit(SPACE)), F.lit(1))) == 0
     )
+    navigation = (_count(line, SEPARATORS) >= MIN_SEPARATORS) & ~line.rlike("[^%s]{%d}" % (SEPARATORS, ITEM + 1))
+    boilerplate = line.rlike(LINK) | line.rlike(RIGHTS) | line.rlike(BOILERPLATE)
+    return (bare > 0) & ((_count(line, SYMBOLS) > bare * MAX_SYMBOL_SHARE) | ~line.rlike(r"[\p{L}\p{N}]") | navigation | boilerplate | unended)
 
 
 def _repeat_words(ws: Column) -> Column:
     """Words lying in three-word windows that occur twice or more; windows compare by a 64-bit hash within one document."""
-    keys = F.when(F.size(ws) < 3, F.array().cast("array<struct<h:bigint,p:int>>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(ws) - 3, F.lit(0))),
-            lambda i: F.struct(F.xxhash64(ws[i], ws[i + 1], ws[i + 2]).alias("h"), i.alias("p")),
-        )
-    )
+    none = F.lit(0).cast("long")
+    window = lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2))
+    keys = F.when(F.size(ws) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - 3, F.lit(0))), window))
 
-    def repeated(s: Column) -> Column:
-        n = F.size(s)
-        hit = lambda i: (F.get(s, i)["h"] == F.get(s, i - 1)["h"]) | (F.get(s, i)["h"] == F.get(s, i + 1)["h"])
-        idx = F.when(n < 2, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))))
-        return F.array_sort(F.transform(F.filter(idx, lambda i: F.coalesce(hit(i), F.lit(False))), lambda i: F.get(s, i)["p"]))
+    def repeated(k: Column) -> Column:
+        s = F.array_sort(F.transform(k, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+        return let(s, lambda s: F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: hit(s, i)), lambda i: F.get(s, i)["p"])))
 
-    start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
+    def hit(s: Column, i: Column) -> Column:
+        h = F.get(s, i)["h"]
+        return F.coalesce(h == F.get(s, i - 1)["h"], F.lit(False)) | F.coalesce(h == F.get(s, i + 1)["h"], F.lit(False))
+
+    start = F.struct(F.lit(-3).alias("last"), none.alias("n"))
     step = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"))
-    return F.aggregate(let(F.array_sort(keys), repeated), start, step, lambda acc: acc["n"])
+    fold = lambda k: F.aggregate(repeated(k), start, step, lambda acc: acc["n"])
+    # Most texts repeat no window, and then only distinct hashes are counted.
+    return let(keys, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), none).otherwise(fold(k)))
 
 
 def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
@@ -62,24 +78,26 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
     filled = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup = let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
     clean = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~line_fails(x)), "\n")
-    out = (
-        docs.withColumn("_s", stats)
-        .withColumn("word_chars", F.length(F.translate(t, SPACE, "")).cast("long"))
-        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_dup_lines", dup)
-        .withColumn("clean_text", clean)
-        .withColumn("n_words", F.col("_s.n"))
-        .withColumn("n_repeat_words", F.col("_s.r"))
-        .drop("_s")
-    )
+    (stat,) = private(docs, "stats")
     lost = F.col("word_chars") - F.length(F.translate("clean_text", SPACE, ""))
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (lost <= F.col("word_chars") * F.lit(max_loss)))
-
-
-def clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    made = {
+        "n_words": F.col(f"{stat}.n"),
+        "word_chars": F.length(F.translate(t, SPACE, "")).cast("long"),
+        "n_symbols": _count(t, SYMBOLS).cast("long"),
+        "n_dup_lines": dup,
+        "n_repeat_words": F.col(f"{stat}.r"),
+        "clean_text": clean,
+        "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
+        "kept": ~F.col("base_failed") & (lost <= F.col("word_chars") * F.lit(max_loss)),
+    }
+    out = docs.withColumn(stat, stats)
+    for name, value in made.items():
+        out = out.withColumn(name, value)
+    return out.drop(stat)
+
+
+def clean(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
     """The kept documents with their failing lines removed, in the columns of docs."""
-    kept = judge(docs, text).where("kept").withColumn(text, F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length(text).cast("long"))
-    return kept.select(*docs.columns)
+    judged = judge(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("t")), "t", max_loss).where("kept")
+    new = {text: F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return judged.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

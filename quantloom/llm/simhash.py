@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import UPPER, WORD_RE, ascii_lower, materialise, salted_left_join
+from quantloom.llm.common import WORD_RE, ascii_lower, forget, materialise, salted_left_join
 
 SEED = 42
 SHINGLE = 3
@@ -122,6 +122,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(mins.select("a", F.col("m").alias("b")))
         new = materialise(new.where("a <> b").distinct())
         done = new.exceptAll(star).isEmpty() and new.count() == star.count()
+        forget(star), forget(large)
         star = new
         if done:
             break

@@ -22,6 +22,7 @@ from quantloom.llm.common import materialise, salted_left_join, shared_dir
 MIN_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
 READ = 1 << 20
+ROWS = 2000
 
 
 def decided(pages: DataFrame) -> DataFrame:
@@ -75,8 +76,7 @@ def write_monolithic(pages: DataFrame, root: str) -> DataFrame:
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, pack, size = files.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31), 0
-                refers = None if pd.isna(r.refers_to) else int(r.refers_to)
-                data = record(None if pd.isna(r.page_id) else int(r.page_id), r.url, r.payload, r.digest, r.size, refers)
+                data = record(r.page_id, r.url, r.payload, r.digest, r.size, r.refers_to)
                 out.write(pack.compress(data))
                 size += len(data)
                 if size >= ARCHIVE_BYTES:
@@ -89,7 +89,9 @@ def write_monolithic(pages: DataFrame, root: str) -> DataFrame:
             out.close()
             yield pd.DataFrame({"name": [name]})
 
-    return materialise(pages.withColumn("refers_to", F.col("refers_to").cast("long")).mapInPandas(run, "name string"))
+    # Ids travel as text: pandas would turn a nullable long into a float.
+    ids = [F.col(c).cast("string").alias(c) for c in ("page_id", "refers_to")]
+    return materialise(pages.select(ids[0], "url", "payload", "digest", "size", ids[1]).mapInPandas(run, "name string"))
 
 
 def records(stream):
@@ -110,14 +112,20 @@ def records(stream):
 
 
 def inflate(source):
-    pack = zlib.decompressobj(31)
+    """Blocks of an inflated stream; gzip members that follow one another are one stream."""
+    pack, fresh = zlib.decompressobj(31), True
     while block := source.read(READ):
-        yield pack.decompress(block)
-    yield pack.flush()
+        while block:
+            yield pack.decompress(block)
+            fresh, block = False, pack.unused_data
+            if pack.eof:
+                pack, fresh = zlib.decompressobj(31), True
+    if not fresh:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def normalise(names: DataFrame, root: str) -> DataFrame:
-    """Rewrite each archive with a member per record, and its sidecar index; returns name, offset, length per record."""
+    """Rewrite each archive with a member per record, and its sidecar of offsets and lengths; returns the new names and their records."""
 
     def run(batches):
         files, base = store(root)
@@ -129,38 +137,45 @@ def normalise(names: DataFrame, root: str) -> DataFrame:
                         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = pack.compress(data) + pack.flush()
                         dst.write(member)
-                        rows.append((fresh, at, len(member)))
+                        rows.append((at, len(member)))
                         at += len(member)
                 with files.open_output_stream(f"{base}/{fresh}.idx") as side:
-                    side.write("\n".join(json.dumps(r[1:]) for r in rows).encode())
-                yield pd.DataFrame(rows, columns=["name", "offset", "length"])
+                    side.write("\n".join(json.dumps(r) for r in rows).encode())
+                yield pd.DataFrame({"name": [fresh], "records": [len(rows)]})
 
-    return materialise(names.repartition(names.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "name string, offset long, length long"))
+    return materialise(names.repartition(names.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "name string, records long"))
 
 
-def read_members(index: DataFrame, root: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, read through the offsets."""
+def sidecar(files, path: str) -> list[tuple[int, int]]:
+    """Offset and length of each record of an archive."""
+    with files.open_input_stream(f"{path}.idx", compression=None) as side:
+        return [tuple(json.loads(line)) for line in side.read().decode().split("\n") if line]
+
+
+def read_members(names: DataFrame, root: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, found through the archives' sidecars."""
 
     def number(field):
-        text = (field or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(text) if text else None
+        return (field or "").removeprefix("<urn:page:").removesuffix(">") or None
 
     def run(batches):
         files, base = store(root)
         for b in batches:
-            rows = []
-            for name, group in b.groupby("name", sort=False):
+            for name in b["name"]:
+                places = sidecar(files, f"{base}/{name}")
                 with files.open_input_file(f"{base}/{name}") as f:
-                    for o, n in zip(group["offset"], group["length"]):
-                        fields, payload = parse(zlib.decompress(f.read_at(int(n), int(o)), 31))
-                        digest, size = fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["X-Payload-Length"])
-                        if fields["WARC-Type"] == "response":
-                            digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
-                        rows.append((number(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], number(fields.get("WARC-Refers-To"))))
-            out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-            yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return index.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+                    for lo in range(0, len(places), ROWS):
+                        rows = []
+                        for o, n in places[lo : lo + ROWS]:
+                            fields, payload = parse(zlib.decompress(f.read_at(n, o), 31))
+                            digest, size = fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["X-Payload-Length"])
+                            if fields["WARC-Type"] == "response":
+                                digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
+                            rows.append((number(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], number(fields.get("WARC-Refers-To"))))
+                        yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    back = names.select("name").mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return back.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
