@@ -13,20 +13,20 @@ MIN_NAMES = 10
 
 
 def compute_ic(panel: DataFrame, factor: str, fwd: str, method: str = "rank", by=("date",)) -> DataFrame:
-    """by, ic, n: correlation of factor and forward return on rows with both; null under 10 names, and an exact 0 is null."""
-    rows = panel.where(F.col(factor).isNotNull() & F.col(fwd).isNotNull())
-    if method == "rank":
-        rows = rows.withColumn("_f", rank_avg(factor, by)).withColumn("_r", rank_avg(fwd, by))
-    else:
-        rows = rows.withColumn("_f", F.col(factor)).withColumn("_r", F.col(fwd))
-    ic = F.when(F.count("*") >= MIN_NAMES, F.nullif(correlation("_f", "_r"), F.lit(0.0)))
-    return rows.groupBy(*by).agg(ic.alias("ic"), F.count("*").alias("n"))
+    """by, ic, n for every date: correlation of factor and forward return on rows with both; null under 10 names, and an exact 0 is null."""
+    rows = panel.withColumn("_ok", F.col(factor).isNotNull() & F.col(fwd).isNotNull())
+    value = (lambda c: rank_avg(c, (*by, "_ok"))) if method == "rank" else F.col
+    rows = rows.select(*by, *[F.when(F.col("_ok"), value(c)).alias(n) for c, n in ((factor, "_f"), (fwd, "_r"))])
+    ic = F.when(F.count("_f") >= MIN_NAMES, F.nullif(F.round(correlation("_f", "_r"), 12), F.lit(0.0)))
+    return rows.groupBy(*by).agg(ic.alias("ic"), F.count("_f").alias("n"))
 
 
-def icir(ic: DataFrame, decay: float = 1.0, by=()) -> DataFrame:
-    """Weighted mean, deviation (ddof 0), ICIR, share over 0, mean |IC| and count; the newest date weighs 1."""
+def icir(ic: DataFrame, decay: float = 1.0, by=(), window: int | None = None) -> DataFrame:
+    """With `window` over the newest so many dates only. Weighted mean, deviation (ddof 0), ICIR, share over 0, mean |IC| and count; the newest date weighs 1."""
     w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("date"))
     rows = ic.where("ic is not null").withColumn("_w", F.pow(F.lit(decay), F.row_number().over(w) - 1))
+    if window is not None:
+        rows = rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= window)
     sums = rows.groupBy(*by).agg(
         (F.sum(F.col("_w") * F.col("ic")) / F.sum("_w")).alias("mean_ic"),
         (F.sum(F.col("_w") * F.col("ic") * F.col("ic")) / F.sum("_w")).alias("_sq"),
@@ -48,9 +48,60 @@ def quantile_returns(panel: DataFrame, factor: str, fwd: str, g: int = 5) -> Dat
     return daily.groupBy("grp").agg(F.avg("r").alias("mean_ret"), F.count("*").alias("n_dates"))
 
 
-def ic_decay(panel: DataFrame, factor: str, horizons: list[int], price: str = "close") -> DataFrame:
-    """horizon and mean IC: all leads in one window, unpivoted, then one IC pass."""
+def ic_decay(panel: DataFrame, factor: str, horizons: list[int], price: str = "close", decay: float = 1.0) -> DataFrame:
+    """horizon, weighted mean IC, n: all leads in one window, unpivoted, then one IC pass."""
     wide = panel.select("date", "code", factor, *[fwd_return(F.col(price), h).alias(str(h)) for h in horizons])
     long = wide.unpivot(["date", "code", factor], [str(h) for h in horizons], "horizon", "fwd")
-    ic = compute_ic(long, factor, "fwd", by=("horizon", "date"))
-    return ic.groupBy(F.col("horizon").cast("int").alias("horizon")).agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("n"))
+    means = icir(compute_ic(long, factor, "fwd", by=("horizon", "date")), decay, ("horizon",))
+    return means.select(F.col("horizon").cast("int").alias("horizon"), "mean_ic", "n")
+
+
+def long_short(groups: DataFrame) -> DataFrame:
+    """The first group's mean return less the last one's, from `quantile_returns`."""
+    ends = groups.agg(F.min_by("mean_ret", "grp").alias("a"), F.max_by("mean_ret", "grp").alias("b"))
+    return ends.select((F.col("a") - F.col("b")).alias("long_short"))
+
+
+def ic_table(panel: DataFrame, factors: list[str], fwd: str) -> DataFrame:
+    """factor, date, ic, n of many factors in one pass."""
+    long = panel.select("date", "code", fwd, *factors).unpivot(["date", "code", fwd], factors, "factor", "x")
+    return compute_ic(long, "x", fwd, by=("factor", "date"))
+
+
+def factor_summary(table: DataFrame, decay: float = 1.0) -> DataFrame:
+    return icir(table, decay, ("factor",))
+
+
+def strong_factors(table: DataFrame, until: str, min_ic: float, min_icir: float) -> DataFrame:
+    """factor, mean_ic, icir (deviation with ddof 0) of the training dates, for factors over both thresholds."""
+    a = table.where((F.col("date") < F.lit(until)) & F.col("ic").isNotNull()).groupBy("factor").agg(F.avg("ic").alias("mean_ic"), ratio(F.avg("ic"), F.stddev_pop("ic")).alias("icir"))
+    return a.where((F.abs("mean_ic") >= min_ic) & (F.abs("icir") >= min_icir))
+
+
+def factor_correlations(table: DataFrame) -> DataFrame:
+    """a, b, corr of the factors' IC series, pair by pair on their common dates."""
+    x = table.where("ic is not null").select("date", F.col("factor").alias("a"), F.col("ic").alias("x"))
+    y = table.where("ic is not null").select("date", F.col("factor").alias("b"), F.col("ic").alias("y"))
+    return x.join(y, "date").where("a < b").groupBy("a", "b").agg(correlation("x", "y").alias("corr"))
+
+
+def drop_correlated(strong: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
+    """strong without factors that correlate over `limit` with one of larger |mean IC|."""
+    s = strong.select(F.col("factor"), F.abs("mean_ic").alias("m"))
+    both = pairs.where(F.abs("corr") > limit).join(s.select(F.col("factor").alias("a"), F.col("m").alias("ma")), "a").join(s.select(F.col("factor").alias("b"), F.col("m").alias("mb")), "b")
+    lose = both.select(F.when(F.struct("ma", "b") > F.struct("mb", "a"), F.col("b")).otherwise(F.col("a")).alias("factor")).distinct()
+    return strong.join(lose, "factor", "left_anti")
+
+
+def icir_weights(table: DataFrame, window: int = 60, least: int = 5) -> DataFrame:
+    """date, factor, weight: max(ICIR, 0) of the `window` rows before, normalised by date; 0 under `least` values."""
+    f = Window.partitionBy("factor").orderBy("date").rowsBetween(-window, -1)
+    m = F.avg("ic").over(f)
+    x = F.when(F.count("ic").over(f) >= least, F.greatest(F.coalesce(ratio(m, F.stddev_pop("ic").over(f)), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    rows = table.select("date", "factor", x.alias("_x"))
+    return rows.select("date", "factor", F.coalesce(ratio(F.col("_x"), F.sum("_x").over(Window.partitionBy("date"))), F.lit(0.0)).alias("weight"))
+
+
+def top_factors(table: DataFrame, n: int = 15) -> DataFrame:
+    """The n factors of largest absolute mean IC."""
+    return table.groupBy("factor").agg(F.avg("ic").alias("mean_ic")).orderBy(F.desc(F.abs("mean_ic")), "factor").limit(n)

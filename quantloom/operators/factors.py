@@ -2,54 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.scalars import ratio
-from quantloom.operators.windows import own_rows, pct_change, rolling
+from quantloom.functions.scalars import invert, log_pos, ratio
+from quantloom.operators.windows import cum_sum, densify, diff, own_rows, pct_change, rolling
 
-
-def _delta(c: Column) -> Column:
-    return c - F.lag(c, 1).over(own_rows())
+EPS = 1e-8
+C = F.col
 
 
 def _with_steps(panel: DataFrame) -> DataFrame:
-    """A missing change is a gain and loss of 0. ret, gain, loss, dvol, obv as columns, since window functions can't nest."""
-    c, v = F.col("close"), F.col("volume")
-    d = _delta(c)
-    return (
-        panel.withColumn("ret", pct_change(c, 1))
-        .withColumn("gain", F.when(d > 0, d).otherwise(0.0))
-        .withColumn("loss", F.when(d < 0, -d).otherwise(0.0))
-        .withColumn("dvol", pct_change(v, 1))
-        .withColumn("obv", F.sum(F.coalesce(v * F.signum(d), F.lit(0.0))).over(own_rows().rowsBetween(Window.unboundedPreceding, 0)))
-    )
-
-
-def _catalogue() -> dict:
-    c = F.col("close")
-    out = {f"mom_{n}": pct_change(c, n) for n in (1, 3, 6, 12)}
-    out |= {f"rev_{n}": pct_change(c, n) for n in (2, 5, 10)}
-    up, down = rolling(F.avg, F.col("gain"), 14), rolling(F.avg, F.col("loss"), 14)
-    rs = up / (down + 1e-8)
-    ma5, ma20 = rolling(F.avg, c, 5), rolling(F.avg, c, 20)
-    high, low = rolling(F.max, F.col("high"), 14), rolling(F.min, F.col("low"), 14)
-    out["mom_skip"] = ratio(F.lag(c, 1).over(own_rows()), F.lag(c, 13).over(own_rows())) - 1
-    out["rsi_14"] = 100 * rs / (1 + rs)
-    out["ma_5_20_cross"] = F.when(ma5 > ma20, 1.0).otherwise(0.0)
-    out["bias_20"] = (c - ma20) / (ma20 + 1e-8)
-    out["willr_14"] = -100 * (high - c) / (high - low + 1e-8)
-    out |= {f"vol_{n}": rolling(F.stddev_samp, F.col("ret"), n) for n in (6, 12, 20)}
-    out["amihud_illiq"] = rolling(F.avg, F.abs(F.col("ret")) / (F.col("money") + 1e-8), 20)
-    out["turnover_20"] = rolling(F.avg, F.col("volume"), 20)
-    out["volume_ratio"] = F.col("volume") / (rolling(F.avg, F.col("volume"), 20) + 1e-8)
-    out["amount_20"] = rolling(F.avg, F.col("money"), 20)
-    out["price_volume_corr"] = rolling(F.avg, F.col("ret") * F.col("dvol"), 20)
-    out["obv_slope"] = (F.col("obv") - F.lag("obv", 20).over(own_rows())) / 20
-    return out
-
-
-def compute_factors(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """date, code and the named factors (all by default); windows count a code's own rows."""
-    made = _catalogue()
-    return _with_steps(panel).select("date", "code", *[made[n].alias(n) for n in (names or made)])
+    """ret, gain, loss, dvol, obv as columns, since window functions can't nest; a missing change is a gain and loss of 0."""
+    d = diff(C("close"), 1)
+    steps = panel.withColumn("ret", pct_change(C("close"), 1)).withColumn("dvol", pct_change(C("volume"), 1))
+    steps = steps.withColumn("gain", F.when(d > 0, d).otherwise(0.0)).withColumn("loss", F.when(d < 0, -d).otherwise(0.0))
+    return steps.withColumn("signed", C("volume") * F.signum(d)).withColumn("obv", cum_sum(C("signed")))
+
+
+def _mean(x, n) -> Column:
+    return rolling(F.avg, x if isinstance(x, Column) else C(x), n)
+
+
+def _vol(n) -> Column:
+    return rolling(F.stddev_samp, C("ret"), n)
+
+
+def _bias(n) -> Column:
+    return (C("close") - _mean("close", n)) / (_mean("close", n) + EPS)
+
+
+def _rsi(n) -> Column:
+    rs = _mean("gain", n) / (_mean("loss", n) + EPS)
+    return 100 * rs / (1 + rs)
+
+
+def _willr(n) -> Column:
+    high, low = rolling(F.max, C("high"), n), rolling(F.min, C("low"), n)
+    return -100 * (high - C("close")) / (high - low + EPS)
+
+
+#: name: (function of the windows, default windows, direction, columns read)
+PRICE = {
+    **{f"mom_{m}m": (lambda n: pct_change(C("close"), n), (20 * k,), 1, ("close",)) for m, k in ((1, 1), (3, 3), (6, 6), (12, 12))},
+    "mom_skip_1m": (lambda a, b: ratio(F.lag("close", a).over(own_rows()), F.lag("close", b).over(own_rows())) - 1, (20, 260), 1, ("close",)),
+    **{f"rev_{d}d": (lambda n: pct_change(C("close"), n), (d,), -1, ("close",)) for d in (5, 10, 20)},
+    "rsi_14": (_rsi, (14,), 1, ("close",)),
+    "ma_5_20_cross": (lambda a, b: F.when(_mean("close", a) > _mean("close", b), 1.0).otherwise(0.0), (5, 20), 1, ("close",)),
+    "bias_20": (_bias, (20,), -1, ("close",)),
+    "willr_14": (_willr, (14,), 1, ("high", "low", "close")),
+    **{f"vol_{n}d": (_vol, (n,), -1, ("close",)) for n in (20, 60, 120)},
+    "amihud_illiq": (lambda n: _mean(F.abs("ret") / (C("money") + EPS), n), (20,), -1, ("close", "money")),
+    "turnover_20d": (lambda n: _mean("volume", n), (20,), -1, ("volume",)),
+    "volume_ratio": (lambda n: C("volume") / (_mean("volume", n) + EPS), (20,), 1, ("volume",)),
+    "amount_20d": (lambda n: _mean("money", n), (20,), 1, ("money",)),
+    "price_volume_corr": (lambda n: _mean(C("ret") * C("dvol"), n), (20,), 1, ("close", "volume")),
+    "obv_slope": (lambda n: (C("obv") - F.lag("obv", n).over(own_rows())) / n, (20,), 1, ("close", "volume")),
+    **{f"drv_MA{n}": (lambda n: _mean("close", n), (n,), 1, ("close",)) for n in (5, 10, 20, 60)},
+    **{f"drv_BIAS{n}": (lambda n: ratio(C("close") - _mean("close", n), _mean("close", n)) * 100, (n,), 1, ("close",)) for n in (5, 10, 20, 60)},
+    **{f"drv_MOM_{n}d": (lambda n: pct_change(C("close"), n), (n,), 1, ("close",)) for n in (1, 5, 10, 20, 60)},
+    **{f"drv_VOL_{n}": (_vol, (n,), 1, ("close",)) for n in (5, 10, 20, 60)},
+    **{f"drv_VR_{n}": (lambda n: ratio(C("volume"), _mean("volume", n)), (n,), 1, ("volume",)) for n in (5, 20)},
+    **{f"drv_R{n}": (lambda n: -pct_change(C("close"), n), (n,), 1, ("close",)) for n in (5, 20)},
+    "drv_VRatio_20_60": (lambda a, b: ratio(_vol(a), _vol(b)), (20, 60), 1, ("close",)),
+}
+VALUE = {
+    "pe_ttm": (lambda: C("pe_ratio"), (), -1, ("pe_ratio",)),
+    "pb_ratio": (lambda: C("pb_ratio"), (), -1, ("pb_ratio",)),
+    "ps_ratio": (lambda: C("ps_ratio"), (), -1, ("ps_ratio",)),
+    "market_cap": (lambda: log_pos(C("market_cap")), (), -1, ("market_cap",)),
+    "ep_ratio": (lambda: invert(C("pe_ratio")), (), 1, ("pe_ratio",)),
+    "bp_ratio": (lambda: invert(C("pb_ratio")), (), 1, ("pb_ratio",)),
+    "sp_ratio": (lambda: invert(C("ps_ratio")), (), 1, ("ps_ratio",)),
+    "turnover_ratio": (lambda: C("turnover_ratio"), (), -1, ("turnover_ratio",)),
+    "dividend_yield": (lambda: C("dividend_ratio"), (), 1, ("dividend_ratio",)),
+    "log_market_cap": (lambda: log_pos(C("market_cap")), (), -1, ("market_cap",)),
+}
+FLOW = {
+    **{f"hk_hold_ratio_change_{n}d": (lambda n: diff(C("share_ratio"), n), (n,), 1, ("share_ratio",)) for n in (5, 20)},
+    **{f"margin_fin_chg{n}d": (lambda n: pct_change(C("fin_value"), n), (n,), 1, ("fin_value",)) for n in (5, 20)},
+    "margin_sec_chg5d": (lambda n: pct_change(C("sec_value"), n), (5,), 1, ("sec_value",)),
+    **{f"mf_net_big_{n}d": (lambda n: _mean(C("big_in") - C("big_out"), n), (n,), 1, ("big_in", "big_out")) for n in (5, 20)},
+    "mf_big_ratio_5d": (lambda n: _mean(F.when(C("flow") > 0, (C("big_in") - C("big_out")) / C("flow")).otherwise(0.0), n), (5,), 1, ("big_in", "big_out", "flow")),
+}
+CATALOGUE = PRICE | VALUE | FLOW
+
+
+def compute_factors(panel: DataFrame, names: list[str] | None = None, params: dict | None = None, grid: str = "own", own: dict | None = None) -> DataFrame:
+    """date, code and the named factors, all that the panel has the columns for by default.
+
+    `params` gives other windows by factor; `grid` counts windows in a code's own rows or in days of the union calendar; `own` adds
+    factors of the caller: a name and a function of no argument that returns a column, which may read factors named before it.
+    """
+    known = [n for n in (names or CATALOGUE) if n in CATALOGUE and set(CATALOGUE[n][3]) <= set(panel.columns)]
+    rows = densify(panel) if grid == "calendar" else panel
+    if {"close", "volume"} <= set(panel.columns):
+        rows = _with_steps(rows)
+    made = []
+    for n in known:
+        fn, windows, _, _ = CATALOGUE[n]
+        windows = (params or {}).get(n, windows)
+        made.append(fn(*(windows if isinstance(windows, tuple) else (windows,))).alias(n))
+    if not own:
+        return rows.select("date", "code", *made)
+    out = rows.select("*", *made)
+    for n, fn in own.items():
+        out = out.withColumn(n, fn())
+    return out.select("date", "code", *known, *own)

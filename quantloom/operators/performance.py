@@ -33,19 +33,19 @@ def metrics(returns: DataFrame) -> DataFrame:
         F.min("drawdown").alias("max_drawdown"),
         F.first("var_95").alias("var_95"),
         F.avg(F.when(r <= F.col("var_95"), r)).alias("cvar_95"),
-        F.skewness(r).alias("skewness"),
-        F.kurtosis(r).alias("kurtosis"),
+        F.when(F.count(r) < 3, 0.0).otherwise(F.skewness(r)).alias("skewness"),
+        F.when(F.count(r) < 4, 0.0).otherwise(F.kurtosis(r)).alias("kurtosis"),
         F.avg((r > 0).cast("double")).alias("win_rate"),
         F.avg(F.when(r > 0, r)).alias("avg_win"),
         F.avg(F.when(r < 0, r)).alias("avg_loss"),
-        ratio(gain, loss).alias("profit_factor"),
+        F.when(loss > 0, ratio(F.coalesce(gain, F.lit(0.0)), loss)).otherwise(F.when(gain > 0, float("inf")).otherwise(0.0)).alias("profit_factor"),
     )
     a = a.withColumn("annual_return", F.pow(1 + F.col("total_return"), YEAR / F.col("n")) - 1)
     excess = F.col("annual_return") - RISK_FREE
     return (
         a.withColumn("sharpe", ratio(excess, F.col("volatility")))
         .withColumn("sortino", ratio(excess, F.col("_down")))
-        .withColumn("calmar", ratio(F.col("annual_return"), F.abs("max_drawdown")))
+        .withColumn("calmar", F.coalesce(ratio(F.col("annual_return"), F.abs("max_drawdown")), F.lit(0.0)))
         .drop("_down")
     )
 

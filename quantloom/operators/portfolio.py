@@ -14,8 +14,11 @@ def normalise(weights: DataFrame, x: str = "weight") -> DataFrame:
     return weights.withColumn(x, ratio(F.col(x), F.sum(x).over(Window.partitionBy(*BOOK))))
 
 
-def weight_cap(weights: DataFrame, cap: float, rounds: int = 10) -> DataFrame:
-    """Cap and spread the excess over uncapped names pro rata, for `rounds` rounds; one partitioning serves all windows."""
+def weight_cap(weights: DataFrame, cap: float, rounds: int = 10, mode: str = "selector") -> DataFrame:
+    """Cap and spread the excess over uncapped names pro rata, for `rounds` rounds; one partitioning serves all windows.
+
+    At the end the modes `optimizer` and `engine` clip once more, and `selector` and `optimizer` let each book sum to 1.
+    """
     book = Window.partitionBy(*BOOK)
     out = weights
     for _ in range(rounds):
@@ -23,7 +26,9 @@ def weight_cap(weights: DataFrame, cap: float, rounds: int = 10) -> DataFrame:
         excess = F.sum(F.greatest(w - cap, F.lit(0.0))).over(book)
         room = F.sum(F.when(w < cap, w)).over(book)
         out = out.withColumn("weight", F.when(w >= cap, cap).otherwise(w + F.coalesce(w * ratio(excess, room), F.lit(0.0))))
-    return out
+    if mode != "selector":
+        out = out.withColumn("weight", F.least("weight", F.lit(cap)))
+    return out if mode == "engine" else normalise(out)
 
 
 def turnover(weights: DataFrame) -> DataFrame:
@@ -47,6 +52,88 @@ def position_ledger(trades: DataFrame, order: list[str]) -> DataFrame:
     return trades.withColumn("shares", F.sum(signed).over(w))
 
 
-def rebalance_dates(calendar: DataFrame, freq: str) -> DataFrame:
-    """First traded day of each week, month or quarter."""
-    return calendar.groupBy(F.date_trunc(freq, "date").cast("date").alias("period")).agg(F.min("date").alias("date"))
+def rebalance_dates(calendar: DataFrame, freq: str, weekday: int | None = None) -> DataFrame:
+    """First traded day of each day, week, two weeks, month or quarter; with `weekday` (0 is Monday) that day where it is traded."""
+    unit = "week" if freq == "biweek" else freq
+    first = F.min("date") if weekday is None else F.coalesce(F.min(F.when(F.weekday("date") == weekday, F.col("date"))), F.min("date"))
+    out = calendar.groupBy(F.date_trunc(unit, "date").cast("date").alias("period")).agg(first.alias("date"))
+    if freq == "biweek":  # every second week that is there
+        out = out.withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("period"))).where("_k % 2 = 1").drop("_k")
+    return out
+
+
+def weekday_dates(calendar: DataFrame, weekday: int) -> DataFrame:
+    """The traded days that fall on the weekday, without a substitute."""
+    return calendar.where(F.weekday("date") == weekday).select("date").distinct()
+
+
+def equal_weight(names: DataFrame, by=BOOK) -> DataFrame:
+    return names.withColumn("weight", 1 / F.count("*").over(Window.partitionBy(*by)))
+
+
+def inverse_vol_weight(names: DataFrame, vol: str, floor: float = 0.01, default: float = 0.02) -> DataFrame:
+    """1 over the volatility, which is `default` where unknown and `floor` at least, normalised by book."""
+    return normalise(names.withColumn("weight", 1 / F.greatest(F.coalesce(F.col(vol), F.lit(default)), F.lit(floor))))
+
+
+def strength_weight(names: DataFrame, strength: str) -> DataFrame:
+    """Industries by max(strength, 0), equal inside; equal weights where a value lacks or all are 0. names: portfolio, date, industry, code."""
+    inside = F.count("*").over(Window.partitionBy(*BOOK, "industry"))
+    book = Window.partitionBy(*BOOK)
+    up = F.greatest(F.col(strength), F.lit(0.0)) / inside
+    whole = F.count(strength).over(book) == F.count("*").over(book)
+    rows = names.withColumn("_u", up).withColumn("_ok", whole).withColumn("_n", F.count("*").over(book))
+    total = F.sum("_u").over(book)
+    return rows.withColumn("weight", F.when(F.col("_ok") & (total > 0), ratio(F.col("_u"), total)).otherwise(1 / F.col("_n"))).drop("_u", "_ok", "_n")
+
+
+def industry_weights(weights: DataFrame) -> DataFrame:
+    return weights.groupBy(*BOOK, "industry").agg(F.sum("weight").alias("weight"))
+
+
+def industry_cap(weights: DataFrame, cap: float) -> DataFrame:
+    """Scale down the names of an industry over the cap; what is cut is not spread."""
+    total = F.sum("weight").over(Window.partitionBy(*BOOK, "industry"))
+    return weights.withColumn("weight", F.col("weight") * F.least(F.lit(1.0), ratio(F.lit(cap), total)))
+
+
+def changes(weights: DataFrame) -> DataFrame:
+    """portfolio, date, code, old, new against the portfolio's previous date, over the union of names; the first date has no row."""
+    dates = weights.select(*BOOK).distinct()
+    dates = dates.withColumn("prev", F.lag("date").over(Window.partitionBy("portfolio").orderBy("date"))).where("prev is not null")
+    new = dates.join(weights, [*BOOK]).select(*BOOK, "code", F.lit(0.0).alias("o"), F.col("weight").alias("n"))
+    old = dates.join(weights.withColumnRenamed("date", "prev"), ["portfolio", "prev"]).select(*BOOK, "code", F.col("weight").alias("o"), F.lit(0.0).alias("n"))
+    return new.unionByName(old).groupBy(*BOOK, "code").agg(F.sum("o").alias("old"), F.sum("n").alias("new"))
+
+
+def turnover_limit(changed: DataFrame, limit: float) -> DataFrame:
+    """changed plus weight: the new weights, or the part of the way to them that the one-way turnover allows."""
+    total = F.sum(F.abs(F.col("new") - F.col("old"))).over(Window.partitionBy(*BOOK)) / 2
+    part = F.when(total > limit, limit / F.nullif(total, F.lit(0.0))).otherwise(1.0)
+    return changed.withColumn("weight", F.col("old") + part * (F.col("new") - F.col("old")))
+
+
+def smooth_step(changed: DataFrame, limit: float, new_share: float = 0.25) -> DataFrame:
+    """changed plus weight: a blend of new and old where the total change passes the limit, normalised by book."""
+    total = F.sum(F.abs(F.col("new") - F.col("old"))).over(Window.partitionBy(*BOOK))
+    blend = F.when(total > limit, new_share * F.col("new") + (1 - new_share) * F.col("old")).otherwise(F.col("new"))
+    return normalise(changed.withColumn("weight", blend))
+
+
+def holdings_check(weights: DataFrame, least: int) -> DataFrame:
+    """portfolio, date, n active names, ok."""
+    n = F.count(F.when(F.col("weight") > 1e-6, 1))
+    return weights.groupBy(*BOOK).agg(n.alias("n"), (n >= least).alias("ok"))
+
+
+def effective_weights(weights: DataFrame, scale: DataFrame, cap: float) -> DataFrame:
+    """weights times the date's scale, capped without a final normalisation, names under 1e-6 dropped; scale 0 gives an empty book."""
+    scaled = weights.join(F.broadcast(scale), "date").withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
+    return weight_cap(scaled, cap, mode="engine").where("weight > 1e-6")
+
+
+def holdings_diff(weights: DataFrame) -> DataFrame:
+    """portfolio, date, names added and removed against the previous date, and the name-based turnover."""
+    c = changes(weights)
+    add, cut = F.count(F.when((F.col("old") == 0) & (F.col("new") > 0), 1)), F.count(F.when((F.col("old") > 0) & (F.col("new") == 0), 1))
+    return c.groupBy(*BOOK).agg(add.alias("added"), cut.alias("removed"), ((add + cut) / F.count("*")).alias("name_turnover"))

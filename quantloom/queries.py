@@ -9,6 +9,7 @@ from quantloom.functions.scalars import clip, invert, log_pos
 from quantloom.operators import cross_section as xs
 from quantloom.operators import evaluation, factors, performance, portfolio
 from quantloom.operators.windows import densify, fwd_return, pct_change, rolling
+from quantloom import queries_factors, queries_returns, queries_trading
 from quantloom.sources import market
 
 CAP = 0.08
@@ -27,22 +28,6 @@ def bars(spark, sf_dir):
     return rounded(market.bars(spark, sf_dir), 8)
 
 
-def momentum_factors(spark, sf_dir):
-    return rounded(factors.compute_factors(market.bars(spark, sf_dir), ["mom_1", "mom_3", "mom_6", "mom_12", "rev_2", "mom_skip"]))
-
-
-def technical_factors(spark, sf_dir):
-    return rounded(factors.compute_factors(market.bars(spark, sf_dir), ["rsi_14", "ma_5_20_cross", "bias_20", "willr_14"]), 4)
-
-
-def volatility_factors(spark, sf_dir):
-    return rounded(factors.compute_factors(market.bars(spark, sf_dir), ["vol_6", "vol_12", "vol_20"]))
-
-
-def volume_factors(spark, sf_dir):
-    return rounded(factors.compute_factors(market.bars(spark, sf_dir), ["turnover_20", "volume_ratio", "amount_20", "price_volume_corr", "obv_slope"]), 4)
-
-
 def calendar_momentum(spark, sf_dir):
     grid = densify(market.bars(spark, sf_dir).select("date", "code", "close"))
     return rounded(grid.select("date", "code", pct_change(F.col("close"), 2).alias("mom_2")))
@@ -84,7 +69,7 @@ def quantile_returns(spark, sf_dir):
 
 
 def ic_decay(spark, sf_dir):
-    return rounded(evaluation.ic_decay(_scored(spark, sf_dir), "mom", [1, 2, 4, 6]))
+    return rounded(evaluation.ic_decay(_scored(spark, sf_dir), "mom", [1, 2, 4, 6], decay=0.97))
 
 
 def industry_momentum(spark, sf_dir):
@@ -109,12 +94,6 @@ def top_per_industry(spark, sf_dir):
     return rounded(xs.top_n(s, "mom", 2, ("date", "industry")).select("date", "industry", "code", "mom", "rank"))
 
 
-def latest_row(spark, sf_dir):
-    """As-of cross-section on the last day of each quarter: the newest bar per code up to then."""
-    b = market.bars(spark, sf_dir).select("code", F.date_trunc("quarter", "date").cast("date").alias("quarter"), "date", "close")
-    return rounded(b.groupBy("code", "quarter").agg(F.max("date").alias("last_date"), F.max_by("close", "date").alias("close")))
-
-
 def market_scale(spark, sf_dir):
     index = market.bars(spark, sf_dir).groupBy("date").agg((F.sum("money") / F.sum("volume")).alias("close"))
     w = Window.partitionBy(F.lit(1)).orderBy("date")  # one row per date
@@ -124,7 +103,7 @@ def market_scale(spark, sf_dir):
 
 
 def capped_weights(spark, sf_dir):
-    return rounded(portfolio.weight_cap(portfolio.normalise(market.book(spark, sf_dir)), CAP, 3))
+    return rounded(portfolio.weight_cap(portfolio.normalise(market.book(spark, sf_dir)), CAP))
 
 
 def turnover(spark, sf_dir):
@@ -168,8 +147,8 @@ def monthly_returns(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        bars, momentum_factors, technical_factors, volatility_factors, volume_factors, calendar_momentum, valuation_factors, cross_section,
-        winsorized, rank_ic, pearson_ic, icir, quantile_returns, ic_decay, industry_momentum, rrg, top_per_industry, latest_row, market_scale,
+        bars, calendar_momentum, valuation_factors, cross_section,
+        winsorized, rank_ic, pearson_ic, icir, quantile_returns, ic_decay, industry_momentum, rrg, top_per_industry, market_scale,
         capped_weights, turnover, concentration, rebalance_dates, position_ledger, nav, metrics, strategy_correlations, monthly_returns,
     )
 }
@@ -193,27 +172,15 @@ def _roll(fn: str, x: str, n: int) -> str:
 
 def _ic(rows: str, f: str = _AVG.format("mom"), r: str = _AVG.format("fwd")) -> str:
     return f"""r as (select date, {f} as f, {r} as r from {rows} where mom is not null and fwd is not null),
-        ic as (select date, case when count(*) >= 10 then nullif(corr(f, r), 0) end as ic, count(*) as n from r group by date)"""
+        c as (select date, case when count(*) >= 10 then nullif(round(corr(f, r), 12), 0) end as ic, count(*) as n from r group by date),
+        ic as (select d.date, ic, coalesce(n, 0) as n from (select distinct date from {rows}) d left join c on c.date = d.date)"""
 
 
-_STEPS = f"""{_BARS}, d as (select *, close - lag(close) over {_W} as dc, close / lag(close) over {_W} - 1 as ret, volume / lag(volume) over {_W} - 1 as dvol from bars),
-    e as (select *, case when dc > 0 then dc else 0 end as gain, case when dc < 0 then -dc else 0 end as loss, ret * dvol as rv,
-          sum(coalesce(volume * sign(dc), 0)) over (partition by code order by date rows unbounded preceding) as obv from d)"""
 _CAP_ROUND = """case when weight >= {c} then {c} else weight + coalesce(weight * sum(greatest(weight - {c}, 0)) over (partition by portfolio, date)
     / nullif(sum(case when weight < {c} then weight end) over (partition by portfolio, date), 0), 0) end as weight""".format(c=CAP)
 
 ORACLE = {
     "bars": f"with {_BARS} select date, code, round(open, 8) as open, round(high, 8) as high, round(low, 8) as low, round(close, 8) as close, round(volume, 8) as volume, round(money, 8) as money from bars",
-    "momentum_factors": f"with {_BARS} select date, code, "
-    + ", ".join(f"round(close / lag(close, {n}) over {_W} - 1, 6) as {name}" for name, n in (("mom_1", 1), ("mom_3", 3), ("mom_6", 6), ("mom_12", 12), ("rev_2", 2)))
-    + f", round(lag(close, 1) over {_W} / lag(close, 13) over {_W} - 1, 6) as mom_skip from bars",
-    "technical_factors": f"""with {_STEPS}, f as (select *, {_roll('avg', 'gain', 14)} as up, {_roll('avg', 'loss', 14)} as down, {_roll('avg', 'close', 5)} as a,
-        {_roll('avg', 'close', 20)} as b, {_roll('max', 'high', 14)} as hh, {_roll('min', 'low', 14)} as ll from e)
-        select date, code, round(100 * (up / (down + 1e-8)) / (1 + up / (down + 1e-8)), 4) as rsi_14, case when a > b then 1.0::double else 0.0::double end as ma_5_20_cross,
-        round((close - b) / (b + 1e-8), 4) as bias_20, round(-100 * (hh - close) / (hh - ll + 1e-8), 4) as willr_14 from f""",
-    "volatility_factors": f"with {_STEPS} select date, code, " + ", ".join(f"round({_roll('stddev_samp', 'ret', n)}, 6) as vol_{n}" for n in (6, 12, 20)) + " from e",
-    "volume_factors": f"""with {_STEPS} select date, code, round({_roll('avg', 'volume', 20)}, 4) as turnover_20, round(volume / ({_roll('avg', 'volume', 20)} + 1e-8), 4) as volume_ratio,
-        round({_roll('avg', 'money', 20)}, 4) as amount_20, round({_roll('avg', 'rv', 20)}, 4) as price_volume_corr, round((obv - lag(obv, 20) over {_W}) / 20, 4) as obv_slope from e""",
     "calendar_momentum": f"""with {_BARS}, g as (select d.date, c.code, close from (select distinct date from bars) d cross join (select distinct code from bars) c
         left join bars b on b.date = d.date and b.code = c.code) select date, code, round(close / lag(close, 2) over {_W} - 1, 6) as mom_2 from g""",
     "valuation_factors": """with v as (select cast(l_suppkey as varchar) as code, cast(date_trunc('month', l_shipdate) as date) as date, sum(l_extendedprice) as cap,
@@ -239,8 +206,9 @@ ORACLE = {
         (select *, lead(close, 1) over {_W} / close - 1 as f1, lead(close, 2) over {_W} / close - 1 as f2, lead(close, 4) over {_W} / close - 1 as f4, lead(close, 6) over {_W} / close - 1 as f6 from s)
         cross join (values (1), (2), (4), (6)) t(h)), v as (select * from l where mom is not null and fwd is not null),
         r as (select horizon, date, {_AVG.format('mom').replace('partition by date', 'partition by horizon, date')} as f, {_AVG.format('fwd').replace('partition by date', 'partition by horizon, date')} as r from v),
-        ic as (select horizon, date, case when count(*) >= 10 then nullif(corr(f, r), 0) end as ic from r group by 1, 2)
-        select horizon, round(avg(ic), 6) as mean_ic, count(ic) as n from ic group by horizon""",
+        ic as (select horizon, date, case when count(*) >= 10 then nullif(round(corr(f, r), 12), 0) end as ic from r group by 1, 2),
+        k as (select *, pow(0.97, row_number() over (partition by horizon order by date desc) - 1) as w from ic where ic is not null)
+        select horizon, round(case when count(*) >= 10 then sum(w * ic) / sum(w) else 0 end, 6) as mean_ic, count(*) as n from k group by horizon""",
     "industry_momentum": f"""with {_SCORED}, {_IND}, g as (select date, industry, avg(mom) as mom, count(mom) as n from s join ind using (code) group by 1, 2),
         r as (select *, row_number() over (partition by date order by mom desc, industry) as rank from g where mom is not null)
         select date, industry, round(mom, 6) as mom, n, cast(rank as integer) as rank from r where rank <= 5""",
@@ -250,13 +218,12 @@ ORACLE = {
         select date, industry, round(rr, 6) as rs_ratio, round(100 * rr / lag(rr, 3) over (partition by industry order by date), 6) as rs_mom from f""",
     "top_per_industry": f"""with {_SCORED}, {_IND}, r as (select date, industry, code, mom, row_number() over (partition by date, industry order by mom desc, code) as rank
         from s join ind using (code) where mom is not null) select date, industry, code, round(mom, 6) as mom, cast(rank as integer) as rank from r where rank <= 2""",
-    "latest_row": f"""with {_BARS} select code, cast(date_trunc('quarter', date) as date) as quarter, max(date) as last_date, round(arg_max(close, date), 6) as close from bars group by 1, 2""",
     "market_scale": f"""with {_BARS}, i as (select date, sum(money) / sum(volume) as c from bars group by 1), m as (select date, c,
         case when count(*) over (order by date rows 11 preceding) = 12 then avg(c) over (order by date rows 11 preceding) end as a,
         case when count(*) over (order by date rows 3 preceding) = 4 then avg(c) over (order by date rows 3 preceding) end as b from i)
         select date, cast(case when c < a then 0.0 when c < b then 0.5 else 1.0 end as double) as scale from m""",
-    "capped_weights": f"""with {_BOOK}, w1 as (select portfolio, date, code, {_CAP_ROUND} from w), w2 as (select portfolio, date, code, {_CAP_ROUND} from w1),
-        w3 as (select portfolio, date, code, {_CAP_ROUND} from w2) select portfolio, date, code, round(weight, 6) as weight from w3""",
+    "capped_weights": f"with {_BOOK}, w0 as (select * from w), " + ", ".join(f"w{i + 1} as (select portfolio, date, code, {_CAP_ROUND} from w{i})" for i in range(10))
+    + " select portfolio, date, code, round(weight / sum(weight) over (partition by portfolio, date), 6) as weight from w10",
     "turnover": f"""with {_BOOK}, d as (select portfolio, date, lag(date) over (partition by portfolio order by date) as prev from (select distinct portfolio, date from w)),
         c as (select d.portfolio, d.date, code, weight as x from d join w on w.portfolio = d.portfolio and w.date = d.date where prev is not null union all
         select d.portfolio, d.date, code, -weight from d join w on w.portfolio = d.portfolio and w.date = d.prev), n as (select portfolio, date, code, sum(x) as x from c group by 1, 2, 3)
@@ -282,3 +249,7 @@ ORACLE = {
     "monthly_returns": f"""with {_RET} select strategy, strftime(date, '%Y-%m') as month, round(sum(ret), 6) as total, count(ret) as n, round(avg(ret), 6) as mean, round(stddev_pop(ret), 6) as std,
         round(max(ret), 6) as best, round(min(ret), 6) as worst from ret group by 1, 2""",
 }
+
+for _part in (queries_factors, queries_returns, queries_trading):
+    QUERIES |= _part.QUERIES
+    ORACLE |= _part.ORACLE

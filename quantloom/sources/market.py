@@ -10,17 +10,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
-    """date, code, open, high, low, close, volume, money by supplier and period."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("px", F.col("l_extendedprice") / F.col("l_quantity"))
+def _code(spark: SparkSession, sf_dir: str, rows: DataFrame, by: str) -> DataFrame:
+    """rows plus code: the supplier, or the brand of the part."""
+    if by == "supplier":
+        return rows.withColumn("code", F.col("l_suppkey").cast("string"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("code"))
+    return rows.join(part, rows["l_partkey"] == part["p_partkey"])
+
+
+def bars(spark: SparkSession, sf_dir: str, unit: str = "month", by: str = "supplier") -> DataFrame:
+    """date, code, open, high, low, close, volume, money by supplier or brand and period."""
+    rows = _code(spark, sf_dir, table(spark, sf_dir, "lineitem"), by).withColumn("px", F.col("l_extendedprice") / F.col("l_quantity"))
     k = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     date = F.date_trunc(unit, "l_shipdate").cast("date").alias("date")
-    return rows.groupBy(date, F.col("l_suppkey").cast("string").alias("code")).agg(
+    return rows.groupBy(date, "code").agg(
         F.min_by("px", k).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", k).alias("close"),
         F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("money"),
     )
 
 
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, code (brand, week) with holding ratio, balances, and in- and outflows by size class of the order."""
+    rows = _code(spark, sf_dir, table(spark, sf_dir, "lineitem"), "brand")
+    q, p, out = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_returnflag") == "R"
+    big = q >= 30
+    total = lambda c: F.coalesce(F.sum(F.when(c, p)), F.lit(0.0))
+    return rows.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("date"), "code").agg(
+        F.sum("l_tax").alias("share_ratio"), F.sum("l_extendedprice").alias("fin_value"), F.sum("l_quantity").alias("sec_value"),
+        total(~out & big).alias("big_in"), total(out & big).alias("big_out"), F.sum(p).alias("flow"),
+        F.sum(F.when(out, F.col("l_discount"))).alias("rate1"),
+    )
+
+
+def valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, code (supplier, month), pe_ratio, pb_ratio, ps_ratio, market_cap, dividend_ratio, turnover_ratio."""
+    rows, p = table(spark, sf_dir, "lineitem"), F.col("l_extendedprice")
+    return rows.groupBy(F.date_trunc("month", "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").cast("string").alias("code")).agg(
+        (F.sum(p) / F.nullif(F.sum(p * F.col("l_discount")), F.lit(0.0))).alias("pe_ratio"), (F.avg(p) / 1000).alias("pb_ratio"),
+        (F.sum(p) / F.nullif(F.sum(p * F.col("l_tax")), F.lit(0.0))).alias("ps_ratio"), F.sum(p).alias("market_cap"),
+        F.avg("l_discount").alias("dividend_ratio"), F.avg("l_tax").alias("turnover_ratio"),
+    )
+
+
 def industry(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     return s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").cast("string").alias("code"), F.col("n_name").alias("industry"))
@@ -36,3 +67,7 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     of = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").cast("string").alias("code"), F.col("n_regionkey").alias("portfolio"))
     return bars(spark, sf_dir).join(of, "code").select("portfolio", "date", "code", F.col("money").alias("weight"))
+
+
+def benchmark_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date")).agg(((F.avg("value") - 49.6) / 1000).alias("bench"))
