@@ -28,7 +28,8 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.with_probe(read(spark, sf_dir, "conversations"))
-    return chat_format.read_back(chat_format.chunks(turns))
+    back = chat_format.read_back(chat_format.chunks(turns))
+    return back.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op4_bpe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,38 @@ QUERIES = {
 }
 
 _STRIP = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_SPACES, _ESC = r"[\x20\x09-\x0D]+", "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_PHRASES = " or ".join(f"contains(low, '{p}')" for p in quality_rules.BOILERPLATE)
+_MARKS = quality_rules.END_MARKS.replace("'", "''")
+_SEP = quality_rules.SEPARATORS
+_BARE = f"length(regexp_replace({{0}}, '{_SPACES}', '', 'g'))"
+_SYM = "length({0}) - length(regexp_replace({0}, '[#*$%&|<>]', '', 'g'))"
 ORACLE = {
+    "op2_line_rules": f"""
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        w as (select doc_id, t, list_filter(string_split_regex(t, '{_SPACES}'), lambda x: x <> '') as ws, string_split(t, chr(10)) as ls from d),
+        x as (select doc_id, unnest(range(1, len(ws) - 1)) as p, ws from w where len(ws) >= 3),
+        k as (select doc_id, p, count(*) over (partition by doc_id, ws[p], ws[p + 1], ws[p + 2]) as c from x),
+        r as (select doc_id, count(distinct p + j) as n from k cross join (values (0), (1), (2)) v(j) where c > 1 group by doc_id),
+        l as (select doc_id, unnest(ls) as line from w),
+        f as (select doc_id, line, lower(line) as low, {_BARE.format('line')} as bare, {_SYM.format('line')} as sym, right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as tip from l),
+        g as (select doc_id, line, bare, bare > 0 and (not regexp_matches(line, '[\\p{{L}}\\p{{N}}]') or sym > bare * 0.1
+              or (length(line) - length(regexp_replace(line, '[{_SEP}]', '', 'g')) >= 3 and not regexp_matches(line, '[^{_SEP}]{{{{41}}}}'))
+              or (not contains('{_MARKS}', tip) and len(list_filter(string_split_regex(line, '{_SPACES}'), lambda x: x <> '')) >= 8)
+              or regexp_matches(line, '(©|\\(c\\)|copyright)[\\x20\\x09]{{{{0,3}}}}(19|20)[0-9]{{{{2}}}}', 'i')
+              or regexp_matches(line, '^[\\x20\\x09-\\x0D]*(https?://|www[.])[^\\x20\\x09-\\x0D]*[\\x20\\x09-\\x0D]*$') or {_PHRASES}) as fails from f),
+        s as (select doc_id, coalesce(sum(case when fails then bare end), 0) as lost, count(case when bare > 0 then 1 end) - count(distinct case when bare > 0 then line end) as dup from g group by doc_id),
+        a as (select w.doc_id, cast(len(ws) as bigint) as n_words, cast({_BARE.format('t')} as bigint) as word_chars, cast({_SYM.format('t')} as bigint) as n_symbols,
+              dup as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, lost from w join s on s.doc_id = w.doc_id left join r on r.doc_id = w.doc_id)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+               not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost <= word_chars * 0.3::double as kept from a""".replace("{{", "{").replace("}}", "}"),
+    "op3_chat_prefix": f"""
+        with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                   union all select -7, 0, 'user', '{chat_format.INJECTION}' union all select -7, 1, 'assistant', '{chat_format.INJECTION}'),
+        a as (select conv_id, count(*) as n, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as said,
+              coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss,
+              sum(length({_ESC.format('role')}) + length({_ESC.format('text')}) + 11) as size from c group by conv_id)
+        select conv_id, n as n_turns, sha256(said) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(size as bigint) as formatted_chars from a""",
     "op6_warc_normaliser": """
         with p as (select page_id, encode(coalesce(html, '')) as b from pages),
         d as (select page_id, octet_length(b) as n, sha256(b) as h from p),
