@@ -9,29 +9,27 @@ from quantloom.functions.scalars import correlation, ratio
 from quantloom.operators.joins import held_from
 from quantloom.operators.performance import RISK_FREE, YEAR
 
-R = F.col("ret")
-
 
 def portfolio_returns(weights: DataFrame, returns: DataFrame, lag: int = 0) -> DataFrame:
     """portfolio, date, ret: the held weights times the day's returns; a missing return counts as none."""
     held = held_from(weights.select("portfolio", "date"), returns, "portfolio", lag)
     w = weights.select("portfolio", F.col("date").alias("decision"), "code", "weight")
     rows = held.join(w, ["portfolio", "decision"]).join(returns, ["date", "code"])
-    return rows.groupBy("portfolio", "date").agg(F.sum(F.col("weight") * R).alias("ret"))
+    return rows.groupBy("portfolio", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
 
 
 def net_returns(returns: DataFrame, costs: DataFrame, key: str = "portfolio") -> DataFrame:
     """returns less the day's cost, and their NAV, 1 on the first day."""
     w = Window.partitionBy(key).orderBy("date")
-    out = returns.join(costs, [key, "date"], "left").withColumn("net", R - F.coalesce("cost", F.lit(0.0)))
+    out = returns.join(costs, [key, "date"], "left").withColumn("net", F.col("ret") - F.coalesce("cost", F.lit(0.0)))
     nav = F.product(1 + F.col("net")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("nav", nav).withColumn("nav", F.col("nav") / F.first("nav").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
 def sharpe(returns: DataFrame) -> DataFrame:
     """strategy and its Sharpe ratio by the geometric, the arithmetic and the excess-mean formula."""
-    sd = F.stddev_samp(R)
-    a = returns.groupBy("strategy").agg(F.product(1 + R).alias("g"), F.avg(R).alias("m"), sd.alias("sd"), F.count("*").alias("n"))
+    sd = F.stddev_samp(F.col("ret"))
+    a = returns.groupBy("strategy").agg(F.product(1 + F.col("ret")).alias("g"), F.avg(F.col("ret")).alias("m"), sd.alias("sd"), F.count("*").alias("n"))
     annual = F.pow("g", YEAR / F.col("n")) - 1
     return a.select(
         "strategy", ratio(annual - RISK_FREE, F.col("sd") * YEAR**0.5).alias("geometric"), (ratio(F.col("m"), F.col("sd")) * YEAR**0.5).alias("arithmetic"),
@@ -41,7 +39,7 @@ def sharpe(returns: DataFrame) -> DataFrame:
 
 def relative(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
     """strategy, excess, beta, corr, tracking_error, information_ratio against one benchmark series, on their common dates."""
-    e = R - F.col("bench")
+    e = F.col("ret") - F.col("bench")
     rows = returns.join(F.broadcast(benchmark), "date")
     a = rows.groupBy("strategy").agg(
         (F.avg(e) * YEAR).alias("excess"), ratio(F.covar_pop("ret", "bench"), F.var_pop("bench")).alias("beta"), correlation("ret", "bench").alias("corr"),
@@ -52,18 +50,18 @@ def relative(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def monthly_nav(returns: DataFrame, unit: str = "month") -> DataFrame:
     """strategy, period, ret (compounded), first and last day."""
-    return returns.groupBy("strategy", F.date_trunc(unit, "date").cast("date").alias("period")).agg((F.product(1 + R) - 1).alias("ret"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+    return returns.groupBy("strategy", F.date_trunc(unit, "date").cast("date").alias("period")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
 
 
 def win_rate(returns: DataFrame, unit: str = "month") -> DataFrame:
     """strategy and the share of periods with a gain."""
-    return monthly_nav(returns, unit).groupBy("strategy").agg(F.avg((R > 0).cast("double")).alias("win_rate"), F.count("*").alias("n"))
+    return monthly_nav(returns, unit).groupBy("strategy").agg(F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.count("*").alias("n"))
 
 
 def histogram(returns: DataFrame, bins: int = 50) -> DataFrame:
     """strategy, bin (from 0), n over the range of each strategy's returns."""
     w = Window.partitionBy("strategy")
-    at = F.floor((R - F.min(R).over(w)) / F.nullif((F.max(R).over(w) - F.min(R).over(w)) / bins, F.lit(0.0)))
+    at = F.floor((F.col("ret") - F.min(F.col("ret")).over(w)) / F.nullif((F.max(F.col("ret")).over(w) - F.min(F.col("ret")).over(w)) / bins, F.lit(0.0)))
     rows = returns.select("strategy", F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
     return rows.groupBy("strategy", "bin").agg(F.count("*").alias("n"))
 
@@ -79,7 +77,7 @@ def drawdown_duration(nav: DataFrame) -> DataFrame:
 
 def contribution(weights: DataFrame, returns: DataFrame) -> DataFrame:
     """portfolio, code (TOTAL for the whole), sum, mean, max, min, std of weight times return."""
-    rows = weights.join(returns, ["date", "code"]).select("portfolio", "date", "code", (F.col("weight") * R).alias("c"))
+    rows = weights.join(returns, ["date", "code"]).select("portfolio", "date", "code", (F.col("weight") * F.col("ret")).alias("c"))
     total = rows.groupBy("portfolio", "date").agg(F.sum("c").alias("c")).withColumn("code", F.lit("TOTAL"))
     x = F.col("c")
     return rows.unionByName(total).groupBy("portfolio", "code").agg(F.sum(x).alias("total"), F.avg(x).alias("mean"), F.max(x).alias("best"), F.min(x).alias("worst"), F.stddev_pop(x).alias("std"))
@@ -89,7 +87,7 @@ def rolling_correlation(returns: DataFrame, benchmark: DataFrame, n: int) -> Dat
     """strategy, date, corr of the n rows before; null until there are n."""
     f = Window.partitionBy("strategy").orderBy("date").rowsBetween(-n, -1)
     mean = lambda c: F.avg(c).over(f)
-    x, y = R, F.col("bench")
+    x, y = F.col("ret"), F.col("bench")
     cov = mean(x * y) - mean(x) * mean(y)
     return returns.join(F.broadcast(benchmark), "date").select("strategy", "date", F.when(F.count(x).over(f) == n, ratio(cov, F.stddev_pop(x).over(f) * F.stddev_pop(y).over(f))).alias("corr"))
 
@@ -101,7 +99,7 @@ def least_correlated(pairs: DataFrame, n: int) -> DataFrame:
 
 def weighted(returns: DataFrame, weights: DataFrame) -> DataFrame:
     """date, ret: the strategies of a date combined by weight over the sum of weights."""
-    return returns.join(F.broadcast(weights), "strategy").groupBy("date").agg(ratio(F.sum(F.col("w") * R), F.sum("w")).alias("ret"))
+    return returns.join(F.broadcast(weights), "strategy").groupBy("date").agg(ratio(F.sum(F.col("w") * F.col("ret")), F.sum("w")).alias("ret"))
 
 
 def pair_allocation(returns: DataFrame, target: float) -> DataFrame:
@@ -115,7 +113,7 @@ def pair_allocation(returns: DataFrame, target: float) -> DataFrame:
 
 
 def t_statistic(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
-    e = R - F.col("bench")
+    e = F.col("ret") - F.col("bench")
     rows = returns.join(F.broadcast(benchmark), "date")
     return rows.groupBy("strategy").agg(ratio(F.avg(e), F.stddev_samp(e) / F.sqrt(F.count("*"))).alias("t"), F.count("*").alias("n"))
 
@@ -127,7 +125,7 @@ def bootstrap(returns: DataFrame, n: int, seed: int = 7) -> DataFrame:
     draws = rows.select("strategy", "n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"), F.col("i").alias("place"))
     draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "strategy", "sample", "place"), F.col("n")).cast("int")).select("strategy", "sample", "i")
     x = draws.join(rows.select("strategy", "i", "ret"), ["strategy", "i"])
-    return x.groupBy("strategy", "sample").agg((ratio(F.avg(R), F.stddev_samp(R)) * YEAR**0.5).alias("sharpe"))
+    return x.groupBy("strategy", "sample").agg((ratio(F.avg(F.col("ret")), F.stddev_samp(F.col("ret"))) * YEAR**0.5).alias("sharpe"))
 
 
 def sharpe_interval(returns: DataFrame, n: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
@@ -148,7 +146,7 @@ def split_windows(series: DataFrame, window: int, step: int, least: int) -> Data
 
 def stability(windows: DataFrame) -> DataFrame:
     """strategy, n, mean and deviation of the windows' Sharpe ratio, share of windows with a gain."""
-    a = windows.groupBy("strategy", "window").agg((F.product(1 + R) - 1).alias("total"), (ratio(F.avg(R), F.stddev_samp(R)) * YEAR**0.5).alias("sharpe"))
+    a = windows.groupBy("strategy", "window").agg((F.product(1 + F.col("ret")) - 1).alias("total"), (ratio(F.avg(F.col("ret")), F.stddev_samp(F.col("ret"))) * YEAR**0.5).alias("sharpe"))
     return a.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.stddev_samp("sharpe").alias("std_sharpe"), F.avg((F.col("total") > 0).cast("double")).alias("positive"))
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from quantloom import queries
-from quantloom.operators import cross_section, evaluation, portfolio
+from quantloom.operators import compare, cross_section, evaluation, portfolio
 
 SF = "/root/testdata/sf0.01"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
@@ -58,3 +58,19 @@ def test_weight_cap(spark):
     rows = [("p", "d", str(i), w) for i, w in enumerate((0.4, 0.3, 0.2, 0.1))]
     got = [r.weight for r in portfolio.weight_cap(spark.createDataFrame(rows, "portfolio string, date string, code string, weight double"), 0.25).collect()]
     assert max(got) <= 0.25 + 1e-9 and sum(got) == pytest.approx(1.0)
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries()"], cwd=Path(__file__).resolve().parents[1], capture_output=True)
+    assert run.returncode == 0, run.stderr[-500:]
+
+
+def test_bootstrap_is_deterministic(spark):
+    rows = [("s", f"2024-01-{i + 1:02}", x) for i, x in enumerate((0.01, 0.02, -0.01, 0.03, 0.005) * 5)]
+    df = spark.createDataFrame(rows, "strategy string, date string, ret double")
+    one, two = (compare.sharpe_interval(d, 50).collect() for d in (df, df.repartition(7)))
+    assert [(round(r.low, 9), round(r.high, 9)) for r in one] == [(round(r.low, 9), round(r.high, 9)) for r in two] and one[0].low < one[0].high
