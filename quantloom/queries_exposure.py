@@ -13,7 +13,7 @@ from quantloom.sources import market
 def _returns(spark, sf_dir):
     b = market.bars(spark, sf_dir, "week", "brand")
     k = F.substring("code", 7, 9).cast("int")  # series of several deviations and drifts reach every rule
-    ret = pct_change(F.col("close"), 1) / (20 * (1 + F.pmod(k, F.lit(5)))) - 0.001 * F.pmod(k, F.lit(4))
+    ret = pct_change(F.col("close"), 1) / (60 * (1 + 4 * F.pmod(k, F.lit(5)))) - 0.001 * F.pmod(k, F.lit(4))
     return b.select(F.col("code").alias("strategy"), "date", ret.alias("ret"))
 
 
@@ -47,7 +47,7 @@ def _smoothed(target: str) -> str:
 
 
 _P = "partition by strategy order by date rows between"
-SIGNALS = f"""{bars_sql('week', 'brand')}, x as (select code as strategy, date, coalesce((close / lag(close) over (partition by code order by date) - 1) / (20 * (1 + cast(code[7:] as integer) % 5)) - 0.001 * (cast(code[7:] as integer) % 4), 0) as ret from bars),
+SIGNALS = f"""{bars_sql('week', 'brand')}, x as (select code as strategy, date, coalesce((close / lag(close) over (partition by code order by date) - 1) / (60 * (1 + 4 * (cast(code[7:] as integer) % 5))) - 0.001 * (cast(code[7:] as integer) % 4), 0) as ret from bars),
     a as (select *, row_number() over o - 1 as i, exp(sum(ln(1 + ret)) over o) as level, stddev_samp(ret) over ({_P} 19 preceding and current row) as s20 from x window o as (partition by strategy order by date)),
     f as (select *, least(i, 60) as n, coalesce(stddev_samp(ret) over b60, 0) * sqrt(242) as vol, coalesce(stddev_samp(ret) over ({_P} 120 preceding and 1 preceding), 0) * sqrt(242) as v120,
         list(ret) over b60 as held, case when i >= 10 then quantile_cont(ret, 0.05) over b60 else 0 end as v, lag(level) over (partition by strategy order by date) as last,
