@@ -57,7 +57,79 @@ def absolute_scale(spark, sf_dir):
     return rotation.binary_scale(_index(spark, sf_dir), 12, 6, -0.01)
 
 
-QUERIES = {f.__name__: f for f in (blended_momentum, residual_momentum, equal_votes, weighted_votes, risk_filtered, absolute_scale)}
+def _groups(spark, sf_dir):
+    """Weekly bars of brands as industries."""
+    return market.bars(spark, sf_dir, "week", "brand").withColumnRenamed("code", "industry")
+
+
+def _picked(rows):
+    w = Window.partitionBy("industry").orderBy("date")
+    rows = rows.withColumn("mom", pct_change(F.col("close"), 20, w)).where("mom is not null")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("mom"), "industry"))).where("rank <= 8").select("date", "industry", "rank")
+
+
+def _crowded(rows):
+    return rows.select("date", "industry", rotation.crowding(["volume", "money", "close"]).alias("crowded"))
+
+
+def industry_crowding(spark, sf_dir):
+    return _crowded(_groups(spark, sf_dir))
+
+
+def crowding_filtered(spark, sf_dir):
+    g = _groups(spark, sf_dir)
+    return rotation.crowding_filter(_picked(g), _crowded(g), 1, 7)
+
+
+def valuation_filtered(spark, sf_dir):
+    g = _groups(spark, sf_dir).withColumn("ep", 1 / F.col("close"))
+    cheap = g.select("date", "industry", rotation.industry_percentile("ep", 250, 30).alias("cheap"))
+    return rounded(rotation.valuation_filter(_picked(g), cheap, 0.1, 7))
+
+
+def valuation_voted(spark, sf_dir):
+    """Percentiles of the mean close and volume of an industry's codes; the market scale of 12 and 4 months."""
+    m = market.bars(spark, sf_dir).join(market.industry(spark, sf_dir), "code").groupBy("date", "industry").agg((1 / F.avg("close")).alias("ep"), (1 / F.avg("volume")).alias("bp"))
+    m = m.select("date", "industry", *[rotation.industry_percentile(c, 24, 6).alias(c) for c in ("ep", "bp")])
+    scale = rotation.binary_scale(_index(spark, sf_dir), 12, 6, -0.01)
+    rs = _strength(spark, sf_dir).join(m, ["date", "industry"], "left").join(F.broadcast(scale), "date")  # one row per date
+    extra = rotation.valuation_votes(F.col("ep"), F.col("bp"), F.col("scale"), 0.4, 0.1, 0.2)
+    return rounded(rotation.vote(rs, VOTES, 0.5, 5, 3, extra))
+
+
+def _factor_ic(spark, sf_dir):
+    """Scores of two factors, long, and last month's correlation of each with the return, beside the market scale."""
+    c, w = F.col("close"), Window.partitionBy("date")
+    p = market.bars(spark, sf_dir).select("date", "code", pct_change(c, 1).alias("ret"), pct_change(c, 3).alias("mom"), F.col("volume").alias("vol"))
+    p = p.withColumn("past_mom", F.lag("mom").over(Window.partitionBy("code").orderBy("date"))).withColumn("past_vol", F.lag("vol").over(Window.partitionBy("code").orderBy("date")))
+    ic = p.groupBy("date").agg(F.corr("past_mom", "ret").alias("mom"), F.corr("past_vol", "ret").alias("vol")).unpivot(["date"], ["mom", "vol"], "factor", "ic")
+    scores = p.unpivot(["date", "code"], ["mom", "vol"], "factor", "score")
+    z = (F.col("score") - F.avg("score").over(Window.partitionBy("date", "factor"))) / F.nullif(F.stddev_samp("score").over(Window.partitionBy("date", "factor")), F.lit(0.0))
+    return scores.withColumn("score", z), ic.join(F.broadcast(rotation.binary_scale(_index(spark, sf_dir), 12, 6, -0.01)), "date")
+
+
+def ic_boosted(spark, sf_dir):
+    return rounded(rotation.ic_weights(_factor_ic(spark, sf_dir)[1], {"mom": 0.6, "vol": -0.4}, 0.5, confirm=True))
+
+
+def ic_scored(spark, sf_dir):
+    """Weights of the IC's size; vol is off where the market scale is under 1."""
+    scores, ic = _factor_ic(spark, sf_dir)
+    gate = ic.where("factor = 'vol' and scale < 1").select("date", "factor")
+    weights = rotation.ic_weights(ic, {"mom": 0.6, "vol": -0.4}, replace=True).join(gate, ["date", "factor"], "left_anti")
+    return rounded(rotation.weighted_scores(scores, weights))
+
+
+def reversed_scores(spark, sf_dir):
+    g = _groups(spark, sf_dir)
+    w = Window.partitionBy("industry").orderBy("date")
+    s = g.withColumn("score", pct_change(F.col("close"), 20, w)).withColumn("crowded", rotation.crowding(["volume", "money", "close"]))
+    turned, instead = rotation.crowding_reversal(F.col("score"), F.col("crowded"), 1), rotation.crowding_reversal(F.col("score"), F.col("crowded"), 1, F.col("close") / 1000)
+    return rounded(s.select("date", "industry", turned.alias("turned"), instead.alias("instead")))
+
+
+_MORE = (industry_crowding, crowding_filtered, valuation_filtered, valuation_voted, ic_boosted, ic_scored, reversed_scores)
+QUERIES = {f.__name__: f for f in (blended_momentum, residual_momentum, equal_votes, weighted_votes, risk_filtered, absolute_scale, *_MORE)}
 
 B = bars_sql()
 INDEX = "idx as (select date, sum(money) / sum(volume) as c from bars group by 1)"
@@ -73,6 +145,29 @@ def _vote(weights: tuple[float, ...], need: float) -> str:
         v as (select date, industry, cast(vote as double) as vote, cast(case when n < 3 then plain when vote >= {need} then lead_at end as integer) as rank from l), t as (select * from v where rank <= 5)"""
 
 
+def _over(x: str) -> str:
+    w = "over (partition by industry order by date rows 249 preceding)"
+    return f"case when count({x}) {w} >= 30 and {x} > quantile_cont({x}, 0.95) {w} then 1 else 0 end"
+
+
+def _share(x: str, n: int, least: int) -> str:
+    held = f"list({x}) over (partition by industry order by date rows {n - 1} preceding)"
+    return f"case when len({held}) >= {least} then len(list_filter({held}, lambda v: v <= {x})) / len({held}) end"
+
+
+def _kept(rows: str, ok: str, order: str) -> str:
+    return f"""k as (select *, count(*) filter (where {ok}) over (partition by date) as n, row_number() over (partition by date order by {order}, rank, industry) as place from {rows})"""
+
+
+GROUPS = f"{bars_sql('week', 'brand')}, g as (select date, code as industry, close, volume, money from bars)"
+PICKED = "m as (select date, industry, close / lag(close, 20) over (partition by industry order by date) - 1 as mom from g), p as (select date, industry, cast(row_number() over (partition by date order by mom desc, industry) as integer) as rank from m where mom is not null qualify rank <= 8)"
+CROWD = f"c as (select *, cast({_over('volume')} + {_over('money')} + {_over('close')} as integer) as crowded from g)"
+SCALE = """sm as (select date, c, row_number() over (order by date) as pos, avg(c) over (order by date rows 11 preceding) as a, c / lag(c, 6) over (order by date) - 1 as r from idx),
+    sc as (select date, case when pos < 13 then 1 when c < a or r < -0.01 then 0 else 1 end as scale from sm)"""
+FIC = f"""{B}, {INDEX}, {SCALE}, s as (select date, code, close / lag(close) over w - 1 as ret, close / lag(close, 3) over w - 1 as mom, volume as vol from bars window w as (partition by code order by date)),
+    s1 as (select *, lag(mom) over w as pm, lag(vol) over w as pv from s window w as (partition by code order by date)),
+    ic as (select date, 'mom' as factor, corr(pm, ret) as ic, 0.6 as w from s1 group by 1 union all select date, 'vol', corr(pv, ret), -0.4 from s1 group by 1),
+    i as (select date, factor, case when isnan(ic) then null else ic end as ic, cast(w as double) as w, scale from ic join sc using (date))"""
 _WEIGHTED = _vote((0.5, 0.3, 0.2), 0.5)
 ORACLE = {
     "blended_momentum": f"""with {B}, m as (select date, code, 0.4 * (close / lag(close) over w - 1) + 0.6 * (close / lag(close, 6) over w - 1) as m from bars window w as (partition by code order by date))
@@ -87,4 +182,21 @@ ORACLE = {
         select date, industry, rank, round(mom, 6) as mom from n where case when n >= 2 then mom >= 0 else rank <= 2 end""",
     "absolute_scale": f"""with {B}, {INDEX}, m as (select date, c, row_number() over (order by date) as pos, avg(c) over (order by date rows 11 preceding) as a, c / lag(c, 6) over (order by date) - 1 as r from idx)
         select date, cast(case when pos < 13 then 1 when c < a or r < -0.01 then 0 else 1 end as double) as scale from m""",
+    "industry_crowding": f"with {GROUPS}, {CROWD} select date, industry, crowded from c",
+    "crowding_filtered": f"with {GROUPS}, {PICKED}, {CROWD}, j as (select date, industry, rank, crowded from p join c using (date, industry)), {_kept('j', 'crowded < 1', 'crowded')} select date, industry, rank, crowded from k where case when n >= 7 then crowded < 1 else place <= 7 end",
+    "valuation_filtered": f"""with {GROUPS}, {PICKED}, e as (select date, industry, 1 / close as ep from g), c as (select date, industry, {_share('ep', 250, 30)} as cheap from e),
+        j as (select date, industry, rank, coalesce(cheap, 0.5) as cheap from p join c using (date, industry)), {_kept('j', 'cheap >= 0.1', 'cheap desc')}
+        select date, industry, rank, round(cheap, 6) as cheap from k where case when n >= 7 then cheap >= 0.1 else place <= 7 end""",
+    "valuation_voted": f"""with {RS}, {SCALE}, x as (select date, industry, 1 / avg(close) as ep, 1 / avg(volume) as bp from bars join ind using (code) group by 1, 2),
+        y as (select date, industry, coalesce({_share('ep', 24, 6)}, 0.5) as ep, coalesce({_share('bp', 24, 6)}, 0.5) as bp from x),
+        z as (select r2.*, case when scale < 1 then 0.1 else 0.4 end * (ep - 0.5) + 0.2 * (bp - 0.5) as extra from r2 join y using (date, industry) join sc using (date)),
+        {_vote((0.5, 0.3, 0.2), 0.5).replace('from r2', 'from z').replace('as vote from z', '+ extra as vote from z')} select date, industry, round(vote, 6) as vote, rank from t""",
+    "ic_boosted": f"""with {FIC}, b as (select *, case when sign(ic) = sign(w) then abs(ic) when ic is not null then 0 end as size from i), m as (select *, max(size) over (partition by date) as most from b)
+        select date, factor, round(w * (1 + 0.5 * case when scale >= 1 and most > 1e-10 then coalesce(size / most, 0) else 0 end), 6) as weight from m""",
+    "ic_scored": f"""with {FIC}, l as (select date, code, 'mom' as factor, mom as x from s1 union all select date, code, 'vol', vol from s1),
+        z as (select date, code, factor, (x - avg(x) over q) / nullif(stddev_samp(x) over q, 0) as z from l window q as (partition by date, factor)),
+        g as (select date, factor, coalesce(sign(w) * abs(ic), w) as weight from i where not (factor = 'vol' and scale < 1))
+        select date, code, round(sum(weight * z) / nullif(sum(abs(weight)), 0), 6) as score from z join g using (date, factor) where z is not null group by 1, 2""",
+    "reversed_scores": f"""with {GROUPS}, {CROWD}, m as (select *, close / lag(close, 20) over (partition by industry order by date) - 1 as score from c)
+        select date, industry, round(case when crowded >= 1 then -score else score end, 6) as turned, round(case when crowded >= 1 then close / 1000 else score end, 6) as instead from m""",
 }
