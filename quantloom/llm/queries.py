@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import apportion, block_ann, bpe_table, chat_format, line_dedup, lm_trie, ordinal, quality_rules, simhash, warc_norm
+from quantloom.llm import apportion, block_ann, bpe_table, chat_format, line_dedup, lm_trie, ordinal, quality_rules, ranked_search, simhash, warc_norm
 from quantloom.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,11 +68,16 @@ def op10_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_ann.search(rows.where(F.col("vec_id") % 20 == 0), rows)
 
 
+def op12_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_trie, op2_line_rules, op3_chat_prefix, op4_bpe_table, op5_ordinal,
         op6_warc_normaliser, op7_line_dedup, op8_simhash_anchor, op9_sainte_lague, op10_block_ann,
+        op12_best_position,
     )
 }
 
@@ -132,4 +137,16 @@ ORACLE = {
               from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20""",
+    "op12_best_position": r"""
+        with d as (select doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+        t as (select doc_id, unnest(ws) as term from d),
+        f as (select doc_id, term, count(*) as tf from t where term <> '' group by all),
+        s as (select doc_id, cast(sum(tf) as bigint) as n from f group by doc_id),
+        a as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as length from s),
+        i as (select item_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        w as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from f cross join a group by term, docs),
+        p as (select item_id, f.doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length)))) as bigint) as score
+              from (select distinct item_id, term from i where term <> '') j join f using (term) join w using (term) join s on s.doc_id = f.doc_id cross join a group by item_id, f.doc_id),
+        r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from p where score > 0)
+        select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 50""",
 }
