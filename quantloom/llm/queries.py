@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import apportion, block_ann, bpe_table, chat_format, line_dedup, lm_trie, ordinal, quality_rules, ranked_search, simhash, warc_norm
+from quantloom.llm import apportion, block_ann, bpe_table, chat_format, line_dedup, lm_trie, ordinal, quality_rules, ranked_search, simhash, turn_repair, warc_norm
 from quantloom.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,6 +68,11 @@ def op10_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_ann.search(rows.where(F.col("vec_id") % 20 == 0), rows)
 
 
+def op11_lr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return turn_repair.report(turn_repair.damage(turns), turns)
+
+
 def op12_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
 
@@ -77,7 +82,7 @@ QUERIES = {
     for f in (
         op1_lm_trie, op2_line_rules, op3_chat_prefix, op4_bpe_table, op5_ordinal,
         op6_warc_normaliser, op7_line_dedup, op8_simhash_anchor, op9_sainte_lague, op10_block_ann,
-        op12_best_position,
+        op11_lr_repair, op12_best_position,
     )
 }
 
@@ -137,6 +142,42 @@ ORACLE = {
               from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20""",
+    # Cheapest edits from the last row back, for the four states of the role grammar: start, after s, after u, after a.
+    "op11_lr_repair": r"""
+        with recursive ct as (select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) order by n) as t from range(256) r(n)),
+        o as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+              list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ord(x) as bigint)) as b from conversations),
+        c as (select o.*, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda s, x: xor(t[(xor(s, x) & 255) + 1], s >> 8))) % 20 as f from o, ct),
+        d as (select conv_id, turn, case when f = 4 then 'user' else role end as role, case when f = 1 then '' when f = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+              unnest(case when f = 3 then [0, 1] else [0] end) as copy from c where f <> 0),
+        n as (select *, row_number() over w as rn, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen,
+              lag(role[1:1]) over w || role[1:1] as pair, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as cut from d window w as (partition by conv_id order by turn nulls first, role, text, copy)),
+        r as (select *, case when cut = '' then 'b' when seen > 1 then 'd' when cut[-1:] not in ('.', '!', '?') then 't' else '' end as fault from n),
+        s as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) as n, count(*) filter (where fault = 'b') as blank,
+              count(*) filter (where fault = 'd') as duplicate, count(*) filter (where fault = 't') as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal from r group by conv_id),
+        dp as (
+          select conv_id, n as k, {'c': 0::bigint, 'a': '', 't': ''} as g0, {'c': 6::bigint, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'} as g1,
+                 {'c': 3::bigint, 'a': 'I', 't': 'assistant:'} as g2, {'c': 0::bigint, 'a': '', 't': ''} as g3 from s
+          union all
+          select conv_id, k, list_sort([e0, {'c': g2.c + 3, 'a': 'I' || g2.a, 't': 'user:' || case when g2.t = '' then '' else chr(10) || g2.t end}])[1],
+                 list_sort([e1, {'c': g2.c + 3, 'a': 'I' || g2.a, 't': 'user:' || case when g2.t = '' then '' else chr(10) || g2.t end}])[1], g2,
+                 list_sort([e3, {'c': e2.c + 3, 'a': 'I' || e2.a, 't': 'user:' || case when e2.t = '' then '' else chr(10) || e2.t end}])[1]
+          from (select *, list_sort([e2, {'c': e3.c + 3, 'a': 'I' || e3.a, 't': 'assistant:' || case when e3.t = '' then '' else chr(10) || e3.t end}])[1] as g2 from (
+            select conv_id, k, list_sort([del0, ru] || case when i = 's' and kept then [{'c': g1.c + p, 'a': 'K' || g1.a, 't': said || case when g1.t = '' then '' else chr(10) || g1.t end}] when i = 'u' and kept then [ku] else [] end)[1] as e0,
+                   list_sort([del1, ru] || case when i = 'u' and kept then [ku] else [] end)[1] as e1,
+                   list_sort([del2, ra] || case when i = 'a' and kept then [ka] else [] end)[1] as e2,
+                   list_sort([del3, ru] || case when i = 'u' and kept then [ku] else [] end)[1] as e3
+            from (select dp.conv_id, dp.k - 1 as k, r.role[1:1] as i, r.fault not in ('b', 'd') as kept, case when r.fault = 't' then 3 else 0 end as p, r.role || ':' || r.text as said, g1,
+                   {'c': g0.c + 4, 'a': 'D' || g0.a, 't': g0.t} as del0, {'c': g1.c + 4, 'a': 'D' || g1.a, 't': g1.t} as del1,
+                   {'c': g2.c + 4, 'a': 'D' || g2.a, 't': g2.t} as del2, {'c': g3.c + 4, 'a': 'D' || g3.a, 't': g3.t} as del3,
+                   {'c': g2.c + p, 'a': 'K' || g2.a, 't': said || case when g2.t = '' then '' else chr(10) || g2.t end} as ku,
+                   {'c': g3.c + p, 'a': 'K' || g3.a, 't': said || case when g3.t = '' then '' else chr(10) || g3.t end} as ka,
+                   {'c': g2.c + p + case when kept then 3 else 1000000000 end, 'a': 'R' || g2.a, 't': 'user:' || r.text || case when g2.t = '' then '' else chr(10) || g2.t end} as ru,
+                   {'c': g3.c + p + case when kept then 3 else 1000000000 end, 'a': 'R' || g3.a, 't': 'assistant:' || r.text || case when g3.t = '' then '' else chr(10) || g3.t end} as ra
+                  from dp join r on r.conv_id is not distinct from dp.conv_id and r.rn = dp.k))))
+        select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+               coalesce(g0.c, 0) as cost, coalesce(g0.a, '') as audit, sha256(coalesce(g0.t, '')) as repaired_sha256
+        from (select distinct conv_id from conversations) o left join s on s.conv_id is not distinct from o.conv_id left join dp on dp.conv_id is not distinct from o.conv_id and dp.k = 0""",
     "op12_best_position": r"""
         with d as (select doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
         t as (select doc_id, unnest(ws) as term from d),
