@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import apportion, block_ann, bpe_table, chat_format, line_dedup, lm_trie, ordinal, quality_rules, ranked_search, simhash, turn_repair, warc_norm
+from quantloom.llm import apportion, block_ann, bpe_table, chat_format, line_dedup, lm_trie, ordinal, quality_rules, ranked_search, simhash, tag_paths, turn_repair, warc_norm
 from quantloom.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,12 +77,16 @@ def op12_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
 
 
+def op13_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_trie, op2_line_rules, op3_chat_prefix, op4_bpe_table, op5_ordinal,
         op6_warc_normaliser, op7_line_dedup, op8_simhash_anchor, op9_sainte_lague, op10_block_ann,
-        op11_lr_repair, op12_best_position,
+        op11_lr_repair, op12_best_position, op13_tag_paths,
     )
 }
 
