@@ -104,7 +104,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     and text go together.
     """
     m = materialise(mix(docs, seed))
-    quota = m.groupBy("source").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_quota"))
+    quota = m.groupBy("source").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_quota")).where("_size > 0")  # a source without words takes nothing
     shards = m.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // SHARD_WORDS + SHARDS
     units = m.where("size > 0").groupBy("doc_id", "source", "_th").agg(F.sum("size").alias("_words"))
     h = F.xxhash64("doc_id", "_th", F.lit(seed + 1))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SPACE, ascii_lower, let
+from quantloom.llm.common import SPACE, ascii_lower, let, private
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -32,21 +32,22 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     shared = shared.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = lines.withColumn("_s", F.pmod(F.hash("_d", "_p"), F.lit(SALTS))).join(shared, ["_a", "_b", "_s"])
     hits = hits.where(~F.col("_d").eqNullSafe(F.col("_m")))
-    drops = hits.groupBy("_d", "_th").agg(F.collect_set("_p").alias("_drop"))
-    row = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")  # the text travels once
-    d = docs.select(row, "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).alias("d")
-    out = d.join(drops.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r._d")) & (F.col("d._h") == F.col("r._th")), "left").select("_row", "text", "_drop")
-    text = F.coalesce("text", F.lit(""))
+    row_, drop, text_ = private(docs, "_row", "_drop", "_text")
+    drops = hits.groupBy("_d", "_th").agg(F.collect_set("_p").alias(drop))
+    row = F.struct(*[c for c in docs.columns if c != "text"]).alias(row_)  # the text travels once
+    d = docs.select(row, "doc_id", F.col("text").alias(text_), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).alias("d")
+    out = d.join(drops.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r._d")) & (F.col("d._h") == F.col("r._th")), "left").select(row_, text_, drop)
+    text = F.coalesce(text_, F.lit(""))
     parts = F.split(text, "\n")
 
     def rebuilt(ls):
-        stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_drop"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(drop))
         return F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n")
 
     made = {
         "n_lines": F.size(parts).cast("long"),
-        "n_dropped": F.greatest(F.coalesce(F.size("_drop"), F.lit(0)), F.lit(0)).cast("long"),
-        "kept_text": F.when(F.col("_drop").isNull(), text).otherwise(let(parts, rebuilt)),
+        "n_dropped": F.greatest(F.coalesce(F.size(drop), F.lit(0)), F.lit(0)).cast("long"),
+        "kept_text": F.when(F.col(drop).isNull(), text).otherwise(let(parts, rebuilt)),
     }
-    kept = [F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in made]
+    kept = [F.col(text_).alias("text") if c == "text" else F.col(row_).getField(c).alias(c) for c in docs.columns if c not in made]
     return out.select(*kept, *[x.alias(n) for n, x in made.items()])

@@ -28,10 +28,13 @@ SEPARATORS, MIN_SEPARATORS, ITEM = "|»›•·", 3, 40
 LONG_LINE, END_MARKS = 8, ".!?…:;,\"'»“”’)]。！？"
 LINK = r"^[\x20\x09-\x0D]*(https?://|www[.])[^\x20\x09-\x0D]*[\x20\x09-\x0D]*$"
 RIGHTS = r"(?i)(©|\(c\)|copyright)[\x20\x09]{0,3}(19|20)[0-9]{2}"
-#: Stock phrases of web pages.
+#: Stock phrases of web pages, in the languages of the documents.
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies", "enable javascript",
     "click here", "sign up for our newsletter", "lorem ipsum", "back to top", "skip to content",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "newsletter abonnieren", "nach oben", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "accepter les cookies", "cliquez ici", "haut de page", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "aceptar cookies", "haga clic aquí", "ir al contenido",
 )
 #: Share of symbols among a line's characters over which the line fails the punctuation rule.
 MAX_SYMBOL_SHARE = 0.1
@@ -47,7 +50,7 @@ def line_fails(line: Column) -> Column:
     """Cheap tests come first, so that most lines are never counted."""
     word, gap = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
     symbols = line.rlike(f"[{SYMBOLS}]") & (_count(line, SYMBOLS) > F.length(F.regexp_replace(line, f"{gap}+", "")) * MAX_SYMBOL_SHARE)
-    unended = (F.instr(F.lit(END_MARKS), F.right(F.rtrim(line, F.lit(SPACE)), F.lit(1))) == 0) & line.rlike(f"(?:{word}+{gap}+){{{LONG_LINE - 1}}}{word}")
+    unended = (F.instr(F.lit(END_MARKS), F.right(F.rtrim(line, F.lit(SPACE)), F.lit(1))) == 0) & line.rlike(f"^{gap}*+(?:{word}++{gap}++){{{LONG_LINE - 1}}}{word}")
     navigation = line.rlike(f"(?:[{SEPARATORS}][^{SEPARATORS}]*){{{MIN_SEPARATORS}}}") & ~line.rlike(f"[^{SEPARATORS}]{{{ITEM + 1}}}")
     phrase = let(F.lower(line), lambda low: functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
     boilerplate = (line.rlike("(19|20)[0-9]{2}") & line.rlike(RIGHTS)) | line.rlike(LINK) | phrase
@@ -89,22 +92,23 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
     lines = F.split(t, "\n")
     filled = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup = let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-    stat, failing = private(docs, "stats", "failing")
-    lost = F.length(F.regexp_replace(F.array_join(failing, ""), r"[\x20\x09-\x0D]+", ""))
+    stat, lined = private(docs, "stats", "lined")
+    those = lambda test: F.transform(F.filter(lined, test), lambda x: x["line"])
+    lost = F.length(F.regexp_replace(F.array_join(those(lambda x: x["fails"]), ""), r"[\x20\x09-\x0D]+", ""))
     made = {
         "n_words": F.col(f"{stat}.n"),
         "word_chars": F.col(f"{stat}.c"),
         "n_symbols": _count(t, SYMBOLS).cast("long"),
         "n_dup_lines": dup,
         "n_repeat_words": F.col(f"{stat}.r"),
-        "clean_text": F.when(F.size(failing) == 0, t).otherwise(F.array_join(F.filter(lines, lambda x: ~F.array_contains(F.col(failing), x)), "\n")),
+        "clean_text": F.array_join(those(lambda x: ~x["fails"]), "\n"),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         "kept": ~F.col("base_failed") & (lost <= F.col("word_chars") * F.lit(max_loss)),
     }
-    out = docs.withColumn(stat, stats).withColumn(failing, F.filter(lines, line_fails))
+    out = docs.withColumn(stat, stats).withColumn(lined, F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails"))))
     for name, value in made.items():
         out = out.withColumn(name, value)
-    return out.drop(stat, failing)
+    return out.drop(stat, lined)
 
 
 def clean(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
