@@ -28,3 +28,8 @@ def ratio(a: Column, b: Column) -> Column:
 def correlation(x: str, y: str) -> Column:
     """Pearson correlation as an aggregate, null where a side is constant (the built-in one raises in ANSI mode)."""
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body reads it inside lambdas."""
+    return F.transform(F.array(value), body)[0]

@@ -112,28 +112,6 @@ def pair_allocation(returns: DataFrame, target: float) -> DataFrame:
     return s.select("a", "b", "w_a", "w_b", ratio(F.lit(target), F.sqrt(F.greatest(var, F.lit(0.0))) * YEAR**0.5).alias("scale"))
 
 
-def t_statistic(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
-    e = F.col("ret") - F.col("bench")
-    rows = returns.join(F.broadcast(benchmark), "date")
-    return rows.groupBy("strategy").agg(ratio(F.avg(e), F.stddev_samp(e) / F.sqrt(F.count("*"))).alias("t"), F.count("*").alias("n"))
-
-
-def bootstrap(returns: DataFrame, n: int, seed: int = 7) -> DataFrame:
-    """strategy, sample, sharpe of n resamples; each draw is a hash of seed, sample and place, so reruns and partitions agree."""
-    w = Window.partitionBy("strategy")
-    rows = returns.withColumn("i", F.row_number().over(w.orderBy("date")) - 1).withColumn("n", F.count("*").over(w)).select("strategy", "i", "n", "ret")
-    draws = rows.select("strategy", "n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"), F.col("i").alias("place"))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "strategy", "sample", "place"), F.col("n")).cast("int")).select("strategy", "sample", "i")
-    x = draws.join(rows.select("strategy", "i", "ret"), ["strategy", "i"])
-    return x.groupBy("strategy", "sample").agg((ratio(F.avg(F.col("ret")), F.stddev_samp(F.col("ret"))) * YEAR**0.5).alias("sharpe"))
-
-
-def sharpe_interval(returns: DataFrame, n: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
-    """strategy, low, high: percentile bounds of the resampled Sharpe ratio."""
-    q = lambda x: F.percentile("sharpe", F.lit(x))
-    return bootstrap(returns, n, seed).groupBy("strategy").agg(q((1 - level) / 2).alias("low"), q((1 + level) / 2).alias("high"))
-
-
 def split_windows(series: DataFrame, window: int, step: int, least: int) -> DataFrame:
     """series rows with the number of each window that holds them; a row joins the few windows that start before it."""
     w = Window.partitionBy("strategy")

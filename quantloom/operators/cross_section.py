@@ -35,10 +35,11 @@ def winsorize(df: DataFrame, x: str, q: float) -> DataFrame:
     return df.withColumn(x, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), lo), hi)))
 
 
-def quantile_group(x: str, g: int) -> Column:
+def quantile_group(x: str, g: int, by=("date",)) -> Column:
     """Groups 1..g of floor(n/g) names each, the last takes the rest; ties go by code."""
-    n = F.count(F.lit(1)).over(by_date())
-    at = F.row_number().over(by_date().orderBy(F.desc(x), "code"))
+    w = Window.partitionBy(*by)
+    n = F.count(F.lit(1)).over(w)
+    at = F.row_number().over(w.orderBy(F.desc(x), "code"))
     return F.when(n >= g, F.least(F.floor((at - 1) / F.floor(n / g)), F.lit(g - 1)) + 1).cast("int")
 
 

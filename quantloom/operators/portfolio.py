@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.scalars import ratio
+from quantloom.functions.scalars import let, ratio
 
 BOOK = ("portfolio", "date")
 
@@ -14,21 +14,82 @@ def normalise(weights: DataFrame, x: str = "weight") -> DataFrame:
     return weights.withColumn(x, ratio(F.col(x), F.sum(x).over(Window.partitionBy(*BOOK))))
 
 
-def weight_cap(weights: DataFrame, cap: float, rounds: int = 10, mode: str = "selector") -> DataFrame:
-    """Cap and spread the excess over uncapped names pro rata, for `rounds` rounds; one partitioning serves all windows.
+def _sum(values: Column, of=lambda x: x) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x))
+
 
-    At the end the modes `optimizer` and `engine` clip once more, and `selector` and `optimizer` let each book sum to 1.
+def capped(w: Column, cap: float, rounds: int = 10, mode: str = "selector") -> Column:
+    """An array of weights with each at most `cap`: what is over goes to the others pro rata, for `rounds` rounds.
+
+    At the end the modes `optimizer` and `engine` clip once more, and `selector` and `optimizer` let the array sum to 1.
     """
-    book = Window.partitionBy(*BOOK)
-    out = weights
-    for _ in range(rounds):
-        w = F.col("weight")
-        excess = F.sum(F.greatest(w - cap, F.lit(0.0))).over(book)
-        room = F.sum(F.when(w < cap, w)).over(book)
-        out = out.withColumn("weight", F.when(w >= cap, cap).otherwise(w + F.coalesce(w * ratio(excess, room), F.lit(0.0))))
+
+    def spread(acc: Column, _: Column) -> Column:
+        part = ratio(_sum(acc, lambda x: F.greatest(x - cap, F.lit(0.0))), _sum(acc, lambda x: F.when(x < cap, x).otherwise(0.0)))
+        return let(part, lambda p: F.transform(acc, lambda x: F.when(x >= cap, F.lit(float(cap))).otherwise(x + F.coalesce(x * p, F.lit(0.0)))))
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), w, spread)
     if mode != "selector":
-        out = out.withColumn("weight", F.least("weight", F.lit(cap)))
-    return out if mode == "engine" else normalise(out)
+        out = F.transform(out, lambda x: F.least(x, F.lit(float(cap))))
+    return out if mode == "engine" else let(out, lambda x: let(_sum(x), lambda total: F.transform(x, lambda y: ratio(y, total))))
+
+
+def weight_cap(weights: DataFrame, cap: float, rounds: int = 10, mode: str = "selector") -> DataFrame:
+    """weights with each book capped (see `capped`): a book is one array in order of code, so all rounds are one fold after one shuffle."""
+    others = [c for c in weights.columns if c not in (*BOOK, "code", "weight")]
+    rows = F.array_sort(F.collect_list(F.struct("code", "weight", *others)))
+    books = weights.groupBy(*BOOK).agg(rows.alias("_rows"))
+    books = books.withColumn("_w", capped(F.transform("_rows", lambda x: x["weight"]), cap, rounds, mode))
+    out = books.select(*BOOK, F.posexplode("_rows").alias("_i", "_x"), "_w").withColumn("_v", F.get("_w", F.col("_i")))
+    return out.select(*[F.col(c) if c in BOOK else F.col("_v").alias(c) if c == "weight" else F.col(f"_x.{c}") for c in weights.columns])
+
+
+def constrain(weights: DataFrame, old: DataFrame | None, cap: float, industry_cap: float | None = None, limit: float | None = None, least: int = 0, floor: float = 1e-6) -> DataFrame:
+    """portfolio, date, code, weight, n, enough: each book capped by name, by industry, held to a one-way turnover against `old`, without what is under the floor.
+
+    weights has portfolio, date, code, weight and, for an industry cap, industry; old is keyed by the same books, and a book that has none there has no limit.
+    An industry over its cap is scaled down and what is cut isn't spread. `enough` tells whether `least` names are left. A book is one array, so
+    the chain is one fold after the shuffle that merges old and new.
+    """
+    industry = F.col("industry") if industry_cap is not None else F.lit(None).cast("string")
+    rows = weights.select(*BOOK, "code", industry.alias("industry"), F.col("weight").alias("w"), F.lit(None).cast("double").alias("o"))
+    if old is not None:
+        rows = rows.unionByName(old.select(*BOOK, "code", F.lit(None).cast("string").alias("industry"), F.lit(None).cast("double").alias("w"), F.col("weight").alias("o")))
+    names = rows.groupBy(*BOOK, "code").agg(F.max("industry").alias("industry"), F.sum("w").alias("w"), F.sum("o").alias("o"))
+    books = names.groupBy(*BOOK).agg(F.array_sort(F.collect_list(F.struct("code", "industry", "w", "o"))).alias("x")).where(F.exists("x", lambda x: x["w"].isNotNull()))
+    name = lambda x, w: F.struct(x["code"].alias("code"), F.coalesce(x["industry"], F.lit("")).alias("industry"), w.alias("w"), F.coalesce(x["o"], F.lit(0.0)).alias("o"))
+
+    # Each value that a lambda reads is bound by let: a column that is read once, but in a lambda, would be computed for every element.
+    def by_name(x: Column) -> Column:
+        """x with capped weights; names that only old has weigh 0."""
+        new = F.filter(x, lambda y: y["w"].isNotNull())
+        gone = F.transform(F.filter(x, lambda y: y["w"].isNull()), lambda y: name(y, F.lit(0.0)))
+        w = capped(F.transform(new, lambda y: y["w"]), cap, mode="optimizer")
+        return F.concat(F.zip_with(new, w, name), gone)
+
+    def by_industry(x: Column) -> Column:
+        if industry_cap is None:
+            return x
+        own = lambda i: _sum(F.filter(x, lambda z: z["industry"] == i), lambda z: z["w"])
+        totals = F.map_from_entries(F.transform(F.array_distinct(F.transform(x, lambda y: y["industry"])), lambda i: F.struct(i, own(i))))
+        part = lambda t, y: F.when(y["industry"] == "", 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(ratio(F.lit(float(industry_cap)), F.element_at(t, y["industry"])), F.lit(1.0))))
+        return let(totals, lambda t: F.transform(x, lambda y: name(y, y["w"] * part(t, y))))
+
+    def by_turnover(x: Column) -> Column:
+        if limit is None:
+            return x
+        turned = _sum(x, lambda y: F.abs(y["w"] - y["o"])) / 2
+        part = let(turned, lambda t: F.when(F.col("had") & (t > limit), limit / t).otherwise(1.0))
+        return let(part, lambda p: F.transform(x, lambda y: name(y, y["o"] + (y["w"] - y["o"]) * p)))
+
+    chain = let(by_name(F.col("x")), lambda x: let(by_industry(x), lambda y: F.filter(by_turnover(y), lambda z: z["w"] > floor)))
+    books = books.withColumn("had", F.exists("x", lambda x: x["o"].isNotNull())).select(*BOOK, F.explode(F.array(chain)).alias("x"))
+    return books.select(*BOOK, F.explode("x").alias("y"), F.size("x").alias("n")).select(*BOOK, "y.code", F.col("y.w").alias("weight"), "n", (F.col("n") >= least).alias("enough"))
+
+
+def pool_weights(pools: DataFrame) -> DataFrame:
+    """date, pool, weight: an equal share for each pool (of date, pool) that a date has."""
+    return pools.select("date", "pool").distinct().withColumn("weight", 1 / F.count("*").over(Window.partitionBy("date")))
 
 
 def turnover(weights: DataFrame) -> DataFrame:
@@ -126,14 +187,24 @@ def holdings_check(weights: DataFrame, least: int) -> DataFrame:
     return weights.groupBy(*BOOK).agg(n.alias("n"), (n >= least).alias("ok"))
 
 
-def effective_weights(weights: DataFrame, scale: DataFrame, cap: float) -> DataFrame:
-    """weights times the date's scale, capped without a final normalisation, names under 1e-6 dropped; scale 0 gives an empty book."""
-    scaled = weights.join(F.broadcast(scale), "date").withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
-    return weight_cap(scaled, cap, mode="engine").where("weight > 1e-6")
+def scale_by_market(weights: DataFrame, scale: DataFrame) -> DataFrame:
+    """weights times the date's scale (of date, scale); a date without one counts as 1."""
+    return weights.join(scale.select("date", "scale"), "date", "left").withColumn("weight", F.col("weight") * F.coalesce("scale", F.lit(1.0))).drop("scale")
+
+
+def effective_weights(weights: DataFrame, scale: DataFrame, cap: float, pools: DataFrame | None = None) -> DataFrame:
+    """Weights of a book that is bought: names by pool weight (of date, pool, weight) summed over pools, times the date's scale, capped without a final
+    normalisation; names under 1e-6 are dropped, so scale 0 gives an empty book."""
+    if pools is not None:
+        of = pools.select("date", "pool", F.col("weight").alias("_p"))
+        weights = weights.join(of, ["date", "pool"]).groupBy(*BOOK, "code").agg(F.sum(F.col("weight") * F.col("_p")).alias("weight"))
+    return weight_cap(scale_by_market(weights, scale), cap, mode="engine").where("weight > 1e-6")
 
 
 def holdings_diff(weights: DataFrame) -> DataFrame:
-    """portfolio, date, names added and removed against the previous date, and the name-based turnover."""
+    """portfolio, date, counts and sorted names added and removed against the previous date, and the name-based turnover."""
     c = changes(weights)
-    add, cut = F.count(F.when((F.col("old") == 0) & (F.col("new") > 0), 1)), F.count(F.when((F.col("old") > 0) & (F.col("new") == 0), 1))
-    return c.groupBy(*BOOK).agg(add.alias("added"), cut.alias("removed"), ((add + cut) / F.count("*")).alias("name_turnover"))
+    come, go = (F.col("old") == 0) & (F.col("new") > 0), (F.col("old") > 0) & (F.col("new") == 0)
+    names = lambda test: F.array_join(F.array_sort(F.collect_list(F.when(test, F.col("code")))), ",")
+    add, cut = F.count(F.when(come, 1)), F.count(F.when(go, 1))
+    return c.groupBy(*BOOK).agg(add.alias("added"), cut.alias("removed"), ((add + cut) / F.count("*")).alias("name_turnover"), names(come).alias("names_added"), names(go).alias("names_removed"))

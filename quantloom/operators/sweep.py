@@ -1,57 +1,18 @@
-"""Parameter grids, sweeps of a timing signal over them, triggered dates, deflated Sharpe, and tree experts."""
+"""Best points of sweeps, triggered dates, and tree experts of the machine-learning library."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.scalars import ratio
-from quantloom.operators import compare, performance
+from quantloom.operators import performance
 
 
-def _values(axis: dict) -> list:
-    """The points of an axis: choices, or low to high by step (a tenth of the span for floats, 1 for ints)."""
-    if axis["type"] == "categorical":
-        return list(axis["choices"])
-    if axis["type"] == "int":
-        return list(range(int(axis["low"]), int(axis["high"]) + 1, int(axis.get("step", 1))))
-    if axis["type"] != "float":
-        raise ValueError(f"unknown axis type {axis['type']}")
-    low, high = float(axis["low"]), float(axis["high"])
-    step = float(axis.get("step", (high - low) / 10))
-    return [low + i * step for i in range(round((high - low) / step) + 1)]
-
-
-def param_grid(spark: SparkSession, space: dict[str, dict], most: int | None = None, seed: int = 42) -> DataFrame:
-    """point and a column per axis: every combination, or the `most` first by a seeded hash where there are more."""
-    grid = spark.range(1).select()
-    for name, axis in space.items():
-        grid = grid.select("*", F.explode(F.array(*map(F.lit, _values(axis)))).alias(name))
-    grid = grid.select(F.concat_ws("/", *[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in space]).alias("point"), "*")
-    return grid if most is None else grid.orderBy(F.xxhash64(F.lit(seed), "point")).limit(most)
-
-
-def trend_returns(prices: DataFrame, grid: DataFrame, longest: int) -> DataFrame:
-    """strategy (the grid's point), date, ret of holding a series (date, close) while it is over its mean of `window` rows by `margin`.
-
-    The position of a date earns the next date's return; dates without a full window hold nothing. `longest` bounds the grid's windows.
-    """
-    w = Window.partitionBy("strategy").orderBy("date")
-    n = F.col("window")
-    rows = prices.join(F.broadcast(grid.select(F.col("point").alias("strategy"), "window", "margin")))  # a row per point of the grid
-    held = F.collect_list("close").over(w.rowsBetween(-(longest - 1), 0))
-    rows = rows.withColumn("_held", held).withColumn("_ret", ratio(F.col("close"), F.lag("close").over(w)) - 1)
-    total = F.aggregate(F.slice("_held", F.size("_held") - n + 1, n), F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumn("_on", F.when(F.size("_held") < n, 0.0).otherwise((F.col("close") > total / n * (1 + F.col("margin"))).cast("double")))
-    rows = rows.withColumn("ret", F.lag("_on").over(w) * F.col("_ret"))
-    return rows.where("ret is not null").select("strategy", "date", "ret")
-
-
-def best_points(returns: DataFrame, by: str = "sharpe", n: int = 5) -> DataFrame:
-    """strategy, total_return, sharpe, max_drawdown, rank of the n best points by one of these; ties go by point."""
-    m = performance.metrics(returns).select("strategy", "total_return", "sharpe", "max_drawdown")
-    top = m.orderBy(F.desc_nulls_last(by), "strategy").limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last(by), "strategy")))  # n rows
+def best_points(swept: DataFrame, key: str = "series", by: str = "sharpe", n: int = 5) -> DataFrame:
+    """The n best points of each series by a column of the sweep, with their rank; ties go by the axes."""
+    axes = [c for c in swept.columns if c not in (key, "total_return", "sharpe", "max_drawdown", "n")]
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(by), *axes)
+    return swept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def triggered_dates(returns: DataFrame, limit: float, lookback: int = 60, gap: int = 5, least: int = 10) -> DataFrame:
@@ -73,13 +34,6 @@ def triggered_dates(returns: DataFrame, limit: float, lookback: int = 60, gap: i
     return series.select("strategy", F.explode(F.aggregate("at", none, take)).alias("x")).select("strategy", "x.date")
 
 
-def deflated_sharpe(returns: DataFrame, trials: int = 100, samples: int = 1000, seed: int = 7) -> DataFrame:
-    """strategy, sharpe, dsr: share of `samples` groups of `trials` resamples whose best Sharpe ratio reaches the observed one."""
-    seen = returns.groupBy("strategy").agg((ratio(F.avg("ret"), F.stddev_samp("ret")) * performance.YEAR**0.5).alias("sharpe"))
-    best = compare.bootstrap(returns, trials * samples, seed).groupBy("strategy", F.floor(F.col("sample") / trials).alias("group")).agg(F.max("sharpe").alias("best"))
-    return best.join(F.broadcast(seen), "strategy").groupBy("strategy", "sharpe").agg(F.avg((F.col("best") >= F.col("sharpe")).cast("double")).alias("dsr"))  # one row a strategy
-
-
 def fit_expert(train: DataFrame, features: list[str], label: str, kind: str = "forest", seed: int = 42, **params):
     """A fitted pipeline of a random forest, or of boosted trees; null features count as 0, as after `preprocess`."""
     from pyspark.ml import Pipeline

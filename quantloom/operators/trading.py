@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import ratio
 
-#: Commission, transfer fee, stamp duty on sales; redemption fee of funds held under so many days; their code prefixes.
+#: Commission, transfer fee, stamp duty on sales; redemption fee of funds held under so many days.
 COMMISSION, TRANSFER, STAMP = 0.00025, 0.00001, 0.0005
 REDEMPTION, SHORT_DAYS = 0.015, 7
-FUND_PREFIXES = ("51", "15", "16", "52", "56", "59")
 DEAD_BAND = 1e-9
 BOOK = ("portfolio", "date")
 
 
-def asset_type(code: Column) -> Column:
-    return F.when(F.substring(code, 1, 2).isin(*FUND_PREFIXES), "etf").otherwise("stock")
-
-
 def cost_rate(kind: Column, delta: Column, days: Column) -> Column:
     """Cost of one unit traded: stocks pay on both sides and stamp duty on sales, funds only for early redemption."""
     stock = F.when(delta > 0, COMMISSION + TRANSFER).otherwise(COMMISSION + TRANSFER + STAMP)
@@ -42,20 +37,32 @@ def trades(changed: DataFrame) -> DataFrame:
     return changed.where(F.abs(d) > DEAD_BAND).select(*BOOK, "code", F.when(d > 0, "buy").otherwise("sell").alias("side"), F.abs(d).alias("size"))
 
 
-def decide(changed: DataFrame, threshold: float, least_days: int, share: float = 0.1) -> DataFrame:
-    """changed (with score and hold_days) plus action and weight.
+def decide(changed: DataFrame, threshold: float, least_days: int, kind: Column, share: float = 0.1) -> DataFrame:
+    """changed (with score and hold_days) plus action, benefit, unit_cost and weight, by book.
 
-    A name leaves if the best newcomer's score gains more over its own than the sale costs, and if it was held long enough; else it
-    keeps its old weight. Weights are normalised by book.
+    A name leaves if the best newcomer's score gains more over its own than the sale of one unit costs, by its kind and the days held, and if it
+    was held long enough; else it keeps its old weight. A missing score is 0, missing days are 0. A book without old names takes the new ones.
+    Weights are normalised by book.
     """
+    book, score, days = Window.partitionBy(*BOOK), F.coalesce("score", F.lit(0.0)), F.coalesce("hold_days", F.lit(0))
     sell, buy = (F.col("old") > 0) & (F.col("new") == 0), (F.col("old") == 0) & (F.col("new") > 0)
-    best = F.max(F.when(buy, F.col("score"))).over(Window.partitionBy(*BOOK))
-    gain = F.greatest(F.coalesce(best - F.col("score"), F.lit(0.0)), F.lit(0.0)) * share
-    cost = F.col("old") * (COMMISSION + TRANSFER + STAMP)
-    out = (gain - cost > threshold) & (F.col("hold_days") >= least_days)
+    best = F.coalesce(F.max(F.when(buy, score)).over(book), F.lit(0.0))
+    rows = changed.withColumn("benefit", F.when(sell, F.greatest(best - score, F.lit(0.0)) * share)).withColumn("unit_cost", F.when(sell, cost_rate(kind, F.lit(-1.0), days)))
+    out = (F.col("benefit") - F.col("unit_cost") > threshold) & (days >= least_days)
     action = F.when(sell & out, "sell").when(sell, "keep").when(buy, "buy").otherwise("hold")
-    rows = changed.withColumn("action", action).withColumn("weight", F.when(F.col("action") == "keep", F.col("old")).otherwise(F.col("new")))
-    return rows.withColumn("weight", ratio(F.col("weight"), F.sum("weight").over(Window.partitionBy(*BOOK))))
+    rows = rows.withColumn("action", action).withColumn("weight", F.when(F.col("action") == "keep", F.col("old")).otherwise(F.col("new")))
+    return rows.withColumn("weight", ratio(F.col("weight"), F.sum("weight").over(book)))
+
+
+def decide_simple(changed: DataFrame) -> DataFrame:
+    """changed plus action and weight: the new weights as they are."""
+    action = F.when((F.col("old") > 0) & (F.col("new") == 0), "sell").when((F.col("old") == 0) & (F.col("new") > 0), "buy").otherwise("hold")
+    return changed.withColumn("action", action).withColumn("weight", F.col("new"))
+
+
+def decide_none(changed: DataFrame) -> DataFrame:
+    """changed plus action and weight: the old weights stay."""
+    return changed.withColumn("action", F.lit("hold")).withColumn("weight", F.col("old"))
 
 
 def lot_shares(capital: Column, weight: Column, price: Column, lot: int = 100) -> Column:

@@ -9,7 +9,7 @@ from quantloom.functions.scalars import clip, invert, log_pos
 from quantloom.operators import cross_section as xs
 from quantloom.operators import evaluation, factors, performance, portfolio
 from quantloom.operators.windows import densify, fwd_return, pct_change, rolling
-from quantloom import queries_exposure, queries_factors, queries_returns, queries_rotation, queries_sources, queries_sweep, queries_trading
+from quantloom import queries_accounts, queries_choice, queries_exposure, queries_factors, queries_returns, queries_rotation, queries_sources, queries_sweep, queries_trading
 from quantloom.sources import market
 
 CAP = 0.08
@@ -250,6 +250,6 @@ ORACLE = {
         round(max(ret), 6) as best, round(min(ret), 6) as worst from ret group by 1, 2""",
 }
 
-for _part in (queries_factors, queries_returns, queries_trading, queries_exposure, queries_rotation, queries_sources, queries_sweep):
+for _part in (queries_accounts, queries_choice, queries_factors, queries_returns, queries_trading, queries_exposure, queries_rotation, queries_sources, queries_sweep):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import ratio
-from quantloom.operators import compare, joins, performance, portfolio
+from quantloom.operators import compare, joins, performance, portfolio, resample
 from quantloom.operators.windows import fwd_return, pct_change
 from quantloom.queries_factors import bars_sql, rounded
 from quantloom.sources import market
@@ -111,11 +112,19 @@ def pair_allocations(spark, sf_dir):
 
 
 def t_statistics(spark, sf_dir):
-    return rounded(compare.t_statistic(_returns(spark, sf_dir), market.benchmark_returns(spark, sf_dir)))
+    """Of the excess over the benchmark, and of the plain mean of each strategy's first 29 days and 12 days, so that odd and even degrees occur."""
+    r = _returns(spark, sf_dir)
+    at = F.row_number().over(Window.partitionBy("strategy").orderBy("date"))
+    some = [resample.t_test(r.withColumn("_i", at).where(f"_i <= {n}").drop("_i")).withColumn("kind", F.lit(f"first {n}")) for n in (29, 12)]
+    return rounded(resample.t_test(r, market.benchmark_returns(spark, sf_dir)).withColumn("kind", F.lit("excess")).unionByName(some[0]).unionByName(some[1]), 8)
 
 
 def bootstrap_sharpe(spark, sf_dir):
-    return rounded(compare.sharpe_interval(_returns(spark, sf_dir), 200))
+    return rounded(resample.sharpe_interval(_returns(spark, sf_dir)))
+
+
+def deflated_sharpes(spark, sf_dir):
+    return rounded(resample.deflated_sharpe(_returns(spark, sf_dir)))
 
 
 def walk_forward(spark, sf_dir):
@@ -133,7 +142,7 @@ QUERIES = {
     for f in (
         latest_row, lookback_prices, common_days, weight_changes, training_windows, trade_days, book_returns, lagged_book_returns, sharpe_methods, benchmark_relative,
         weekly_win_rate, period_nav, return_histogram, drawdown_spans, position_contribution, rolling_correlations, least_correlated_pairs, pair_allocations, t_statistics,
-        bootstrap_sharpe, walk_forward, strategy_ensemble,
+        bootstrap_sharpe, deflated_sharpes, walk_forward, strategy_ensemble,
     )
 }
 
@@ -149,6 +158,10 @@ _HELD = """q as (select * from w where month(date) % 3 = 1), r as (select date,
     join (select distinct portfolio, date from q) q on q.portfolio = p.portfolio and q.date {0} d.date group by 1, 2),
     b as (select h.portfolio, h.date, sum(q.weight * r.ret) as ret from h join q on q.portfolio = h.portfolio and q.date = h.decision join r on r.date = h.date and r.code = q.code where r.ret is not null group by 1, 2)"""
 _SH = "avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(242)"
+_P, _SQ = "2147483647", lambda x: f"(({x}) * ({x})) % 2147483647"
+_DRAWN = f"""i as (select strategy, ret, row_number() over (partition by strategy order by date) - 1 as i, count(*) over (partition by strategy) as k from ret),
+    h1 as (select strategy, k, i, range as sample, (range * 48271 + i * 16807 + 7) % {_P} as x from i, range({{n}})), h2 as (select strategy, k, i, sample, ({_SQ('x')} * 69621 + i + 7) % {_P} as x from h1),
+    h3 as (select strategy, sample, {_SQ('x')} % k as place from h2), b as (select h3.strategy, sample, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(242) as s from h3 join i on i.strategy = h3.strategy and i.i = h3.place group by 1, 2)"""
 ORACLE = {
     "latest_row": f"""with {BARS}, d as (select max(date) as d from bars group by date_trunc('quarter', date))
         select d as decision, code, max(date) as last_date, round(arg_max(close, date), 6) as close from bars join d on date <= d group by 1, 2""",
@@ -186,7 +199,15 @@ ORACLE = {
         select a, b, round(c, 6) as corr, n from p order by abs(c), a, b limit 3""",
     "pair_allocations": f"""with {RET}, p as (select a.strategy as a, b.strategy as b, stddev_samp(a.ret) as sx, stddev_samp(b.ret) as sy, covar_samp(a.ret, b.ret) as c from ret a join ret b on a.date = b.date and a.strategy < b.strategy group by 1, 2),
         w as (select *, sy / (sx + sy) as wa from p) select a, b, round(wa, 6) as w_a, round(1 - wa, 6) as w_b, round(0.1 / (sqrt(pow(wa * sx, 2) + pow((1 - wa) * sy, 2) + 2 * wa * (1 - wa) * c) * sqrt(242)), 6) as scale from w""",
-    "t_statistics": f"with {BOTH} select strategy, round(avg(e) / (stddev_samp(e) / sqrt(count(*))), 6) as t, count(*) as n from x group by 1",
+    "t_statistics": f"""with {BOTH}, i as (select strategy, ret, row_number() over (partition by strategy order by date) as i from ret), e as (select 'excess' as kind, strategy, e from x union all select 'first 29', strategy, ret from i where i <= 29
+        union all select 'first 12', strategy, ret from i where i <= 12), a as (select kind, strategy, avg(e) as m, stddev_samp(e) as s, count(*) as n from e group by 1, 2),
+        t as (select *, m / (s / sqrt(n)) as t, n - 1 as df, atan(abs(m / (s / sqrt(n))) / sqrt(n - 1)) as th from a),
+        j as (select kind, strategy, th, df, unnest(range(0, case when df % 2 = 0 then df // 2 else (df - 1) // 2 end)) as j from t),
+        k as (select kind, strategy, sum(pow(cos(th), 2 * j) * coalesce(list_product(list_transform(range(1, j + 1), lambda q: case when df % 2 = 0 then (2 * q - 1) / (2.0 * q) else 2.0 * q / (2 * q + 1) end)), 1)) as z from j group by 1, 2)
+        select kind, strategy, round(t, 8) as t, round(1 - case when df % 2 = 0 then sin(th) * z else 2 / pi() * (th + sin(th) * cos(th) * z) end, 8) as p, round(m / s * sqrt(242), 8) as sharpe, n from t join k using (kind, strategy)""",
+    "bootstrap_sharpe": f"""with {RET}, {_DRAWN.format(n=1000)} select strategy, round(quantile_cont(s, 0.025), 6) as low, round(quantile_cont(s, 0.975), 6) as high from b group by 1""",
+    "deflated_sharpes": f"""with {RET}, {_DRAWN.format(n=100000)}, g as (select strategy, sample // 100 as g, max(s) as best from b group by 1, 2), o as (select strategy, avg(ret) / stddev_samp(ret) * sqrt(242) as sharpe from ret group by 1)
+        select strategy, round(sharpe, 6) as sharpe, round(avg(case when best >= sharpe then 1.0 else 0.0 end), 6) as dsr from g join o using (strategy) group by 1, sharpe""",
     "walk_forward": f"""with {RET}, i as (select *, row_number() over (partition by strategy order by date) - 1 as i, count(*) over (partition by strategy) as n from ret), g as (select range as k from range(0, 100)),
         a as (select strategy, k, product(1 + ret) - 1 as total, {_SH} as s from i join g on i >= k * 5 and i < k * 5 + 10 where least(10, n - k * 5) >= 6 group by 1, 2)
         select strategy, count(*) as n, round(avg(s), 6) as mean_sharpe, round(stddev_samp(s), 6) as std_sharpe, round(avg(case when total > 0 then 1.0 else 0.0 end), 6) as positive from a group by 1""",

@@ -36,7 +36,7 @@ def expert_parts(spark, sf_dir):
 def price_range(spark, sf_dir):
     b = market.bars(spark, sf_dir).withColumn("postfq_close", F.col("close") * 2)
     of = market.industry(spark, sf_dir).where("code like '%1'")
-    return rounded(readers.daily_price(b, of, "1994-02-01", "1996-03-01", "post"), 4)
+    return rounded(readers.daily_price(b, of, "1994-02-01", "1996-03-01", "post"), 8)
 
 
 def codes_at(spark, sf_dir):
@@ -68,7 +68,7 @@ def weekdays(spark, sf_dir):
 def wide_panel(spark, sf_dir):
     b = market.bars(spark, sf_dir).select("date", "code", "close", "money")
     v = market.valuation(spark, sf_dir).where("dividend_ratio > 0.05").select("date", "code", "pe_ratio", F.col("market_cap").alias("money"))
-    return rounded(readers.wide_table(b, {"val": v}, market.industry(spark, sf_dir)), 4)
+    return rounded(readers.wide_table(b, {"val": v}, market.industry(spark, sf_dir)), 8)
 
 
 def factor_long(spark, sf_dir):
@@ -88,7 +88,7 @@ ORACLE = {
         case when suf <> '' and num[1:2] in ('15', '16', '51', '52', '56', '59') then 'etf' else 'stock' end as asset from r""",
     "expert_parts": """select p_partkey, case when p_size % 5 = 0 then '?' else 'rf' end as model_type, case when p_size % 5 = 0 then '?' else p_brand[1:5] end as hyper_set,
         case when p_size % 5 = 0 then '?' else p_brand end as feature_set, cast(case when p_size % 5 = 0 then 0 else p_size end as integer) as train_window from part""",
-    "price_range": f"""with {B}, {IND} select date, code, round(open, 4) as open, round(high, 4) as high, round(low, 4) as low, round(close * 2, 4) as close, round(volume, 4) as volume, round(money, 4) as money
+    "price_range": f"""with {B}, {IND} select date, code, round(open, 8) as open, round(high, 8) as high, round(low, 8) as low, round(close * 2, 8) as close, round(volume, 8) as volume, round(money, 8) as money
         from bars where code in (select code from ind where code like '%1') and date between date '1994-02-01' and date '1996-03-01'""",
     "codes_at": f"with {bars_sql('week')} select distinct code from bars where date = {LAST.format('bars')}",
     "tradable_codes": f"with {B} select distinct code from bars where date = {LAST.format('bars')} and volume >= 60 and volume <= 300",
@@ -98,7 +98,7 @@ ORACLE = {
         l as (select i, max(date) as date from m where date <= date '{AS_OF}' and i in ('ASIA', 'EUROPE') group by 1)
         select distinct 'main' as pool, code from m join l using (i, date) union all select * from (values ('few', '1'), ('few', '2'), ('more', '2'), ('more', '3')) v(pool, code)""",
     "weekdays": """select cast(d as date) as date from (select unnest(generate_series(min(cast(o_orderdate as date))::timestamp, max(cast(o_orderdate as date))::timestamp, interval 1 day)) as d from orders) where isodow(d) < 6""",
-    "wide_panel": f"""with {B}, {IND}, {V} select b.date, b.code, round(close, 4) as close, round(money, 4) as money, round(pe_ratio, 4) as pe_ratio, round(market_cap, 4) as money_val, industry
+    "wide_panel": f"""with {B}, {IND}, {V} select b.date, b.code, round(close, 8) as close, round(money, 8) as money, round(pe_ratio, 8) as pe_ratio, round(market_cap, 8) as money_val, industry
         from bars b left join val v on v.date = b.date and v.code = b.code and dividend_ratio > 0.05 left join ind on ind.code = b.code""",
     "factor_long": f"""with {V} select date, code, 'pb_ratio' as factor, round(pb_ratio, 6) as value from val where date >= date '1996-01-01'
         union all select date, code, 'turnover_ratio', round(turnover_ratio, 6) from val where date >= date '1996-01-01'""",

@@ -4,36 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import evaluation, experts, portfolio, rotation, sweep
+from quantloom.operators import evaluation, experts, portfolio, resample, sweep
 from quantloom.operators.windows import fwd_return, pct_change
 from quantloom.queries_factors import bars_sql, rounded
 from quantloom.queries_returns import BOOK, IND, RET
 from quantloom.queries_rotation import INDEX, SCALE
 from quantloom.sources import market
 
-SPACE = {"window": {"type": "int", "low": 5, "high": 20, "step": 5}, "margin": {"type": "float", "low": 0.0, "high": 0.02, "step": 0.01}}
+TREND = {"window": (5, 5, 4), "margin": [0.0, 0.01, 0.02]}
+MOMENTUM = {"span": (1, 1, 40), "least": (-0.05, 0.005, 50)}
 
 
 def _index(spark, sf_dir, unit):
     return market.bars(spark, sf_dir, unit).groupBy("date").agg((F.sum("money") / F.sum("volume")).alias("close"))
 
 
-def trend_sweep(spark, sf_dir):
-    returns = sweep.trend_returns(_index(spark, sf_dir, "week"), sweep.param_grid(spark, SPACE), 20)
-    return rounded(sweep.best_points(returns, "total_return", 5).select("rank", "total_return", "sharpe", "max_drawdown"))
+def _series(spark, sf_dir):
+    return _index(spark, sf_dir, "week").withColumn("series", F.lit("index"))
 
 
-def volatility_dates(spark, sf_dir):
-    return sweep.triggered_dates(market.strategy_returns(spark, sf_dir), 0.0, 10, 5)
+def trend_sweep(spark, sf_dir):
+    return rounded(sweep.best_points(resample.sweep(_series(spark, sf_dir), TREND, resample.trend), by="total_return"))
 
 
-def deflated_sharpes(spark, sf_dir):
-    return rounded(sweep.deflated_sharpe(market.strategy_returns(spark, sf_dir), 10, 50))
+def momentum_sweep(spark, sf_dir):
+    """2,000 points on the price of two halves of the codes."""
+    b = market.bars(spark, sf_dir, "week").groupBy("date", (F.col("code").cast("int") % 2).alias("series")).agg((F.sum("money") / F.sum("volume")).alias("close"))
+    return rounded(sweep.best_points(resample.sweep(b, MOMENTUM, resample.momentum), by="total_return", n=3))
 
 
-def scaled_books(spark, sf_dir):
-    w = portfolio.normalise(market.book(spark, sf_dir)).withColumn("weight", F.col("weight") / 2)
-    return rounded(portfolio.effective_weights(w, rotation.binary_scale(_index(spark, sf_dir, "month"), 12, 6, -0.01), 0.9))
+def volatility_dates(spark, sf_dir):
+    return sweep.triggered_dates(market.strategy_returns(spark, sf_dir), 0.0, 10, 5)
 
 
 def equal_weights(spark, sf_dir):
@@ -68,24 +69,27 @@ def tree_experts(spark, sf_dir):
     return rounded(new.select("date", "code", "forest", "boosted"))
 
 
-QUERIES = {f.__name__: f for f in (trend_sweep, volatility_dates, deflated_sharpes, scaled_books, equal_weights, wednesdays, group_spread, yearly_ic, tree_experts)}
+QUERIES = {f.__name__: f for f in (trend_sweep, momentum_sweep, volatility_dates, equal_weights, wednesdays, group_spread, yearly_ic, tree_experts)}
 
 B = bars_sql()
+_SWEPT = """e as (select *, case when hold then ret else 0 end as x from r where ret is not null), v as (select *, product(1 + x) over w as nav from e window w as (partition by series, {k} order by date)),
+        d as (select *, nav / max(nav) over (partition by series, {k} order by date) - 1 as dd from v), a as (select series, {k}, arg_max(nav, date) - 1 as total, count(*) as n, stddev_samp(x) * sqrt(242) as vol, min(dd) as mdd from d group by all),
+        z as (select *, (pow(1 + total, 242.0 / n) - 1 - 0.02) / nullif(case when vol > 1e-10 then vol end, 0) as sharpe, cast(row_number() over (partition by series order by total desc, {k}) as integer) as rank from a)"""
 ORACLE = {
-    "trend_sweep": f"""with {bars_sql('week')}, {INDEX}, g as (select cast(n as integer) as n, cast(m as double) as m from (values (5), (10), (15), (20)) a(n), (values (0.0), (0.01), (0.02)) b(m)),
-        r as (select n, m, date, c, list(c) over w as l, c / lag(c) over w - 1 as ret from idx, g window w as (partition by n, m order by date)),
-        o as (select *, case when len(l) >= n and c > list_avg(l[len(l) - n + 1:len(l)]) * (1 + m) then 1.0 else 0.0 end as hold from r),
-        e as (select n, m, date, lag(hold) over (partition by n, m order by date) * ret as ret from o),
-        v as (select *, product(1 + ret) over (partition by n, m order by date rows unbounded preceding) as nav from e where ret is not null),
-        d as (select *, nav / max(nav) over (partition by n, m order by date rows unbounded preceding) - 1 as dd from v),
-        a as (select n, m, product(1 + ret) - 1 as total, count(*) as k, stddev_samp(ret) * sqrt(242) as vol, min(dd) as mdd from d group by 1, 2)
-        select cast(row_number() over (order by total desc, n, m) as integer) as rank, round(total, 6) as total_return, round((pow(1 + total, 242.0 / k) - 1 - 0.02) / nullif(vol, 0), 6) as sharpe, round(mdd, 6) as max_drawdown
-        from a qualify rank <= 5""",
+    "trend_sweep": f"""with {bars_sql('week')}, {INDEX}, p as (select 'index' as series, date, c from idx), g as (select cast(5 + 5 * a as bigint) as "window", b as margin from range(4) x(a), (values (0.0::double), (0.01), (0.02)) y(b)),
+        h as (select series, date, "window", margin, c, c / lag(c) over w - 1 as ret, list(c) over w as l from p, g window w as (partition by series, "window", margin order by date)),
+        s as (select *, case when len(l) >= "window" then c > list_avg(l[len(l) - "window" + 1:len(l)]) * (1 + margin) end as held from h),
+        r as (select series, date, "window", margin, ret, lag(held) over (partition by series, "window", margin order by date) as hold from s), {_SWEPT.format(k='"window", margin')}
+        select series, "window", round(margin, 6) as margin, round(total, 6) as total_return, round(sharpe, 6) as sharpe, round(mdd, 6) as max_drawdown, n, rank from z where rank <= 5""",
+    "momentum_sweep": f"""with {bars_sql('week')}, p as (select cast(code as integer) % 2 as series, date, sum(money) / sum(volume) as c from bars group by 1, 2), g as (select cast(1 + a as bigint) as span, -0.05 + b * 0.005::double as least from range(40) x(a), range(50) y(b)),
+        h as (select series, date, c, c / lag(c) over w - 1 as ret, list(c) over w as l from p window w as (partition by series order by date)),
+        s as (select series, date, ret, span, least, case when len(l) > span then c > l[len(l) - span] * (1 + least) end as held from h, g),
+        r as (select series, date, span, least, ret, lag(held) over (partition by series, span, least order by date) as hold from s), {_SWEPT.format(k='span, least')}
+        select series, span, round(least, 6) as least, round(total, 6) as total_return, round(sharpe, 6) as sharpe, round(mdd, 6) as max_drawdown, n, rank from z where rank <= 3""",
     "volatility_dates": f"""with recursive {RET}, i as (select strategy, date, row_number() over w - 1 as i, count(ret) over (w rows between 10 preceding and 1 preceding) as n, stddev_samp(ret) over (w rows between 10 preceding and 1 preceding) as s
         from ret window w as (partition by strategy order by date)), c as (select strategy, date, i from i where i >= 10 and n >= 10 and s > 0),
         t as (select strategy, min(i) as i from c group by 1 union all select t.strategy, (select min(c.i) from c where c.strategy = t.strategy and c.i >= t.i + 5) from t where t.i is not null)
         select strategy, date from t join c using (strategy, i)""",
-    "scaled_books": f"""with {BOOK}, {INDEX}, {SCALE} select portfolio, date, code, round(weight / 2 * scale, 6) as weight from w join sc using (date) where weight / 2 * scale > 1e-6""",
     "equal_weights": f"with {B}, {IND} select date, industry, code, round(1 / count(*) over (partition by date, industry), 6) as weight from bars join ind using (code)",
     "wednesdays": "select distinct cast(o_orderdate as date) as date from orders where isodow(o_orderdate) = 3",
     "group_spread": f"""with {B}, p as (select date, code, close / lag(close, 3) over w - 1 as mom, lead(close) over w / close - 1 as fwd from bars window w as (partition by code order by date)),

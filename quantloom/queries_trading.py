@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quantloom.functions import codes
 from quantloom.operators import cross_section as xs
 from quantloom.operators import evaluation, experts, factors, portfolio, trading
 from quantloom.operators.windows import fwd_return, pct_change, rolling
@@ -28,22 +32,10 @@ def factor_summaries(spark, sf_dir):
     return rounded(evaluation.factor_summary(_table(spark, sf_dir), 0.95))
 
 
-def strong_factors(spark, sf_dir):
-    return rounded(evaluation.strong_factors(_table(spark, sf_dir), "1997-01-01", 0.0, 0.02))
-
-
 def factor_correlations(spark, sf_dir):
     return rounded(evaluation.factor_correlations(_table(spark, sf_dir)))
 
 
-def icir_weights(spark, sf_dir):
-    return rounded(evaluation.icir_weights(_table(spark, sf_dir)))
-
-
-def top_factors(spark, sf_dir):
-    return rounded(evaluation.top_factors(_table(spark, sf_dir), 3))
-
-
 def _moms(spark, sf_dir):
     c = F.col("close")
     return market.bars(spark, sf_dir).select("date", "code", pct_change(c, 3).alias("a"), pct_change(c, 6).alias("b"))
@@ -68,6 +60,13 @@ def _book(spark, sf_dir):
     return portfolio.normalise(market.book(spark, sf_dir))
 
 
+def _leaders(spark, sf_dir):
+    """Books of the eight largest names, so that names come and go."""
+    w = market.book(spark, sf_dir)
+    at = F.row_number().over(Window.partitionBy("portfolio", "date").orderBy(F.desc("weight"), "code"))
+    return portfolio.normalise(w.withColumn("_at", at).where("_at <= 8").drop("_at"))
+
+
 def weight_schemes(spark, sf_dir):
     b = market.bars(spark, sf_dir).select("date", "code", pct_change(F.col("close"), 1).alias("r"))
     vol = b.select("date", "code", rolling(F.stddev_samp, F.col("r"), 6).alias("vol"))
@@ -97,13 +96,19 @@ def smoothed_weights(spark, sf_dir):
 
 
 def holdings_checks(spark, sf_dir):
-    w = _book(spark, sf_dir)
-    return rounded(portfolio.holdings_check(w, 20).join(portfolio.holdings_diff(w), ["portfolio", "date"], "left"))
+    w = _leaders(spark, sf_dir)
+    return rounded(portfolio.holdings_check(w, 8).join(portfolio.holdings_diff(w), ["portfolio", "date"], "left"))
+
+
+def _listed(code):
+    """Suppliers as listed names: every third one is a fund."""
+    return F.concat(F.when(code.cast("int") % 3 == 0, "51").otherwise("60"), F.lpad(code, 4, "0"), F.lit(".XSHG"))
 
 
 def rebalance_costs(spark, sf_dir):
     c = portfolio.changes(_book(spark, sf_dir))
-    kind, days = trading.asset_type(F.col("code")), F.lit(5)
+    c = c.withColumn("listed", _listed(F.col("code"))).withColumn("days", F.length("code") * 4)
+    kind, days = codes.asset_type(F.col("listed")), F.col("days")
     return rounded(trading.rebalance_cost(c, kind, days).join(trading.flat_cost(c, 0.001).withColumnRenamed("cost", "flat"), ["portfolio", "date"]), 8)
 
 
@@ -113,8 +118,15 @@ def trade_sides(spark, sf_dir):
 
 def cost_benefit(spark, sf_dir):
     s = market.bars(spark, sf_dir).select("date", "code", pct_change(F.col("close"), 3).alias("score"))
-    c = portfolio.changes(_book(spark, sf_dir)).join(s, ["date", "code"], "left").withColumn("hold_days", F.length("code") * 20)
-    return rounded(trading.decide(c, 0.01, 30).select("portfolio", "date", "code", "action", "weight"))
+    c = portfolio.changes(_leaders(spark, sf_dir)).join(s, ["date", "code"], "left").withColumn("hold_days", F.when(F.col("code") != "7", F.length("code") * 20 - F.col("code").cast("int") % 4 * 10))
+    out = trading.decide(c, 0.05, 15, codes.asset_type(_listed(F.col("code"))))
+    return rounded(out.select("portfolio", "date", "code", "action", "benefit", "unit_cost", "weight"))
+
+
+def plain_decisions(spark, sf_dir):
+    c = portfolio.changes(_book(spark, sf_dir))
+    rows = [f(c).select(F.lit(n).alias("rule"), "portfolio", "date", "code", "action", "weight") for n, f in (("simple", trading.decide_simple), ("none", trading.decide_none))]
+    return rounded(rows[0].unionByName(rows[1]))
 
 
 def lot_trades(spark, sf_dir):
@@ -200,8 +212,8 @@ def holdout_rows(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        ic_tables, factor_summaries, strong_factors, factor_correlations, icir_weights, top_factors, mad_filtered, orthogonal_scores, train_scaled, weight_schemes, strength_weights,
-        industry_caps, limited_turnover, smoothed_weights, holdings_checks, rebalance_costs, trade_sides, cost_benefit, lot_trades, ledger_checks, trade_summaries, weekday_rebalances,
+        ic_tables, factor_summaries, factor_correlations, mad_filtered, orthogonal_scores, train_scaled, weight_schemes, strength_weights,
+        industry_caps, limited_turnover, smoothed_weights, holdings_checks, rebalance_costs, trade_sides, cost_benefit, plain_decisions, lot_trades, ledger_checks, trade_summaries, weekday_rebalances,
         expert_ics, expert_summaries, ensembles, ensemble_ic, expert_pairs, expert_votes, group_discrimination, excess_labels, holdout_rows,
     )
 }
@@ -220,6 +232,8 @@ _z = lambda x: f"case when count({x}) over p >= 5 and stddev_samp({x}) over p >=
 _CHG = f"""{BOOK}, dp as (select portfolio, date, lag(date) over (partition by portfolio order by date) as prev from (select distinct portfolio, date from w)),
     u as (select dp.portfolio, dp.date, code, 0.0::double as o, weight as n from dp join w on w.portfolio = dp.portfolio and w.date = dp.date where prev is not null union all
     select dp.portfolio, dp.date, code, weight, 0.0::double from dp join w on w.portfolio = dp.portfolio and w.date = dp.prev), ch as (select portfolio, date, code, sum(o) as old, sum(n) as new from u group by 1, 2, 3)"""
+_LEAD = f"""{BOOK}, w8 as (select portfolio, date, code, weight / sum(weight) over (partition by portfolio, date) as weight
+    from (select *, row_number() over (partition by portfolio, date order by weight desc, code) as place from w) where place <= 8)""" + re.sub(r"\bw\b", "w8", _CHG.removeprefix(BOOK))
 _LEDGER = """t as (select l_suppkey as account, l_partkey as code, cast(l_shipdate as date) as date, case when l_returnflag = 'R' then 'sell' else 'buy' end as side, sum(l_quantity) as qty, sum(l_extendedprice) as amount,
     cast(round(cast(sum(l_extendedprice) * 0.001 as decimal(18, 6)), 2) as double) as fee, avg(l_extendedprice / l_quantity) as price from lineitem group by 1, 2, 3, 4),
     l as (select *, sum(case when side = 'sell' then -qty else qty end) over (partition by account, code order by date, side rows unbounded preceding) as shares from t)"""
@@ -234,11 +248,7 @@ ORACLE = {
     "factor_summaries": f"""with {_TAB}, k2 as (select *, pow(0.95, row_number() over (partition by factor order by date desc) - 1) as w from t where ic is not null),
         s as (select factor, sum(w * ic) / sum(w) as m, sum(w * ic * ic) / sum(w) as q, avg(case when ic > 0 then 1.0 else 0.0 end) as p, avg(abs(ic)) as b, count(*) as n from k2 group by 1)
         select factor, round(m, 6) as mean_ic, round(sqrt(greatest(q - m * m, 0)), 6) as std_ic, round(m / nullif(sqrt(greatest(q - m * m, 0)), 0), 6) as icir, round(p, 6) as positive_share, round(b, 6) as mean_abs_ic, n from s""",
-    "strong_factors": f"""with {_TAB} select factor, round(avg(ic), 6) as mean_ic, round(avg(ic) / stddev_pop(ic), 6) as icir from t where date < '1997-01-01' and ic is not null group by 1 having abs(avg(ic) / stddev_pop(ic)) >= 0.02""",
     "factor_correlations": f"with {_TAB} select a.factor as a, b.factor as b, round(corr(a.ic, b.ic), 6) as corr from t a join t b on a.date = b.date and a.factor < b.factor where a.ic is not null and b.ic is not null group by 1, 2",
-    "icir_weights": f"""with {_TAB}, x as (select date, factor, case when count(ic) over w >= 5 then greatest(coalesce(avg(ic) over w / nullif(stddev_pop(ic) over w, 0), 0), 0) else 0 end as x from t
-        window w as (partition by factor order by date rows between 60 preceding and 1 preceding)) select date, factor, round(coalesce(x / nullif(sum(x) over (partition by date), 0), 0), 6) as weight from x""",
-    "top_factors": f"with {_TAB} select factor, round(avg(ic), 6) as mean_ic from t group by 1 order by abs(avg(ic)) desc, factor limit 3",
     "mad_filtered": f"""with {_MOM}, x as (select date, code, a, abs(a - quantile_cont(a, 0.5) over (partition by date)) as dev from m where a is not null), y as (select *, quantile_cont(dev, 0.5) over (partition by date) as mad from x)
         select date, code, round(a, 6) as a from y where 0.6745 * dev / nullif(mad, 0) < 5""",
     "orthogonal_scores": f"""with {_MOM}, z as (select date, code, {_z('a')} as a, {_z('b')} as b from m where a is not null and b is not null window p as (partition by date)),
@@ -258,16 +268,22 @@ ORACLE = {
         select portfolio, date, code, round(old + case when t > 0.3 then 0.3 / t else 1 end * (new - old), 6) as weight from t""",
     "smoothed_weights": f"""with {_CHG}, t as (select *, sum(abs(new - old)) over (partition by portfolio, date) as t from ch), b as (select *, case when t > 0.4 then 0.25 * new + 0.75 * old else new end as x from t)
         select portfolio, date, code, round(x / nullif(sum(x) over (partition by portfolio, date), 0), 6) as weight from b""",
-    "holdings_checks": f"""with {_CHG}, a as (select portfolio, date, count(case when weight > 1e-6 then 1 end) as n from w group by 1, 2), d as (select portfolio, date, count(case when old = 0 and new > 0 then 1 end) as added,
-        count(case when old > 0 and new = 0 then 1 end) as removed, count(*) as k from ch group by 1, 2)
-        select a.portfolio, a.date, n, n >= 20 as ok, added, removed, round((added + removed) / k, 6) as name_turnover from a left join d on a.portfolio = d.portfolio and a.date = d.date""",
-    "rebalance_costs": f"""with {_CHG} select portfolio, date, round(sum(abs(new - old) * case when abs(new - old) <= 1e-9 then 0 when substr(code, 1, 2) in ('51', '15', '16', '52', '56', '59') then case when new < old then 0.015 else 0 end
+    "holdings_checks": f"""with {_LEAD}, a as (select portfolio, date, count(case when weight > 1e-6 then 1 end) as n from w8 group by 1, 2), d as (select portfolio, date, count(case when old = 0 and new > 0 then 1 end) as added,
+        count(case when old > 0 and new = 0 then 1 end) as removed, count(*) as k, coalesce(string_agg(case when old = 0 and new > 0 then code end, ',' order by code), '') as names_added,
+        coalesce(string_agg(case when old > 0 and new = 0 then code end, ',' order by code), '') as names_removed from ch group by 1, 2)
+        select a.portfolio, a.date, n, n >= 8 as ok, added, removed, round((added + removed) / k, 6) as name_turnover, names_added, names_removed from a left join d on a.portfolio = d.portfolio and a.date = d.date""",
+    "rebalance_costs": f"""with {_CHG} select portfolio, date, round(sum(abs(new - old) * case when abs(new - old) <= 1e-9 then 0 when cast(code as integer) % 3 = 0 then case when new < old and length(code) * 4 < 7 then 0.015 else 0 end
         when new > old then 0.00026 else 0.00076 end), 8) as cost, round(0.001 * sum(abs(new - old)) / 2, 8) as flat from ch group by 1, 2""",
     "trade_sides": f"with {_CHG} select portfolio, date, code, case when new > old then 'buy' else 'sell' end as side, round(abs(new - old), 6) as size from ch where abs(new - old) > 1e-9",
-    "cost_benefit": f"""with {_CHG}, s as (select date, code, close / lag(close, 3) over {W} - 1 as score from bars), x as (select ch.*, score, length(ch.code) * 20 as days from ch left join s on s.date = ch.date and s.code = ch.code),
-        y as (select *, max(case when old = 0 and new > 0 then score end) over (partition by portfolio, date) as best from x), a as (select *, case when old > 0 and new = 0 then
-        case when greatest(coalesce(best - score, 0), 0) * 0.1 - old * 0.00076 > 0.01 and days >= 30 then 'sell' else 'keep' end when old = 0 and new > 0 then 'buy' else 'hold' end as action from y),
-        b as (select *, case when action = 'keep' then old else new end as x from a) select portfolio, date, code, action, round(x / nullif(sum(x) over (partition by portfolio, date), 0), 6) as weight from b""",
+    "cost_benefit": f"""with {_LEAD}, s as (select date, code, close / lag(close, 3) over {W} - 1 as score from bars),
+        x as (select ch.*, coalesce(score, 0) as score, case when ch.code <> '7' then length(ch.code) * 20 - cast(ch.code as integer) % 4 * 10 else 0 end as days from ch left join s on s.date = ch.date and s.code = ch.code),
+        y as (select *, old > 0 and new = 0 as gone, coalesce(max(case when old = 0 and new > 0 then score end) over (partition by portfolio, date), 0) as best from x),
+        c as (select *, case when gone then greatest(best - score, 0) * 0.1 end as benefit, case when gone then case when cast(code as integer) % 3 <> 0 then 0.00076::double when days < 7 then 0.015 else 0 end end as unit_cost from y),
+        a as (select *, case when gone then case when benefit - unit_cost > 0.05 and days >= 15 then 'sell' else 'keep' end when old = 0 and new > 0 then 'buy' else 'hold' end as action from c),
+        b as (select *, case when action = 'keep' then old else new end as x from a)
+        select portfolio, date, code, action, round(benefit, 6) as benefit, round(unit_cost, 6) as unit_cost, round(x / nullif(sum(x) over (partition by portfolio, date), 0), 6) as weight from b""",
+    "plain_decisions": f"""with {_CHG} select 'simple' as rule, portfolio, date, code, case when old > 0 and new = 0 then 'sell' when old = 0 and new > 0 then 'buy' else 'hold' end as action, round(new, 6) as weight from ch
+        union all select 'none', portfolio, date, code, 'hold', round(old, 6) from ch""",
     "lot_trades": f"""with {BOOK}, x as (select portfolio || '/' || cast(w.date as varchar) as account, w.code, case when length(w.code) = 2 then 300 else 0 end as prev, weight, b.close as price from w join bars b on b.date = w.date and b.code = w.code),
         v as (select *, sum(prev * price) over (partition by account) + 1e7 as value from x), t as (select *, cast(floor(value * weight / price / 100) * 100 as bigint) - prev as d from v)
         select account, code, case when d > 0 then 'buy' else 'sell' end as side, abs(d) as qty, round(abs(d) * price, 2) as amount, cast(round(cast(abs(d) * price * 0.001 as decimal(18, 6)), 2) as double) as fee from t where d <> 0""",
