@@ -105,3 +105,19 @@ def group_discrimination(correlations: DataFrame, groups: DataFrame) -> DataFram
     rows = correlations.join(F.broadcast(g("a")), "a").join(F.broadcast(g("b")), "b")
     same = F.col("ga") == F.col("gb")
     return rows.agg(F.avg(F.when(same, F.col("corr"))).alias("within"), F.avg(F.when(~same, F.col("corr"))).alias("between"))
+
+
+def group_stats(summary: DataFrame, dimensions: list[str]) -> DataFrame:
+    """dimension, group, n_experts and the mean, deviation, IR, share over 0 and holdout IC of its experts, by grouping sets: one pass for all dimensions.
+
+    summary has a row per expert: the dimensions, ic, ir, positive, holdout. The deviation (ddof 1) of a single expert is 0; rank is by mean IC within a dimension.
+    """
+    keys = [F.col(d).cast("string").alias(d) for d in dimensions]
+    rows = summary.select(*keys, "ic", "ir", "positive", "holdout")
+    out = rows.groupingSets([[d] for d in dimensions], *dimensions).agg(
+        F.coalesce(*[F.when(F.grouping(d) == 0, F.lit(d)) for d in dimensions]).alias("dimension"), F.count("*").alias("n_experts"), F.avg("ic").alias("ic_mean"),
+        F.coalesce(F.stddev_samp("ic"), F.lit(0.0)).alias("ic_std"), F.avg("ir").alias("ir_mean"), F.avg("positive").alias("positive_mean"), F.avg("holdout").alias("holdout_mean"),
+    )
+    group = F.coalesce(*[F.when(F.col("dimension") == d, F.col(d)) for d in dimensions])
+    at = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc_nulls_last("ic_mean"), "group"))
+    return out.withColumn("group", group).drop(*dimensions).withColumn("rank", at)

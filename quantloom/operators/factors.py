@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import invert, log_pos, ratio
-from quantloom.operators.windows import cum_sum, densify, diff, own_rows, pct_change, rolling
+from quantloom.operators.windows import cum_sum, densify, diff, forward_sum, own_rows, pct_change, rolling
 
 EPS = 1e-8
 C = F.col
@@ -109,3 +109,45 @@ def compute_factors(panel: DataFrame, names: list[str] | None = None, params: di
     for n, fn in own.items():
         out = out.withColumn(n, fn())
     return out.select("date", "code", *known, *own)
+
+
+def merged_panel(sources: dict[str, DataFrame], base: str) -> DataFrame:
+    """date, code and the factors of all sources, on the rows of the base source: one union and one grouping in place of a join per source.
+
+    Sources are keyed by (date, code) and their factor names differ. Rows that other sources alone have are left out; what a source lacks is null.
+    """
+    rows = None
+    for name, df in sources.items():
+        part = df.withColumn("_base", F.lit(name == base))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    names = [c for c in rows.columns if c not in ("date", "code", "_base")]
+    one = rows.groupBy("date", "code").agg(F.max("_base").alias("_base"), *[F.first(c, ignorenulls=True).alias(c) for c in names])
+    return one.where("_base").drop("_base")
+
+
+def all_panel_factors(prices: DataFrame, flows: DataFrame | None = None, valuation: DataFrame | None = None, params: dict | None = None, unlock: str = "rate1") -> DataFrame:
+    """Every factor of the catalogue that the panels allow, and the unlock sums of the next 20 and 60 days of the flows' calendar, on the rows of the prices."""
+    sources = {"prices": compute_factors(prices, list(PRICE), params)}
+    if flows is not None:
+        sources["flows"] = compute_factors(flows, list(FLOW), params)
+        if unlock in flows.columns:
+            sums = flows.select("date", "code", unlock)
+            for n in (20, 60):
+                sums = forward_sum(sums, unlock, n, f"unlock_rate_{n}d")
+            sources["unlock"] = sums.drop(unlock)
+    if valuation is not None:
+        sources["valuation"] = compute_factors(valuation, list(VALUE), params)
+    return merged_panel(sources, "prices")
+
+
+def coverage(panel: DataFrame, least: float = 0.8) -> DataFrame:
+    """factor, share of rows with a value, kept: all columns in one pass."""
+    names = [c for c in panel.columns if c not in ("date", "code")]
+    share = panel.agg(*[(F.count(c) / F.nullif(F.count("*"), F.lit(0))).alias(c) for c in names])
+    return share.unpivot([], names, "factor", "share").withColumn("kept", F.coalesce(F.col("share") >= least, F.lit(False)))
+
+
+def covered(panel: DataFrame, least: float = 0.8) -> DataFrame:
+    """panel without the factors of less coverage; the choice is one row per factor."""
+    kept = {r.factor for r in coverage(panel, least).where("kept").collect()}
+    return panel.select("date", "code", *[c for c in panel.columns if c in kept])

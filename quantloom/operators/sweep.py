@@ -1,4 +1,4 @@
-"""Best points of sweeps, triggered dates, and tree experts of the machine-learning library."""
+"""Best points of sweeps, and triggered dates."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import performance
+from quantloom.operators.joins import with_calendar
 
 
 def best_points(swept: DataFrame, key: str = "series", by: str = "sharpe", n: int = 5) -> DataFrame:
@@ -34,16 +35,8 @@ def triggered_dates(returns: DataFrame, limit: float, lookback: int = 60, gap: i
     return series.select("strategy", F.explode(F.aggregate("at", none, take)).alias("x")).select("strategy", "x.date")
 
 
-def fit_expert(train: DataFrame, features: list[str], label: str, kind: str = "forest", seed: int = 42, **params):
-    """A fitted pipeline of a random forest, or of boosted trees; null features count as 0, as after `preprocess`."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    model = {"forest": RandomForestRegressor, "boosted": GBTRegressor}[kind](featuresCol="_x", labelCol=label, predictionCol="pred", seed=seed, **params)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), model]).fit(train.na.fill(0.0, features).where(F.col(label).isNotNull()))
-
-
-def predict(model, panel: DataFrame, features: list[str]) -> DataFrame:
-    """panel plus pred."""
-    return model.transform(panel.na.fill(0.0, features)).drop("_x")
+def rebalance_or_triggered(returns: DataFrame, scheduled: DataFrame, limit: float, lookback: int = 60, gap: int = 5) -> DataFrame:
+    """strategy, date, scheduled: the calendar's dates (of date) for every strategy, and the dates that volatility triggers."""
+    extra = triggered_dates(returns, limit, lookback, gap).withColumn("scheduled", F.lit(False))
+    due = with_calendar(returns.select("strategy"), scheduled).withColumn("scheduled", F.lit(True))
+    return due.unionByName(extra).groupBy("strategy", "date").agg(F.max("scheduled").alias("scheduled"))

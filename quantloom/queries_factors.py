@@ -57,10 +57,14 @@ def unlock_factors(spark, sf_dir):
     return rounded(forward_sum(forward_sum(rows, "rate1", 20, "unlock_rate_20d"), "rate1", 60, "unlock_rate_60d").drop("rate1"))
 
 
+def _panel(spark, sf_dir):
+    """All factors on the rows of the brands of even number, so that the other sources have rows of their own."""
+    prices = _weekly(spark, sf_dir).where(F.substring("code", -1, 1).cast("int") % 2 == 0)
+    return factors.all_panel_factors(prices, market.flows(spark, sf_dir), market.valuation(spark, sf_dir, "week", "brand"))
+
+
 def panel_factors(spark, sf_dir):
-    raw = factors.compute_factors(_weekly(spark, sf_dir), ["drv_MA5", "drv_MOM_5d"])
-    flow = factors.compute_factors(market.flows(spark, sf_dir), ["margin_fin_chg5d", "hk_hold_ratio_change_5d"])
-    return rounded(raw.join(flow, ["date", "code"], "left"), 4)
+    return rounded(_panel(spark, sf_dir), 8)
 
 
 def value_percentile(spark, sf_dir):
@@ -73,9 +77,7 @@ def tail_bars(spark, sf_dir):
 
 
 def coverage(spark, sf_dir):
-    wide = factors.compute_factors(_weekly(spark, sf_dir), ["mom_1m", "mom_6m", "mom_12m", "vol_20d"])
-    share = wide.agg(*[(F.count(c) / F.count("*")).alias(c) for c in wide.columns[2:]])
-    return rounded(share.unpivot([], wide.columns[2:], "factor", "share").withColumn("kept", F.col("share") >= 0.8))
+    return rounded(factors.coverage(_panel(spark, sf_dir)))
 
 
 QUERIES = {n: _group(n) for n in GROUPS} | {
@@ -141,6 +143,17 @@ VALUATION = """v as (select cast(l_suppkey as varchar) as code, cast(date_trunc(
     avg(l_tax) as turnover_ratio from lineitem group by 1, 2)"""
 _inv = lambda x: f"case when abs({x}) > 1e-8 then 1 / {x} end"
 _unlock = lambda n: f"round(coalesce(sum(rate1) over (partition by code order by idx range between 1 following and {n} following), 0), 6) as unlock_rate_{n}d"
+_FLOW = {f"hk_hold_ratio_change_{n}d": f"share_ratio - {_lag('share_ratio', n)}" for n in (5, 20)} | {f"margin_fin_chg{n}d": _pct("fin_value", n) for n in (5, 20)}
+_FLOW |= {f"mf_net_big_{n}d": roll("avg", "net", n) for n in (5, 20)} | {"margin_sec_chg5d": _pct("sec_value", 5), "mf_big_ratio_5d": roll("avg", "share", 5)}
+_FLOW |= {f"unlock_rate_{n}d": f"coalesce(sum(rate1) over (partition by code order by idx range between 1 following and {n} following), 0)" for n in (20, 60)}
+_VALUE = {"pe_ttm": "pe_ratio", "pb_ratio": "pb_ratio", "ps_ratio": "ps_ratio", "market_cap": "ln(market_cap)", "ep_ratio": _inv("pe_ratio"), "bp_ratio": _inv("pb_ratio"), "sp_ratio": _inv("ps_ratio")}
+_VALUE |= {"turnover_ratio": "turnover_ratio", "dividend_yield": "dividend_ratio", "log_market_cap": "ln(market_cap)"}
+ALL_NAMES = [*SQL, *_FLOW, *_VALUE]
+_cols = lambda c: ", ".join(f'{x} as "{n}"' for n, x in c.items())
+_ALL = f"""{bars_sql('week', 'brand').replace('bars as', 'b0 as')}, bars as (select * from b0 where cast(code[-1:] as integer) % 2 = 0), {steps()}, {FLOWS}, fd as (select date, row_number() over (order by date) as idx from (select distinct date from flows)),
+    {VALUATION.replace("cast(l_suppkey as varchar)", "p_brand").replace("'month'", "'week'").replace("from lineitem", "from lineitem join part on l_partkey = p_partkey")},
+    pf as (select date, code, {_cols(SQL)} from e), f2 as (select * from f join fd using (date)), ff as (select date, code, {_cols(_FLOW)} from f2), vf as (select date, code, {_cols(_VALUE)} from v),
+    al as (select * from pf left join ff using (date, code) left join vf using (date, code))"""
 ORACLE = {n: f"with {bars_sql('week', 'brand')}, {steps()} select date, code, {select(names, 4)} from e" for n, names in GROUPS.items()} | {
     "calendar_factors": f"with {bars_sql('week')}{GRID}, {steps('g')} select date, code, {select(['mom_1m', 'rsi_14', 'ma_5_20_cross', 'vol_20d', 'obv_slope'], 4)} from e",
     "factor_params": f"""with {bars_sql('week', 'brand')}, r as (select date, code, {_pct('close', 4)} as a, {_pct('close', 13)} as b, (close - {roll('avg', 'close', 8)}) / ({roll('avg', 'close', 8)} + 1e-8) as c from bars)
@@ -153,14 +166,10 @@ ORACLE = {n: f"with {bars_sql('week', 'brand')}, {steps()} select date, code, {s
     + f", round({_pct('sec_value', 5)}, 4) as margin_sec_chg5d, round({roll('avg', 'share', 5)}, 4) as mf_big_ratio_5d from f",
     "unlock_factors": f"""with {FLOWS}, d as (select date, row_number() over (order by date) as idx from (select distinct date from flows)), r as (select f.date, code, rate1, idx from f join d on f.date = d.date)
         select date, code, {_unlock(20)}, {_unlock(60)} from r""",
-    "panel_factors": f"""with {bars_sql('week', 'brand')}, {FLOWS}, a as (select date, code, {roll('avg', 'close', 5)} as ma, {_pct('close', 5)} as mo from bars),
-        b as (select date, code, {_pct('fin_value', 5)} as fin, share_ratio - {_lag('share_ratio', 5)} as hk from f)
-        select a.date, a.code, round(ma, 4) as "drv_MA5", round(mo, 4) as "drv_MOM_5d", round(fin, 4) as margin_fin_chg5d, round(hk, 4) as hk_hold_ratio_change_5d from a left join b on a.date = b.date and a.code = b.code""",
+    "panel_factors": f"with {_ALL} select date, code, " + ", ".join(f'round("{n}", 8) as "{n}"' for n in ALL_NAMES) + " from al",
     "value_percentile": f"""with {VALUATION}, e as (select date, code, 1 / pe_ratio as ep from v), h as (select *, list(ep) filter (where ep is not null) over w as hist, quantile_cont(ep, 0.95) over w as q from e
         window w as (partition by code order by date rows 23 preceding)) select date, code, round(case when ep is not null and len(hist) >= 12 then len(list_filter(hist, lambda x: x <= ep)) / len(hist) end, 6) as ep_pct,
         cast(case when len(hist) >= 12 and ep > q then 1 else 0 end as integer) as high from h""",
     "tail_bars": f"with {bars_sql()}, r as (select *, row_number() over (partition by code order by date desc) as i from bars) select date, code, round(close, 6) as close from r where i <= 3",
-    "coverage": f"""with {bars_sql('week', 'brand')}, {steps()}, f as (select {', '.join(f"{SQL[n]} as {n}" for n in ('mom_1m', 'mom_6m', 'mom_12m', 'vol_20d'))} from e),
-        s as (select count(mom_1m) / count(*) as mom_1m, count(mom_6m) / count(*) as mom_6m, count(mom_12m) / count(*) as mom_12m, count(vol_20d) / count(*) as vol_20d from f),
-        u as (unpivot s on mom_1m, mom_6m, mom_12m, vol_20d into name factor value share) select factor, round(share, 6) as share, share >= 0.8 as kept from u""",
+    "coverage": f"with {_ALL} " + " union all ".join(f"""select '{n}' as factor, round(count("{n}") / count(*), 6) as share, count("{n}") / count(*) >= 0.8 as kept from al""" for n in ALL_NAMES),
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quantloom.operators import rotation
-from quantloom.operators.windows import pct_change
+from quantloom.operators import evaluation, rotation
+from quantloom.operators.windows import pct_change, rolling
 from quantloom.queries_factors import bars_sql, rounded
 from quantloom.queries_returns import IND
 from quantloom.sources import market
@@ -78,13 +78,13 @@ def industry_crowding(spark, sf_dir):
 
 def crowding_filtered(spark, sf_dir):
     g = _groups(spark, sf_dir)
-    return rotation.crowding_filter(_picked(g), _crowded(g), 1, 7)
+    return rotation.crowding_filter(_picked(g), _crowded(g), 1, 3)
 
 
 def valuation_filtered(spark, sf_dir):
     g = _groups(spark, sf_dir).withColumn("ep", 1 / F.col("close"))
     cheap = g.select("date", "industry", rotation.industry_percentile("ep", 250, 30).alias("cheap"))
-    return rounded(rotation.valuation_filter(_picked(g), cheap, 0.1, 7))
+    return rounded(rotation.valuation_filter(_picked(g), cheap, 0.1, 3))
 
 
 def valuation_voted(spark, sf_dir):
@@ -98,14 +98,13 @@ def valuation_voted(spark, sf_dir):
 
 
 def _factor_ic(spark, sf_dir):
-    """Scores of two factors, long, and last month's correlation of each with the return, beside the market scale."""
-    c, w = F.col("close"), Window.partitionBy("date")
-    p = market.bars(spark, sf_dir).select("date", "code", pct_change(c, 1).alias("ret"), pct_change(c, 3).alias("mom"), F.col("volume").alias("vol"))
-    p = p.withColumn("past_mom", F.lag("mom").over(Window.partitionBy("code").orderBy("date"))).withColumn("past_vol", F.lag("vol").over(Window.partitionBy("code").orderBy("date")))
-    ic = p.groupBy("date").agg(F.corr("past_mom", "ret").alias("mom"), F.corr("past_vol", "ret").alias("vol")).unpivot(["date"], ["mom", "vol"], "factor", "ic")
+    """Scores of two factors, long, and the rank IC of each as known on the date (a year back, one row ahead, 31 days of embargo), beside the market scale."""
+    c = F.col("close")
+    p = market.bars(spark, sf_dir).select("date", "code", "close", pct_change(c, 3).alias("mom"), F.col("volume").alias("vol"))
     scores = p.unpivot(["date", "code"], ["mom", "vol"], "factor", "score")
+    ic = evaluation.rolling_factor_ic(scores, p, p.select("date").distinct(), 365, 1, 31)
     z = (F.col("score") - F.avg("score").over(Window.partitionBy("date", "factor"))) / F.nullif(F.stddev_samp("score").over(Window.partitionBy("date", "factor")), F.lit(0.0))
-    return scores.withColumn("score", z), ic.join(F.broadcast(rotation.binary_scale(_index(spark, sf_dir), 12, 6, -0.01)), "date")
+    return scores.withColumn("score", z), ic.join(F.broadcast(rotation.binary_scale(_index(spark, sf_dir), 12, 6, -0.01)), "date")  # one row per date
 
 
 def ic_boosted(spark, sf_dir):
@@ -124,7 +123,11 @@ def reversed_scores(spark, sf_dir):
     g = _groups(spark, sf_dir)
     w = Window.partitionBy("industry").orderBy("date")
     s = g.withColumn("score", pct_change(F.col("close"), 20, w)).withColumn("crowded", rotation.crowding(["volume", "money", "close"]))
-    turned, instead = rotation.crowding_reversal(F.col("score"), F.col("crowded"), 1), rotation.crowding_reversal(F.col("score"), F.col("crowded"), 1, F.col("close") / 1000)
+    mean = rolling(F.avg, F.col("close"), 20, w)
+    s = s.withColumn("bias", (F.col("close") - mean) / mean)
+    by = Window.partitionBy("date")
+    z = -(F.col("bias") - F.avg("bias").over(by)) / F.nullif(F.stddev_samp("bias").over(by), F.lit(0.0))  # bias counts against a name
+    turned, instead = rotation.crowding_reversal(F.col("score"), F.col("crowded"), 1), rotation.crowding_reversal(F.col("score"), F.col("crowded"), 1, z)
     return rounded(s.select("date", "industry", turned.alias("turned"), instead.alias("instead")))
 
 
@@ -164,10 +167,14 @@ PICKED = "m as (select date, industry, close / lag(close, 20) over (partition by
 CROWD = f"c as (select *, cast({_over('volume')} + {_over('money')} + {_over('close')} as integer) as crowded from g)"
 SCALE = """sm as (select date, c, row_number() over (order by date) as pos, avg(c) over (order by date rows 11 preceding) as a, c / lag(c, 6) over (order by date) - 1 as r from idx),
     sc as (select date, case when pos < 13 then 1 when c < a or r < -0.01 then 0 else 1 end as scale from sm)"""
-FIC = f"""{B}, {INDEX}, {SCALE}, s as (select date, code, close / lag(close) over w - 1 as ret, close / lag(close, 3) over w - 1 as mom, volume as vol from bars window w as (partition by code order by date)),
-    s1 as (select *, lag(mom) over w as pm, lag(vol) over w as pv from s window w as (partition by code order by date)),
-    ic as (select date, 'mom' as factor, corr(pm, ret) as ic, 0.6 as w from s1 group by 1 union all select date, 'vol', corr(pv, ret), -0.4 from s1 group by 1),
-    i as (select date, factor, case when isnan(ic) then null else ic end as ic, cast(w as double) as w, scale from ic join sc using (date))"""
+_RANK = lambda x: f"rank() over (partition by factor, date order by {x}) + (count(*) over (partition by factor, date, {x}) - 1) / 2.0"
+FIC = f"""{B}, {INDEX}, {SCALE}, s1 as (select date, code, close / lag(close, 3) over w - 1 as mom, volume as vol, lead(close) over w / close - 1 as fwd from bars window w as (partition by code order by date)),
+    lf as (select date, code, 'mom' as factor, mom as x, fwd from s1 union all select date, code, 'vol', vol, fwd from s1),
+    rk as (select factor, date, {_RANK('x')} as a, {_RANK('fwd')} as b from lf where x is not null and fwd is not null),
+    dy as (select factor, date, case when count(*) >= 2 then nullif(round(corr(a, b), 12), 0) end as ic, count(*) as n from rk group by 1, 2),
+    kn as (select d.date, factor, case when sum(n) filter (where dy.date between d.date - 365 and d.date - 31) >= 20 and count(ic) filter (where dy.date between d.date - 365 and d.date - 31) >= 5 then avg(ic) filter (where dy.date between d.date - 365 and d.date - 31) end as ic
+    from (select distinct date from s1) d cross join dy group by 1, 2),
+    i as (select date, factor, ic, cast(case when factor = 'mom' then 0.6 else -0.4 end as double) as w, scale from kn join sc using (date))"""
 _WEIGHTED = _vote((0.5, 0.3, 0.2), 0.5)
 ORACLE = {
     "blended_momentum": f"""with {B}, m as (select date, code, 0.4 * (close / lag(close) over w - 1) + 0.6 * (close / lag(close, 6) over w - 1) as m from bars window w as (partition by code order by date))
@@ -183,10 +190,10 @@ ORACLE = {
     "absolute_scale": f"""with {B}, {INDEX}, m as (select date, c, row_number() over (order by date) as pos, avg(c) over (order by date rows 11 preceding) as a, c / lag(c, 6) over (order by date) - 1 as r from idx)
         select date, cast(case when pos < 13 then 1 when c < a or r < -0.01 then 0 else 1 end as double) as scale from m""",
     "industry_crowding": f"with {GROUPS}, {CROWD} select date, industry, crowded from c",
-    "crowding_filtered": f"with {GROUPS}, {PICKED}, {CROWD}, j as (select date, industry, rank, crowded from p join c using (date, industry)), {_kept('j', 'crowded < 1', 'crowded')} select date, industry, rank, crowded from k where case when n >= 7 then crowded < 1 else place <= 7 end",
+    "crowding_filtered": f"with {GROUPS}, {PICKED}, {CROWD}, j as (select date, industry, rank, crowded from p join c using (date, industry)), {_kept('j', 'crowded < 1', 'crowded')} select date, industry, rank, crowded from k where case when n >= 3 then crowded < 1 else place <= 3 end",
     "valuation_filtered": f"""with {GROUPS}, {PICKED}, e as (select date, industry, 1 / close as ep from g), c as (select date, industry, {_share('ep', 250, 30)} as cheap from e),
         j as (select date, industry, rank, coalesce(cheap, 0.5) as cheap from p join c using (date, industry)), {_kept('j', 'cheap >= 0.1', 'cheap desc')}
-        select date, industry, rank, round(cheap, 6) as cheap from k where case when n >= 7 then cheap >= 0.1 else place <= 7 end""",
+        select date, industry, rank, round(cheap, 6) as cheap from k where case when n >= 3 then cheap >= 0.1 else place <= 3 end""",
     "valuation_voted": f"""with {RS}, {SCALE}, x as (select date, industry, 1 / avg(close) as ep, 1 / avg(volume) as bp from bars join ind using (code) group by 1, 2),
         y as (select date, industry, coalesce({_share('ep', 24, 6)}, 0.5) as ep, coalesce({_share('bp', 24, 6)}, 0.5) as bp from x),
         z as (select r2.*, case when scale < 1 then 0.1 else 0.4 end * (ep - 0.5) + 0.2 * (bp - 0.5) as extra from r2 join y using (date, industry) join sc using (date)),
@@ -197,6 +204,8 @@ ORACLE = {
         z as (select date, code, factor, (x - avg(x) over q) / nullif(stddev_samp(x) over q, 0) as z from l window q as (partition by date, factor)),
         g as (select date, factor, coalesce(sign(w) * abs(ic), w) as weight from i where not (factor = 'vol' and scale < 1))
         select date, code, round(sum(weight * z) / nullif(sum(abs(weight)), 0), 6) as score from z join g using (date, factor) where z is not null group by 1, 2""",
-    "reversed_scores": f"""with {GROUPS}, {CROWD}, m as (select *, close / lag(close, 20) over (partition by industry order by date) - 1 as score from c)
-        select date, industry, round(case when crowded >= 1 then -score else score end, 6) as turned, round(case when crowded >= 1 then close / 1000 else score end, 6) as instead from m""",
+    "reversed_scores": f"""with {GROUPS}, {CROWD}, m as (select *, close / lag(close, 20) over w - 1 as score, case when count(close) over w20 = 20 then close / avg(close) over w20 - 1 end as bias from c
+        window w as (partition by industry order by date), w20 as (partition by industry order by date rows 19 preceding)),
+        z as (select *, -(bias - avg(bias) over (partition by date)) / nullif(stddev_samp(bias) over (partition by date), 0) as z from m)
+        select date, industry, round(case when crowded >= 1 then -score else score end, 6) as turned, round(case when crowded >= 1 then z else score end, 6) as instead from z""",
 }

@@ -200,6 +200,17 @@ def group_discrimination(spark, sf_dir):
     return rounded(experts.group_discrimination(experts.expert_correlations(p), groups))
 
 
+def expert_groups(spark, sf_dir):
+    """Eight experts, two to a model type; the holdout IC is that of the dates from 6 on."""
+    ic = experts.expert_ic(_predictions(spark, sf_dir))
+    one = experts.expert_summary(ic).join(ic.where("date >= 6").groupBy("expert").agg(F.avg("ic").alias("holdout")), "expert")
+    e = F.col("expert")
+    pick = lambda values, k: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    name = F.concat_ws("_", pick(["rf", "et", "lgb", "xgb"], e), pick(["conservative", "moderate"], F.floor(e / 4)), pick(["momentum", "fundamental"], e), F.concat(F.lit("w"), pick([252, 504], F.floor(e / 3)).cast("string")))
+    s = one.select(*codes.expert_parts(name), F.col("mean").alias("ic"), "ir", "positive", "holdout")
+    return rounded(experts.group_stats(s, ["model_type", "hyper_set", "feature_set", "train_window"]))
+
+
 def excess_labels(spark, sf_dir):
     b = market.bars(spark, sf_dir).select("date", "code", "close", "money", "volume")
     return rounded(experts.excess_label(b, b.groupBy("date").agg((F.sum("money") / F.sum("volume")).alias("close")), 3))
@@ -214,7 +225,7 @@ QUERIES = {
     for f in (
         ic_tables, factor_summaries, factor_correlations, mad_filtered, orthogonal_scores, train_scaled, weight_schemes, strength_weights,
         industry_caps, limited_turnover, smoothed_weights, holdings_checks, rebalance_costs, trade_sides, cost_benefit, plain_decisions, lot_trades, ledger_checks, trade_summaries, weekday_rebalances,
-        expert_ics, expert_summaries, ensembles, ensemble_ic, expert_pairs, expert_votes, group_discrimination, excess_labels, holdout_rows,
+        expert_ics, expert_summaries, ensembles, ensemble_ic, expert_pairs, expert_votes, group_discrimination, expert_groups, excess_labels, holdout_rows,
     )
 }
 
@@ -306,6 +317,13 @@ ORACLE = {
         select g.a, g.b, round(corr, 6) as corr, round(j, 6) as jaccard from g join j on g.a = j.a and g.b = j.b""",
     "expert_votes": f"""with {_P}, {_TOP}, n as (select date, count(distinct expert) as n from p group by 1) select q.date, code, count(*) as votes, round(count(*) / any_value(n), 6) as share, round(avg(rk), 6) as mean_rank from q join n on n.date = q.date group by 1, 2""",
     "group_discrimination": f"with {_P}, {_PAIR} select round(avg(case when a % 2 = b % 2 then corr end), 6) as within, round(avg(case when a % 2 <> b % 2 then corr end), 6) as between from g",
+    "expert_groups": f"""with {_P}, s as (select expert, avg(ic) as ic, avg(ic) / nullif(stddev_samp(ic), 0) as ir, avg(case when ic > 0 then 1.0 else 0.0 end) as positive, avg(ic) filter (where date >= 6) as holdout from i where ic is not null group by 1),
+        n as (select *, ['rf', 'et', 'lgb', 'xgb'][expert % 4 + 1] as model_type, ['conservative', 'moderate'][(expert // 4) % 2 + 1] as hyper_set, ['momentum', 'fundamental'][expert % 2 + 1] as feature_set, ['252', '504'][(expert // 3) % 2 + 1] as train_window from s),
+        g as (select case when grouping(model_type) = 0 then 'model_type' when grouping(hyper_set) = 0 then 'hyper_set' when grouping(feature_set) = 0 then 'feature_set' else 'train_window' end as dimension,
+        coalesce(model_type, hyper_set, feature_set, train_window) as "group", count(*) as n_experts, avg(ic) as m, coalesce(stddev_samp(ic), 0) as sd, avg(ir) as ir, avg(positive) as p, avg(holdout) as h from n
+        group by grouping sets ((model_type), (hyper_set), (feature_set), (train_window)))
+        select dimension, "group", n_experts, round(m, 6) as ic_mean, round(sd, 6) as ic_std, round(ir, 6) as ir_mean, round(p, 6) as positive_mean, round(h, 6) as holdout_mean,
+        cast(row_number() over (partition by dimension order by m desc, "group") as integer) as rank from g""",
     "excess_labels": f"""with {BARS}, m as (select date, sum(money) / sum(volume) as c from bars group by 1), n as (select date, lead(c, 3) over (order by date) / c - 1 as m from m), s as (select date, code, lead(close, 3) over {W} / close - 1 as s from bars)
         select s.date, code, round(s - m, 6) as label from s join n on n.date = s.date""",
     "holdout_rows": f"""with {BARS}, d as (select date, row_number() over (order by date) > count(*) over () * 0.8 as late from (select distinct date from bars))

@@ -42,10 +42,10 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date, code (supplier, month), pe_ratio, pb_ratio, ps_ratio, market_cap, dividend_ratio, turnover_ratio."""
-    rows, p = table(spark, sf_dir, "lineitem"), F.col("l_extendedprice")
-    return rows.groupBy(F.date_trunc("month", "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").cast("string").alias("code")).agg(
+def valuation(spark: SparkSession, sf_dir: str, unit: str = "month", by: str = "supplier") -> DataFrame:
+    """date, code, pe_ratio, pb_ratio, ps_ratio, market_cap, dividend_ratio, turnover_ratio by supplier or brand and period."""
+    rows, p = _code(spark, sf_dir, table(spark, sf_dir, "lineitem"), by), F.col("l_extendedprice")
+    return rows.groupBy(F.date_trunc(unit, "l_shipdate").cast("date").alias("date"), "code").agg(
         (F.sum(p) / F.nullif(F.sum(p * F.col("l_discount")), F.lit(0.0))).alias("pe_ratio"), (F.avg(p) / 1000).alias("pb_ratio"),
         (F.sum(p) / F.nullif(F.sum(p * F.col("l_tax")), F.lit(0.0))).alias("ps_ratio"), F.sum(p).alias("market_cap"),
         F.avg("l_discount").alias("dividend_ratio"), F.avg("l_tax").alias("turnover_ratio"),

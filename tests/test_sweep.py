@@ -3,7 +3,6 @@ import random
 
 from pyspark.sql import functions as F
 
-from quantloom import queries_sweep
 from quantloom.operators import resample, sweep
 
 
@@ -78,12 +77,3 @@ def test_sweep_signals_against_a_loop(spark):
             if len(past) == r.window and prices[i - 1] > sum(past) / r.window * (1 + r.margin):
                 nav *= prices[i] / prices[i - 1]
         assert abs(r.total_return - (nav - 1)) < 1e-9
-
-
-def test_trees_learn_a_step(spark):
-    rows = [(float(i % 20), float(i % 7), 1.0 if i % 20 >= 10 else -1.0) for i in range(400)]
-    df = spark.createDataFrame(rows, "x double, y double, fwd double")
-    for kind in ("forest", "boosted"):
-        got = sweep.predict(sweep.fit_expert(df, ["x", "y"], "fwd", kind, maxDepth=3), df, ["x", "y"])
-        assert got.where("signum(pred) = fwd").count() == 400
-    assert queries_sweep.tree_experts(spark, "/root/testdata/sf0.001").where("forest is null or boosted is null").count() == 0
