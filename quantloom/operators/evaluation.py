@@ -155,10 +155,10 @@ def icir_weights(table: DataFrame, window: int = 60, decay: float = 0.65, least:
 
 
 def top_factors(table: DataFrame, until: str | None = None, n: int = 15) -> DataFrame:
-    """The n factors of largest absolute mean IC of the dates up to `until`; a factor without an IC counts as 0, ties go by name."""
+    """The n factors of largest absolute mean IC of the dates up to `until`; a factor without an IC counts as 0, ties (to 12 digits) go by name."""
     ic = F.col("ic") if until is None else F.when(F.col("date") <= F.lit(until).cast("date"), F.col("ic"))
     means = table.groupBy("factor").agg(F.coalesce(F.avg(ic), F.lit(0.0)).alias("mean_ic"))
-    return means.orderBy(F.desc(F.abs("mean_ic")), "factor").limit(n)
+    return means.orderBy(F.desc(F.round(F.abs("mean_ic"), 12)), "factor").limit(n)
 
 
 def factor_tests(panel: DataFrame, factors: list[str], horizon: int = 20, g: int = 5, horizons: tuple = (5, 10, 20, 40, 60), price: str = "close", decay: float = 1.0) -> DataFrame:

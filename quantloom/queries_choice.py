@@ -96,7 +96,7 @@ ORACLE = {
     "icir_weights": f"""with {_PANEL}, {_ic(1)}, h as (select date, factor, coalesce(list(ic) filter (where ic is not null) over (partition by factor order by date rows between 60 preceding and 1 preceding), []) as h from t1),
         m as (select *, {_FADE('v')} as m from h), s as (select *, sqrt({_FADE('(v - m) * (v - m)')}) as sd from m), x as (select date, factor, case when len(h) >= 5 and sd > 1e-8 then greatest(m / sd, 0) else 0 end as x from s)
         select date, factor, round(coalesce(x / nullif(sum(x) over (partition by date), 0), 0), 6) as weight from x""",
-    "top_factors": f"with {_PANEL}, {_ic(1)} select factor, round(coalesce(avg(ic) filter (where date <= date '1998-06-30'), 0), 6) as mean_ic from t1 group by 1 order by abs(coalesce(avg(ic) filter (where date <= date '1998-06-30'), 0)) desc, factor limit 4",
+    "top_factors": f"with {_PANEL}, {_ic(1)} select factor, round(coalesce(avg(ic) filter (where date <= date '1998-06-30'), 0), 6) as mean_ic from t1 group by 1 order by round(abs(coalesce(avg(ic) filter (where date <= date '1998-06-30'), 0)), 12) desc, factor limit 4",
     "factor_tests": f"with {_TEST} {_ROW}",
     "factor_report": f"""with {_TEST}, r as ({_ROW}), v as ({' union all '.join(f"select factor, '{c}' as item, cast({c} as double) as value from r" for c in _ITEMS)})
         select factor, case when item in ('q1', 'q2', 'q3', 'q4', 'q5', 'long_short') then 'quantiles' when item in ({', '.join(f"'ic_{i}'" for i in HORIZONS)}) then 'decay' else 'ic' end as section, item, value from v""",

@@ -28,7 +28,7 @@ GROUPS = {
 
 def _group(name):
     def query(spark, sf_dir):
-        return rounded(factors.compute_factors(_weekly(spark, sf_dir), GROUPS[name]), 4)
+        return rounded(factors.compute_factors(_weekly(spark, sf_dir), GROUPS[name]), 8)
 
     query.__name__ = name
     return query
@@ -154,7 +154,7 @@ _ALL = f"""{bars_sql('week', 'brand').replace('bars as', 'b0 as')}, bars as (sel
     {VALUATION.replace("cast(l_suppkey as varchar)", "p_brand").replace("'month'", "'week'").replace("from lineitem", "from lineitem join part on l_partkey = p_partkey")},
     pf as (select date, code, {_cols(SQL)} from e), f2 as (select * from f join fd using (date)), ff as (select date, code, {_cols(_FLOW)} from f2), vf as (select date, code, {_cols(_VALUE)} from v),
     al as (select * from pf left join ff using (date, code) left join vf using (date, code))"""
-ORACLE = {n: f"with {bars_sql('week', 'brand')}, {steps()} select date, code, {select(names, 4)} from e" for n, names in GROUPS.items()} | {
+ORACLE = {n: f"with {bars_sql('week', 'brand')}, {steps()} select date, code, {select(names, 8)} from e" for n, names in GROUPS.items()} | {
     "calendar_factors": f"with {bars_sql('week')}{GRID}, {steps('g')} select date, code, {select(['mom_1m', 'rsi_14', 'ma_5_20_cross', 'vol_20d', 'obv_slope'], 4)} from e",
     "factor_params": f"""with {bars_sql('week', 'brand')}, r as (select date, code, {_pct('close', 4)} as a, {_pct('close', 13)} as b, (close - {roll('avg', 'close', 8)}) / ({roll('avg', 'close', 8)} + 1e-8) as c from bars)
         select date, code, round(a, 6) as mom_1m, round(b, 6) as mom_3m, round(c, 6) as bias_20, round(a - b, 6) as mom_gap from r""",

@@ -130,7 +130,7 @@ def plain_decisions(spark, sf_dir):
 
 
 def lot_trades(spark, sf_dir):
-    b = _book(spark, sf_dir).join(market.bars(spark, sf_dir).select("date", "code", F.col("close").alias("price")), ["date", "code"])
+    b = _book(spark, sf_dir).join(market.bars(spark, sf_dir).select("date", "code", (F.floor(F.col("close") * 10000) / 10000).alias("price")), ["date", "code"])
     account = F.concat_ws("/", F.col("portfolio").cast("string"), F.col("date").cast("string")).alias("account")
     rows = b.select(account, "code", F.when(F.length("code") == 2, 300).alias("prev_shares"), "weight", "price", F.lit(1e7).alias("cash"))
     return rounded(trading.trade_list(rows), 2)
@@ -295,7 +295,7 @@ ORACLE = {
         select portfolio, date, code, action, round(benefit, 6) as benefit, round(unit_cost, 6) as unit_cost, round(x / nullif(sum(x) over (partition by portfolio, date), 0), 6) as weight from b""",
     "plain_decisions": f"""with {_CHG} select 'simple' as rule, portfolio, date, code, case when old > 0 and new = 0 then 'sell' when old = 0 and new > 0 then 'buy' else 'hold' end as action, round(new, 6) as weight from ch
         union all select 'none', portfolio, date, code, 'hold', round(old, 6) from ch""",
-    "lot_trades": f"""with {BOOK}, x as (select portfolio || '/' || cast(w.date as varchar) as account, w.code, case when length(w.code) = 2 then 300 else 0 end as prev, weight, b.close as price from w join bars b on b.date = w.date and b.code = w.code),
+    "lot_trades": f"""with {BOOK}, x as (select portfolio || '/' || cast(w.date as varchar) as account, w.code, case when length(w.code) = 2 then 300 else 0 end as prev, weight, floor(b.close * 10000) / 10000 as price from w join bars b on b.date = w.date and b.code = w.code),
         v as (select *, sum(prev * price) over (partition by account) + 1e7 as value from x), t as (select *, cast(floor(value * weight / price / 100) * 100 as bigint) - prev as d from v)
         select account, code, case when d > 0 then 'buy' else 'sell' end as side, abs(d) as qty, round(abs(d) * price, 2) as amount, cast(round(cast(abs(d) * price * 0.001 as decimal(18, 6)), 2) as double) as fee from t where d <> 0""",
     "ledger_checks": f"""with {_LEDGER} select account, count(*) as n, count(case when qty % 10 <> 0 then 1 end) as bad_lot, count(case when abs(fee - 0.001 * amount) > 0.01 then 1 end) as bad_fee,
