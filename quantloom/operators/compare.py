@@ -83,6 +83,38 @@ def contribution(weights: DataFrame, returns: DataFrame) -> DataFrame:
     return rows.unionByName(total).groupBy("portfolio", "code").agg(F.sum(x).alias("total"), F.avg(x).alias("mean"), F.max(x).alias("best"), F.min(x).alias("worst"), F.stddev_pop(x).alias("std"))
 
 
+def period_contribution(weights: DataFrame, returns: DataFrame, unit: str = "quarter") -> DataFrame:
+    """portfolio, period (its first day), code (TOTAL for the whole), total, mean and n of weight times return in each month or quarter."""
+    period = F.date_trunc(unit, "date").cast("date").alias("period")
+    rows = weights.join(returns, ["date", "code"]).select("portfolio", "date", period, "code", (F.col("weight") * F.col("ret")).alias("c"))
+    total = rows.groupBy("portfolio", "date", "period").agg(F.sum("c").alias("c")).withColumn("code", F.lit("TOTAL"))
+    return rows.unionByName(total).groupBy("portfolio", "period", "code").agg(F.sum("c").alias("total"), F.avg("c").alias("mean"), F.count("c").alias("n"))
+
+
+def factor_contribution(exposures: DataFrame, returns: DataFrame) -> DataFrame:
+    """factor (TOTAL for the whole), total, mean, best, worst, std (ddof 0), exposure from exposures (date, factor, exposure) and returns (date, factor, ret).
+
+    A factor without a return on a date contributes 0. The whole is the sum of a date's contributions and has no exposure.
+    """
+    rows = exposures.join(returns, ["date", "factor"], "left").select("date", "factor", "exposure", (F.col("exposure") * F.coalesce("ret", F.lit(0.0))).alias("c"))
+    whole = rows.groupBy("date").agg(F.sum("c").alias("c")).withColumn("factor", F.lit("TOTAL"))
+    x = F.col("c")
+    made = rows.unionByName(whole, allowMissingColumns=True).groupBy("factor")
+    return made.agg(F.sum(x).alias("total"), F.avg(x).alias("mean"), F.max(x).alias("best"), F.min(x).alias("worst"), F.stddev_pop(x).alias("std"), F.avg("exposure").alias("exposure"))
+
+
+#: Figures by which two runs are compared.
+RUN_FIGURES = ("total_return", "annual_return", "sharpe", "max_drawdown")
+
+
+def run_diff(first: DataFrame, second: DataFrame, figures: tuple = RUN_FIGURES) -> DataFrame:
+    """strategy, metric, a, b, delta of the strategies' metrics in two runs; a strategy or figure that a run lacks counts as 0."""
+    long = lambda m, name: m.select("strategy", *figures).unpivot(["strategy"], list(figures), "metric", name)
+    both = long(first, "a").join(long(second, "b"), ["strategy", "metric"], "full")
+    both = both.select("strategy", "metric", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
+    return both.withColumn("delta", F.col("a") - F.col("b"))
+
+
 def rolling_correlation(returns: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     """strategy, date, corr of the n rows before; null until there are n."""
     f = Window.partitionBy("strategy").orderBy("date").rowsBetween(-n, -1)

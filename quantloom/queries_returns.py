@@ -99,6 +99,26 @@ def position_contribution(spark, sf_dir):
     return rounded(compare.contribution(_book(spark, sf_dir), r))
 
 
+def quarter_contribution(spark, sf_dir):
+    r = market.bars(spark, sf_dir).select("date", "code", (fwd_return(F.col("close"), 1) / 100).alias("ret")).where("ret is not null")
+    return rounded(compare.period_contribution(_book(spark, sf_dir), r))
+
+
+def factor_contributions(spark, sf_dir):
+    """Exposure: the mean of a column over a month's codes; return: the month's change of the other column, unknown in January."""
+    w = Window.partitionBy("factor").orderBy("date")
+    e = market.bars(spark, sf_dir).groupBy("date").agg((F.avg("close") / 1000).alias("price"), (F.avg("volume") / 100).alias("size")).unpivot(["date"], ["price", "size"], "factor", "exposure")
+    r = e.select("date", "factor", (F.col("exposure") / F.lag("exposure").over(w) - 1).alias("ret")).where("ret is not null and month(date) > 1")
+    return rounded(compare.factor_contribution(e, r))
+
+
+def run_differences(spark, sf_dir):
+    """The run with all days against one without the first five, and without a strategy."""
+    r = _returns(spark, sf_dir)
+    later = r.withColumn("_i", F.row_number().over(Window.partitionBy("strategy").orderBy("date"))).where("_i > 5 and strategy <> 'click'").drop("_i")
+    return rounded(compare.run_diff(performance.metrics(r), performance.metrics(later)))
+
+
 def rolling_correlations(spark, sf_dir):
     return rounded(compare.rolling_correlation(_returns(spark, sf_dir), market.benchmark_returns(spark, sf_dir), 10))
 
@@ -141,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_row, lookback_prices, common_days, weight_changes, training_windows, trade_days, book_returns, lagged_book_returns, sharpe_methods, benchmark_relative,
-        weekly_win_rate, period_nav, return_histogram, drawdown_spans, position_contribution, rolling_correlations, least_correlated_pairs, pair_allocations, t_statistics,
+        weekly_win_rate, period_nav, return_histogram, drawdown_spans, position_contribution, quarter_contribution, factor_contributions, run_differences, rolling_correlations, least_correlated_pairs, pair_allocations, t_statistics,
         bootstrap_sharpe, deflated_sharpes, walk_forward, strategy_ensemble,
     )
 }
@@ -194,6 +214,18 @@ ORACLE = {
     "position_contribution": f"""with {BOOK}, r as (select date, code, (lead(close) over (partition by code order by date) / close - 1) / 100 as ret from bars), c as (select portfolio, w.date, w.code, weight * ret as c from w join r on r.date = w.date and r.code = w.code where ret is not null),
         u as (select portfolio, date, code, c from c union all select portfolio, date, 'TOTAL', sum(c) from c group by 1, 2)
         select portfolio, code, round(sum(c), 6) as total, round(avg(c), 6) as mean, round(max(c), 6) as best, round(min(c), 6) as worst, round(stddev_pop(c), 6) as std from u group by 1, 2""",
+    "quarter_contribution": f"""with {BOOK}, r as (select date, code, (lead(close) over (partition by code order by date) / close - 1) / 100 as ret from bars), c as (select portfolio, w.date, w.code, weight * ret as c from w join r on r.date = w.date and r.code = w.code where ret is not null),
+        u as (select portfolio, date, code, c from c union all select portfolio, date, 'TOTAL', sum(c) from c group by 1, 2)
+        select portfolio, cast(date_trunc('quarter', date) as date) as period, code, round(sum(c), 6) as total, round(avg(c), 6) as mean, count(*) as n from u group by 1, 2, 3""",
+    "factor_contributions": f"""with {BARS}, e as (select date, 'price' as factor, avg(close) / 1000 as x from bars group by 1 union all select date, 'size', avg(volume) / 100 from bars group by 1),
+        r as (select date, factor, x, x / lag(x) over (partition by factor order by date) - 1 as ret from e), c as (select date, factor, x, x * case when month(date) > 1 then coalesce(ret, 0) else 0 end as c from r),
+        u as (select * from c union all select date, 'TOTAL', null, sum(c) from c group by 1)
+        select factor, round(sum(c), 6) as total, round(avg(c), 6) as mean, round(max(c), 6) as best, round(min(c), 6) as worst, round(stddev_pop(c), 6) as std, round(avg(x), 6) as exposure from u group by 1""",
+    "run_differences": f"""with {RET}, i as (select *, row_number() over (partition by strategy order by date) as i from ret), s as (select 'a' as run, strategy, date, ret from ret union all select 'b', strategy, date, ret from i where i > 5 and strategy <> 'click'),
+        n as (select *, product(1 + ret) over (partition by run, strategy order by date rows unbounded preceding) as nav from s), d as (select *, nav / max(nav) over (partition by run, strategy order by date rows unbounded preceding) - 1 as dd from n),
+        m as (select run, strategy, product(1 + ret) - 1 as total_return, pow(product(1 + ret), 242.0 / count(*)) - 1 as annual_return, (pow(product(1 + ret), 242.0 / count(*)) - 1 - 0.02) / nullif(stddev_samp(ret) * sqrt(242), 0) as sharpe, min(dd) as max_drawdown from d group by 1, 2),
+        l as (unpivot m on total_return, annual_return, sharpe, max_drawdown into name metric value v), p as (select strategy, metric, coalesce(max(v) filter (where run = 'a'), 0) as a, coalesce(max(v) filter (where run = 'b'), 0) as b from l group by 1, 2)
+        select strategy, metric, round(a, 6) as a, round(b, 6) as b, round(a - b, 6) as delta from p""",
     "rolling_correlations": f"with {BOTH} select strategy, date, round(case when count(ret) over w = 10 then corr(ret, bench) over w end, 6) as corr from x window w as (partition by strategy order by date rows between 10 preceding and 1 preceding)",
     "least_correlated_pairs": f"""with {RET}, p as (select a.strategy as a, b.strategy as b, corr(a.ret, b.ret) as c, count(*) as n from ret a join ret b on a.date = b.date and a.strategy < b.strategy group by 1, 2)
         select a, b, round(c, 6) as corr, n from p order by abs(c), a, b limit 3""",
