@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import correlation, ratio
 from quantloom.operators.joins import held_from
-from quantloom.operators.performance import RISK_FREE, YEAR
+from quantloom.operators.performance import RISK_FREE, YEAR, full_metrics
 
 
 def portfolio_returns(weights: DataFrame, returns: DataFrame, lag: int = 0) -> DataFrame:
@@ -131,7 +131,7 @@ def least_correlated(pairs: DataFrame, n: int) -> DataFrame:
 
 def weighted(returns: DataFrame, weights: DataFrame) -> DataFrame:
     """date, ret: the strategies of a date combined by weight over the sum of weights."""
-    return returns.join(F.broadcast(weights), "strategy").groupBy("date").agg(ratio(F.sum(F.col("w") * F.col("ret")), F.sum("w")).alias("ret"))
+    return returns.join(weights, "strategy").groupBy("date").agg(ratio(F.sum(F.col("w") * F.col("ret")), F.sum("w")).alias("ret"))
 
 
 def pair_allocation(returns: DataFrame, target: float) -> DataFrame:
@@ -160,6 +160,29 @@ def stability(windows: DataFrame) -> DataFrame:
     return a.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.stddev_samp("sharpe").alias("std_sharpe"), F.avg((F.col("total") > 0).cast("double")).alias("positive"))
 
 
+def window_report(windows: DataFrame) -> DataFrame:
+    """strategy, windows, mean and deviation of Sharpe ratio and annual return, positive, consistency, from `full_metrics` by (strategy, window).
+
+    A window is positive if its Sharpe ratio is; consistency is their share; a single window deviates by 0.
+    """
+    up = (F.col("sharpe") > 0).cast("int")
+    spread = lambda x: F.coalesce(F.stddev_samp(x), F.lit(0.0))
+    return windows.groupBy("strategy").agg(
+        F.count("*").alias("windows"), F.avg("sharpe").alias("mean_sharpe"), spread("sharpe").alias("std_sharpe"), F.avg("annual_return").alias("mean_annual"),
+        spread("annual_return").alias("std_annual"), F.sum(up).alias("positive"), F.avg(up).alias("consistency"),
+    )
+
+
+def ensemble_members(returns: DataFrame, weighting: str = "sharpe", benchmark: DataFrame | None = None) -> DataFrame:
+    """strategy, w, sharpe, n: `equal`, or by the positive part of the `sharpe` or (with a benchmark, else as sharpe) `information_ratio` of all its days."""
+    m = full_metrics(returns, benchmark=benchmark)
+    if weighting == "equal":
+        w = m.select("strategy", (1 / F.count("*").over(Window.partitionBy(F.lit(1)))).alias("w"))  # one row a strategy
+    else:
+        w = ensemble_weights(m, weighting if benchmark is not None else "sharpe")
+    return m.select("strategy", "sharpe", "n").join(w, "strategy").select("strategy", "w", "sharpe", "n")
+
+
 def ensemble_weights(scores: DataFrame, x: str) -> DataFrame:
     """strategy, w: max(score, 0) over their sum, equal where none is positive; one row a strategy."""
     every = Window.partitionBy(F.lit(1))

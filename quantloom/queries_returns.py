@@ -157,18 +157,67 @@ def strategy_ensemble(spark, sf_dir):
     return rounded(performance.nav(compare.weighted(joins.common_dates(r, "strategy"), w).withColumn("strategy", F.lit("ensemble"))))
 
 
+def window_figures(spark, sf_dir):
+    """All figures of every overlapping window of ten days, against the benchmark."""
+    windows = compare.split_windows(_returns(spark, sf_dir), 10, 5, 6)
+    return rounded(performance.full_metrics(windows, ("strategy", "window"), market.benchmark_returns(spark, sf_dir)), 5)
+
+
+def window_reports(spark, sf_dir):
+    return rounded(compare.window_report(performance.full_metrics(compare.split_windows(_returns(spark, sf_dir), 10, 5, 6), ("strategy", "window"))))
+
+
+def ensemble_constituents(spark, sf_dir):
+    """Each weighting's constituents."""
+    r, b = _returns(spark, sf_dir), market.benchmark_returns(spark, sf_dir)
+    kinds = [compare.ensemble_members(r, k, b).withColumn("weighting", F.lit(k)) for k in ("equal", "sharpe", "information_ratio")]
+    return rounded(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]))
+
+
+def ensemble_figures(spark, sf_dir):
+    """All figures of the ensemble weighted by information ratio."""
+    r, b = _returns(spark, sf_dir), market.benchmark_returns(spark, sf_dir)
+    e = compare.weighted(joins.common_dates(r, "strategy"), compare.ensemble_members(r, "information_ratio", b))
+    return rounded(performance.full_metrics(e.withColumn("strategy", F.lit("ensemble")), benchmark=b), 5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_row, lookback_prices, common_days, weight_changes, training_windows, trade_days, book_returns, lagged_book_returns, sharpe_methods, benchmark_relative,
+        window_figures, window_reports, ensemble_constituents, ensemble_figures, latest_row, lookback_prices, common_days, weight_changes, training_windows, trade_days, book_returns, lagged_book_returns, sharpe_methods, benchmark_relative,
         weekly_win_rate, period_nav, return_histogram, drawdown_spans, position_contribution, quarter_contribution, factor_contributions, run_differences, rolling_correlations, least_correlated_pairs, pair_allocations, t_statistics,
         bootstrap_sharpe, deflated_sharpes, walk_forward, strategy_ensemble,
     )
 }
 
 BARS = bars_sql()
+
+
+def _figures(rows: str, keys: str) -> str:
+    """f: all figures of rows (keys, date, ret, bench)."""
+    w = f"over (partition by {keys} order by date rows unbounded preceding)"
+    return f"""f1 as (select *, ret - bench as e, row_number() over (partition by {keys} order by date) as i, product(1 + ret) {w} as nav, quantile_cont(ret, 0.05) over (partition by {keys}) as v, avg(ret) over (partition by {keys}) as mu from {rows}),
+        f2 as (select *, max(nav) {w} as top, case when nav > coalesce(max(nav) over (partition by {keys} order by date rows between unbounded preceding and 1 preceding), -1) then i end as high from f1),
+        f3 as (select *, nav / top - 1 as dd, max(high) {w} as peak from f2),
+        f4 as (select {keys}, min(date) as first_day, max(date) as last_day, count(*) as n, product(1 + ret) as final_nav, stddev_samp(ret) * sqrt(242) as vol, stddev_samp(case when ret < 0 then ret end) * sqrt(242) as down,
+        min(dd) as mdd, arg_min(i - peak, dd) as duration, min(v) as v, avg(case when ret <= v then ret end) as cv, avg(pow(ret - mu, 3)) / pow(avg(pow(ret - mu, 2)), 1.5) as sk, avg(pow(ret - mu, 4)) / pow(avg(pow(ret - mu, 2)), 2) - 3 as ku,
+        avg(case when ret > 0 then 1.0 else 0.0 end) as wr, coalesce(avg(case when ret > 0 then ret end), 0) as aw, coalesce(avg(case when ret < 0 then ret end), 0) as al,
+        sum(case when ret > 0 then ret else 0 end) as gain, -sum(case when ret < 0 then ret else 0 end) as loss, pow(product(1 + ret), 242.0 / count(*)) - 1 as ann,
+        stddev_samp(e) * sqrt(242) as te, pow(product(1 + e), 242.0 / count(e)) - 1 as ea, avg(e) as em from f3 group by all),
+        f as (select *, coalesce((ann - 0.02) / nullif(vol, 0), 0) as sharpe, coalesce(ea / nullif(te, 0), 0) as ir from f4)"""
+
+
+def _all_figures(keys: str) -> str:
+    return f"""select {keys}, first_day, last_day, n, round(final_nav, 5) as final_nav, round(vol, 5) as volatility, round(v, 5) as var_95, round(cv, 5) as cvar_95, round(sk, 5) as skewness, round(ku, 5) as kurtosis, round(wr, 5) as win_rate,
+        round(aw, 5) as avg_win, round(al, 5) as avg_loss, round(case when loss > 0 then gain / loss when gain > 0 then 'inf'::double else 0 end, 5) as profit_factor, round(final_nav - 1, 5) as total_return, round(ann, 5) as annual_return,
+        round(mdd, 5) as max_drawdown, cast(duration as integer) as duration, round(sharpe, 5) as sharpe, round(coalesce((ann - 0.02) / nullif(down, 0), 0), 5) as sortino, round(coalesce(ann / nullif(abs(mdd), 0), 0), 5) as calmar, round(te, 5) as tracking_error,
+        round(ir, 5) as information_ratio, round(coalesce(em * 242 / nullif(te, 0), 0), 5) as daily_ratio from f"""
+
+
 RET = "ret as (select event_type as strategy, cast(ts as date) as date, (avg(value) - 49.6) / 1000 as ret from events group by 1, 2)"
 BENCH = "bench as (select cast(ts as date) as date, (avg(value) - 49.6) / 1000 as bench from events group by 1)"
+_WINDOWS = f"""{RET}, {BENCH}, wi as (select *, row_number() over (partition by strategy order by date) - 1 as i0, count(*) over (partition by strategy) as n0 from ret), wg as (select range as "window" from range(0, 100)),
+        wd as (select wi.strategy, "window", wi.date, ret, bench from wi join wg on i0 >= "window" * 5 and i0 < "window" * 5 + 10 left join bench on bench.date = wi.date where least(10, n0 - "window" * 5) >= 6)"""
 BOTH = f"{RET}, {BENCH}, x as (select strategy, date, ret, bench, ret - bench as e from ret join bench using (date))"
 IND = "ind as (select cast(s_suppkey as varchar) as code, n_name as industry, n_regionkey as portfolio from supplier join nation on s_nationkey = n_nationkey)"
 BOOK = f"{BARS}, {IND}, w as (select portfolio, date, code, industry, money / sum(money) over (partition by portfolio, date) as weight from bars join ind using (code))"
@@ -240,6 +289,16 @@ ORACLE = {
     "bootstrap_sharpe": f"""with {RET}, {_DRAWN.format(n=1000)} select strategy, round(quantile_cont(s, 0.025), 6) as low, round(quantile_cont(s, 0.975), 6) as high from b group by 1""",
     "deflated_sharpes": f"""with {RET}, {_DRAWN.format(n=100000)}, g as (select strategy, sample // 100 as g, max(s) as best from b group by 1, 2), o as (select strategy, avg(ret) / stddev_samp(ret) * sqrt(242) as sharpe from ret group by 1)
         select strategy, round(sharpe, 6) as sharpe, round(avg(case when best >= sharpe then 1.0 else 0.0 end), 6) as dsr from g join o using (strategy) group by 1, sharpe""",
+    "window_figures": f"""with {_WINDOWS}, {_figures('wd', 'strategy, "window"')} {_all_figures('strategy, "window"')}""",
+    "window_reports": f"""with {_WINDOWS}, {_figures('wd', 'strategy, "window"')} select strategy, count(*) as windows, round(avg(sharpe), 6) as mean_sharpe, round(coalesce(stddev_samp(sharpe), 0), 6) as std_sharpe, round(avg(ann), 6) as mean_annual,
+        round(coalesce(stddev_samp(ann), 0), 6) as std_annual, count(*) filter (where sharpe > 0) as positive, round(count(*) filter (where sharpe > 0) / count(*), 6) as consistency from f group by 1""",
+    "ensemble_constituents": f"""with {BOTH}, {_figures('x', 'strategy')}, u as (select 'equal' as weighting, strategy, 1.0 as u, sharpe, n from f union all select 'sharpe', strategy, greatest(sharpe, 0), sharpe, n from f
+        union all select 'information_ratio', strategy, greatest(ir, 0), sharpe, n from f)
+        select weighting, strategy, round(coalesce(u / nullif(sum(u) over (partition by weighting), 0), 1.0 / count(*) over (partition by weighting)), 6) as w, round(sharpe, 6) as sharpe, n from u""",
+    "ensemble_figures": f"""with {BOTH}, {_figures('x', 'strategy')}, g as (select strategy, coalesce(greatest(ir, 0) / nullif(sum(greatest(ir, 0)) over (), 0), 1.0 / count(*) over ()) as w from f),
+        k as (select date from ret group by date having count(distinct strategy) = (select count(distinct strategy) from ret)),
+        e0 as (select 'ensemble' as strategy, date, sum(w * ret) / nullif(sum(w), 0) as ret from ret join g using (strategy) where date in (select date from k) group by date), e1 as (select strategy, date, ret, bench from e0 join bench using (date)),
+        {_figures('e1', 'strategy').replace('f1', 'h1').replace('f2', 'h2').replace('f3', 'h3').replace('f4', 'h4').replace('f as (', 'h as (')} {_all_figures('strategy').replace('from f', 'from h')}""",
     "walk_forward": f"""with {RET}, i as (select *, row_number() over (partition by strategy order by date) - 1 as i, count(*) over (partition by strategy) as n from ret), g as (select range as k from range(0, 100)),
         a as (select strategy, k, product(1 + ret) - 1 as total, {_SH} as s from i join g on i >= k * 5 and i < k * 5 + 10 where least(10, n - k * 5) >= 6 group by 1, 2)
         select strategy, count(*) as n, round(avg(s), 6) as mean_sharpe, round(stddev_samp(s), 6) as std_sharpe, round(avg(case when total > 0 then 1.0 else 0.0 end), 6) as positive from a group by 1""",
