@@ -18,19 +18,21 @@ def _sum(values: Column, of=lambda x: x) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x))
 
 
-def capped(w: Column, cap: float, rounds: int = 10, mode: str = "selector") -> Column:
-    """An array of weights with each at most `cap`: what is over goes to the others pro rata, for `rounds` rounds.
+def capped(w: Column, cap: float | Column, rounds: int = 10, mode: str = "selector") -> Column:
+    """An array of weights with each at most `cap` (a number or a column): what is over goes to the others pro rata, for `rounds` rounds.
 
     At the end the modes `optimizer` and `engine` clip once more, and `selector` and `optimizer` let the array sum to 1.
     """
 
+    cap = cap if isinstance(cap, Column) else F.lit(float(cap))
+
     def spread(acc: Column, _: Column) -> Column:
         part = ratio(_sum(acc, lambda x: F.greatest(x - cap, F.lit(0.0))), _sum(acc, lambda x: F.when(x < cap, x).otherwise(0.0)))
-        return let(part, lambda p: F.transform(acc, lambda x: F.when(x >= cap, F.lit(float(cap))).otherwise(x + F.coalesce(x * p, F.lit(0.0)))))
+        return let(part, lambda p: F.transform(acc, lambda x: F.when(x >= cap, cap).otherwise(x + F.coalesce(x * p, F.lit(0.0)))))
 
     out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), w, spread)
     if mode != "selector":
-        out = F.transform(out, lambda x: F.least(x, F.lit(float(cap))))
+        out = F.transform(out, lambda x: F.least(x, cap))
     return out if mode == "engine" else let(out, lambda x: let(_sum(x), lambda total: F.transform(x, lambda y: ratio(y, total))))
 
 

@@ -135,6 +135,13 @@ def weighted_scores(scores: DataFrame, weights: DataFrame) -> DataFrame:
     return j.groupBy("date", "code").agg((total / F.nullif(size, F.lit(0.0))).alias("score"))
 
 
+def step_scale(index: DataFrame, long: int, short: int) -> DataFrame:
+    """date, scale: 0 below the mean of `long` rows, one half below that of `short` rows, else 1; 1 up to `long` rows."""
+    w = Window.partitionBy(F.lit(1)).orderBy("date")  # one row per date
+    at, far, near = F.row_number().over(w), rolling(F.avg, F.col("close"), long, w), rolling(F.avg, F.col("close"), short, w)
+    return index.select("date", F.when(at < long + 1, 1.0).when(F.col("close") < far, 0.0).when(F.col("close") < near, 0.5).otherwise(1.0).alias("scale"))
+
+
 def binary_scale(index: DataFrame, n: int, span: int, threshold: float) -> DataFrame:
     """date, scale: 0 below the mean of n rows or where the momentum of `span` rows is under the threshold, else 1; 1 up to n rows."""
     w = Window.partitionBy(F.lit(1)).orderBy("date")  # one row per date

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quantloom.operators import evaluation, rotation
+from quantloom.operators import evaluation, rotation, selector
 from quantloom.operators.windows import pct_change, rolling
 from quantloom.queries_factors import bars_sql, rounded
 from quantloom.queries_returns import IND
@@ -131,7 +131,33 @@ def reversed_scores(spark, sf_dir):
     return rounded(s.select("date", "industry", turned.alias("turned"), instead.alias("instead")))
 
 
-_MORE = (industry_crowding, crowding_filtered, valuation_filtered, valuation_voted, ic_boosted, ic_scored, reversed_scores)
+_SAME = {"strength": 6, "votes": {1: 0.5, 3: 0.3, 6: 0.2}}
+VERSIONS = [
+    selector.Rotation("momentum", 1, 6, 0.4, 0.6, risk=(2, 2), market=(12, 4)),
+    selector.Rotation("voted", 1, 6, 0.4, 0.6, **_SAME, cheap_votes=(0.4, 0.1, 0.2), crowding=(1, 3), weighting="inverse_vol", vol_rows=6, market=(12, 6, -0.01)),
+    selector.Rotation("scored", 3, 6, cheapness=(0.3, 3), by_score=True, turn=(1, "reversal"), weighting="strength", cap=0.101, **_SAME),
+    selector.Rotation("turned", 3, 6, per_industry=1, turn=(1, "sign"), **_SAME),
+]
+
+
+def _rotation_panel(spark, sf_dir):
+    """Monthly codes of nations: a score that small codes lack, and the distance from the mean of three months as reversal."""
+    c, b = F.col("close"), market.bars(spark, sf_dir).join(market.industry(spark, sf_dir), "code")
+    mean = rolling(F.avg, c, 3)
+    return b.select(
+        "date", "code", "industry", "close", "volume", "money", (1 / c).alias("ep"), (1 / F.col("volume")).alias("bp"),
+        F.when(F.col("volume") >= 150, -F.col("volume")).alias("score"), (1 - c / mean).alias("reversal"),
+    )
+
+
+def rotation_books(spark, sf_dir):
+    """Four versions of the selector on the first traded month of each quarter."""
+    p = _rotation_panel(spark, sf_dir)
+    days = p.groupBy(F.date_trunc("quarter", "date")).agg(F.min("date").alias("date"))
+    return rounded(selector.select(p, _index(spark, sf_dir), VERSIONS, days, ["volume", "money"], (24, 6), (24, 6)))
+
+
+_MORE = (rotation_books, industry_crowding, crowding_filtered, valuation_filtered, valuation_voted, ic_boosted, ic_scored, reversed_scores)
 QUERIES = {f.__name__: f for f in (blended_momentum, residual_momentum, equal_votes, weighted_votes, risk_filtered, absolute_scale, *_MORE)}
 
 B = bars_sql()
@@ -176,7 +202,53 @@ FIC = f"""{B}, {INDEX}, {SCALE}, s1 as (select date, code, close / lag(close, 3)
     from (select distinct date from s1) d cross join dy group by 1, 2),
     i as (select date, factor, ic, cast(case when factor = 'mom' then 0.6 else -0.4 end as double) as w, scale from kn join sc using (date))"""
 _WEIGHTED = _vote((0.5, 0.3, 0.2), 0.5)
+_V = lambda k: f"coalesce(cast(m{k} >= 100 as integer), 0)"
+_VOTES = f"0.5 * {_V(1)} + 0.3 * {_V(3)} + 0.2 * {_V(6)}"
+_OVER24 = lambda x: f"case when count({x}) over h >= 6 and {x} > quantile_cont({x}, 0.95) over h then 1 else 0 end"
+_W = "over (partition by version, date)"
+
+
+def _rule(out: str, rows: str, ok: str, order: str, least: str) -> str:
+    """The rows that are ok, or the first in the order where fewer are."""
+    return f"""{out}0 as (select *, count(*) filter (where {ok}) {_W} as n_ok, row_number() over (partition by version, date order by {order} rank, industry) as place from {rows}),
+        {out} as (select * exclude (n_ok, place) from {out}0 where case when n_ok >= {least} then {ok} else place <= {least} end)"""
+
+
+_RULES = f"""{_rule('c1', 'c0', 'risk >= 0', '', 'risk_least')}, {_rule('c2', 'c1', '(triggers is null or crowded < triggers)', 'case when triggers is not null then crowded end,', 'crowd_least')},
+    {_rule('c3', 'c2', '("limit" is null or cheap >= "limit")', 'case when "limit" is not null then -cheap end,', 'cheap_least')}"""
+_CAPS = ", ".join(
+    f"""x{i + 1} as (select * replace (case when weight >= cap then cap else weight + coalesce(weight * sum(greatest(weight - cap, 0)) {_W} / nullif(sum(case when weight < cap then weight end) {_W}, 0), 0) end as weight) from x{i})"""
+    for i in range(10)
+)
 ORACLE = {
+    "rotation_books": f"""with {RS}, {SCALE}, ss as (select date, case when pos < 13 or c is null then 1 when c < a then 0 when c < b then 0.5 else 1 end as scale from
+        (select date, c, row_number() over (order by date) as pos, avg(c) over (order by date rows 11 preceding) as a, avg(c) over (order by date rows 3 preceding) as b from idx)),
+        k0 as (select date, code, industry, close, volume, money, close / lag(close) over w - 1 as p1, close / lag(close, 2) over w - 1 as p2, close / lag(close, 3) over w - 1 as p3, close / lag(close, 6) over w - 1 as p6,
+        case when volume >= 150 then -volume end as score, case when count(*) over w3 = 3 then 1 - close / avg(close) over w3 end as reversal from bars join ind using (code) window w as (partition by code order by date), w3 as (partition by code order by date rows 2 preceding)),
+        k as (select *, 0.4 * p1 + 0.6 * p6 as ma, 0.5 * p3 + 0.5 * p6 as mb, case when count(p1) over w6 > 1 then stddev_samp(p1) over w6 end as vol from k0 window w6 as (partition by code order by date rows 5 preceding)),
+        days as (select min(date) as date from bars group by date_trunc('quarter', date)),
+        x as (select date, industry, avg(volume) as volume, avg(money) as money, avg(1 / close) as ep, avg(1 / volume) as bp from k group by 1, 2),
+        y as (select date, industry, {_OVER24('volume')} + {_OVER24('money')} as crowded, coalesce({_share('ep', 24, 6)}, 0.5) as ep, coalesce({_share('bp', 24, 6)}, 0.5) as bp from x window h as (partition by industry order by date rows 23 preceding)),
+        gg as (select date, industry, avg(ma) as ma, avg(mb) as mb, coalesce(avg(p2), 0) as p2, count(score) as scored from k group by 1, 2),
+        j as (select date, industry, ma, mb, p2, sum(scored) over (partition by date) as scored, crowded, ep, bp, rr, {_VOTES} as vote, sc.scale as s1, ss.scale as s2
+        from gg join days using (date) join y using (date, industry) join r2 using (date, industry) join sc using (date) join ss using (date)),
+        v as (select 'momentum' as version, date, industry, ma as mom, null::double as rr, null::double as vote, p2 as risk, 2 as risk_least, null as triggers, 0 as crowd_least, null::double as "limit", 0 as cheap_least, crowded, ep as cheap, s2 as scale, scored from j
+        union all select 'voted', date, industry, ma, rr, vote + case when s1 < 1 then 0.1 else 0.4 end * (ep - 0.5) + 0.2 * (bp - 0.5), 0, 0, 1, 3, null, 0, crowded, ep, s1, scored from j
+        union all select 'scored', date, industry, mb, rr, vote, 0, 0, null, 0, 0.3, 3, crowded, ep, 1, scored from j
+        union all select 'turned', date, industry, mb, rr, vote, 0, 0, null, 0, null, 0, crowded, ep, 1, scored from j),
+        a1 as (select *, count(rr) {_W} > 0 as any_rr from v),
+        a2 as (select *, case when any_rr then case when rr is not null then row_number() over (partition by version, date order by rr desc nulls last, industry) end
+        when mom is not null then row_number() over (partition by version, date order by mom desc nulls last, industry) end as plain from a1),
+        a3 as (select *, any_rr and coalesce(vote >= 0.5, false) as lead from a2 where plain <= 10),
+        a4 as (select *, count(*) filter (where lead) {_W} as leads, row_number() over (partition by version, date order by lead desc, vote desc nulls last, rr desc nulls last, industry) as lead_at from a3),
+        c0 as (select * from (select *, case when any_rr and leads >= 3 then case when lead then lead_at end else plain end as rank from a4) where rank <= 5), {_RULES},
+        n1 as (select c3.version, c3.date, c3.industry, code, rr, scale, vol, case when version in ('momentum', 'voted') then ma else mb end as m, score, reversal, scored, c3.crowded from c3 join k on k.date = c3.date and k.industry = c3.industry),
+        n2 as (select *, case version when 'scored' then case when crowded >= 1 then coalesce(reversal, case when scored > 0 then score else m end) when scored > 0 then score else m end when 'turned' then case when crowded >= 1 then -m else m end else m end as s from n1 where m is not null),
+        n3 as (select *, count(*) over (partition by version, date, industry) as inside from (select * from n2 qualify row_number() over (partition by version, date, industry order by s desc nulls last, code) <= case when version = 'turned' then 1 else 2 end)),
+        n4 as (select *, case version when 'voted' then 1 / greatest(coalesce(vol, 0.02), 0.01) when 'scored' then case when count(rr) {_W} = count(*) {_W} then rr / inside else 1 end else 1 end as raw from n3),
+        x0 as (select version, date, industry, code, scale, raw / sum(raw) {_W} as weight, case when version = 'scored' then 0.101 else 1.0 end as cap from n4), {_CAPS}
+        select version, date, cast(scale as double) as scale, code, industry, round(weight / sum(weight) {_W} * scale, 6) as weight from x10 where scale > 0
+        union all select distinct version, date, 0.0, null, null, null from x10 where scale <= 0""",
     "blended_momentum": f"""with {B}, m as (select date, code, 0.4 * (close / lag(close) over w - 1) + 0.6 * (close / lag(close, 6) over w - 1) as m from bars window w as (partition by code order by date))
         select date, code, round(lag(m) over (partition by code order by date), 6) as mom from m""",
     "residual_momentum": f"""with {B}, {INDEX}, i as (select date, c / lag(c, 3) over (order by date) - 1 as market from idx),
