@@ -39,11 +39,11 @@ def posix(path: str) -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out

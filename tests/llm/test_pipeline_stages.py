@@ -50,3 +50,48 @@ def test_mixing_meets_targets(spark):
     for s, (size, target) in totals.items():
         assert abs(words[s] - target) <= 0.03 * size, (s, words[s], target)
     assert max(copies.values()) in (2, 3)
+
+
+def brute_roots(texts, size=5):
+    """Smallest index of each text's component by Jaccard 0.8 of word-shingle sets."""
+    sets = []
+    for t in texts:
+        ws = t.lower().split()
+        sets.append({tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)} if len(ws) >= size else {tuple(ws)} if ws else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_equal_brute_force_in_small_blocks(spark, monkeypatch):
+    """Hot shingles cut into many blocks and texts with many partners dealt out give the same components."""
+    monkeypatch.setattr(shingle_join, "BLOCK", 3)
+    monkeypatch.setattr(shingle_join, "PARTNERS", 2)
+    r = random.Random(9)
+    common = prose(50, 40)
+    texts = []
+    for g in range(12):
+        own = common[: 5 * (g % 8)] + prose(60 + g, 60)
+        texts += [" ".join(changed(own, set(r.sample(range(len(own)), r.choice((0, 1, 2, 3)))))) for _ in range(8)]
+    texts += ["", "one", "ONE", "two words", " two  words "]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS).repartition(5)
+    got = {}
+    for row in shingle_join.near_duplicates(df).collect():
+        got.setdefault(row.root, []).append(row.doc_id)
+    want = {}
+    for i, x in enumerate(brute_roots(texts)):
+        want.setdefault(x, []).append(i)
+    assert sorted(map(sorted, got.values())) == sorted(want.values())
+    assert 12 < len(want) < 60
