@@ -2,7 +2,7 @@
 
 Each conversation is formatted once, turn by turn: `<|role|>` text `<|end|>`, with `&`, `<` and `>` escaped in texts and roles, so
 neither can forge a mark. Every assistant turn is an example of its own: its context is the prefix of the formatted conversation before the
-turn, given as a length, and its target is a span. Examples thus share one text instead of copying growing prefixes.
+turn, given as a length, and its loss is a span of that context and the turn. Examples are rows, but share one text instead of copying growing prefixes.
 
 Turns are ordered by (turn, role, text); null turns come first, null text is empty, null role is an empty role. Repeated rows are
 turns each. A null conv_id is one conversation. Turns are joined into parts of bounded size, sorted and streamed: no conversation and
@@ -28,6 +28,11 @@ PART_TYPES = "conv_id long, chunk long, part long, formatted string, spans array
 _SPANS = pa.list_(pa.struct([(n, pa.int64()) for n in ("turn", *SPAN)]))
 PARTS = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("spans", _SPANS)])
 MASKED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("input", pa.string()), ("mask_start", pa.int64()), ("mask_end", pa.int64())])
+EXPANDED_TYPES = "conv_id long, formatted string, turn long, context_chars long, completion string, mask_start long, mask_end long"
+_LONG, _TEXT = pa.int64(), pa.string()
+EXPANDED = pa.schema([
+    ("conv_id", _LONG), ("formatted", _TEXT), ("turn", _LONG), ("context_chars", _LONG), ("completion", _TEXT), ("mask_start", _LONG), ("mask_end", _LONG),
+])
 BACK = pa.schema([
     ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()),
     ("formatted_chars", pa.int64()), ("n_examples", pa.int64()), ("target_chars", pa.int64()),
@@ -109,6 +114,36 @@ def _in_order(formatted: DataFrame) -> DataFrame:
     return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "part").select("conv_id", "formatted", "spans")
 
 
+def expanded(formatted: DataFrame) -> DataFrame:
+    """The formatted parts, each followed by its examples as rows of their own, in the order of the conversation.
+
+    conv_id; of a part: formatted; of an example: turn, context_chars (its context is that prefix of the formatted conversation), completion (the
+    turn that follows the context) and mask_start, mask_end, the place of the loss in context and completion together. Contexts are not copied.
+    """
+
+    def run(batches):
+        held, base = (), 0
+        for b in batches:
+            done = {c: [] for c in EXPANDED.names}
+            for conv, text, spans in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "spans"))):
+                if held != (conv,):
+                    held, base = (conv,), 0
+                rows = [(conv, text, None, None, None, None, None)]
+                for x in spans:
+                    c, end = x["context_chars"], x["target_end"]
+                    rows.append((conv, None, x["turn"], base + c, text[c : end + len(END)], base + x["target_start"], base + end))
+                for row in rows:
+                    for c, v in zip(EXPANDED.names, row):
+                        done[c].append(v)
+                base += len(text)
+                if len(done["conv_id"]) >= PART_ROWS:
+                    yield pa.RecordBatch.from_pydict(done, EXPANDED)
+                    done = {c: [] for c in EXPANDED.names}
+            yield pa.RecordBatch.from_pydict(done, EXPANDED)
+
+    return _in_order(formatted).mapInArrow(run, EXPANDED_TYPES)
+
+
 def masked_examples(formatted: DataFrame) -> DataFrame:
     """conv_id, turn, input, mask_start, mask_end: each example with its whole context; the loss counts in input[mask_start:mask_end].
 
@@ -130,11 +165,13 @@ def masked_examples(formatted: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests per conversation: the turns parsed from the formatted parts, the loss text cut out of them by the examples' spans.
+    """Digests per conversation: the turns parsed from the formatted parts, the loss text taken from the examples, each behind its context.
 
-    The parts of a conversation are streamed in order through running digests; none is kept.
+    Parts and examples of a conversation are streamed in order through running digests; none is kept.
     """
 
+    columns = ("conv_id", "formatted", "context_chars", "completion", "mask_start", "mask_end")
+
     def run(batches):
         held, turns, loss, count = (), None, None, None
         done = {c: [] for c in BACK.names}
@@ -146,26 +183,27 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     done[c].append(x)
 
         for b in batches:
-            for conv, text, spans in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "spans"))):
+            for conv, text, context, completion, start, end in zip(*(b.column(c).to_pylist() for c in columns)):
                 if held != (conv,):
                     close()
                     held, turns, loss = (conv,), hashlib.sha256(), hashlib.sha256()
                     count = dict.fromkeys(("n", "loss", "size", "examples", "target"), 0)
-                count["size"] += len(text)
-                for role, said in TURN_RE.findall(text):
-                    turns.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
-                    count["n"] += 1
-                for x in spans:
-                    target = text[x["target_start"] : x["target_end"]]
-                    said = unescape(target)
-                    loss.update(said.encode())
-                    count["loss"] += len(said)
-                    count["examples"] += 1
-                    count["target"] += len(target)
+                if text is not None:
+                    count["size"] += len(text)
+                    for role, said in TURN_RE.findall(text):
+                        turns.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
+                        count["n"] += 1
+                    continue
+                target = completion[start - context : end - context]
+                said = unescape(target)
+                loss.update(said.encode())
+                count["loss"] += len(said)
+                count["examples"] += 1
+                count["target"] += len(target)
             yield pa.RecordBatch.from_pydict(done, BACK)
             done = {c: [] for c in BACK.names}
         close()
         yield pa.RecordBatch.from_pydict(done, BACK)
 
     types = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, target_chars long"
-    return _in_order(formatted).mapInArrow(run, types)
+    return expanded(formatted).mapInArrow(run, types)

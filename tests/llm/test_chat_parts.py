@@ -32,3 +32,21 @@ def test_parts_stay_bounded(spark):
     texts = sorted(r[3] for r in rows)
     (back,) = chat_format.read_back(parts).collect()
     assert back.n_turns == 3000 and back.loss_sha256 == hashlib.sha256("".join(texts).encode()).hexdigest()
+
+
+def test_query_reads_its_examples(spark, monkeypatch):
+    """Each example is a row with its context's length; op3's loss follows that length."""
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"<{t}" * 90) for t in range(200)]
+    parts = chat_format.chunks(spark.createDataFrame(rows, CONV))
+    out = [r for r in chat_format.expanded(parts).collect()]
+    whole = "".join(r.formatted for r in out if r.formatted is not None)
+    examples = [r for r in out if r.formatted is None]
+    assert [r.turn for r in examples] == list(range(1, 200, 2)) and len(whole) > 2 * chat_format.PART_CHARS
+    for r in examples:
+        full = whole[: r.context_chars] + r.completion
+        assert whole.startswith(full) and len(chat_format.TURN_RE.findall(whole[: r.context_chars])) == r.turn
+        assert chat_format.unescape(full[r.mask_start : r.mask_end]) == f"<{r.turn}" * 90
+    first = chat_format.read_back(parts).first()
+    real = chat_format.expanded
+    monkeypatch.setattr(chat_format, "expanded", lambda f: real(f).withColumn("context_chars", F.col("context_chars") + 1))
+    assert chat_format.read_back(parts).first().loss_sha256 != first.loss_sha256
