@@ -24,7 +24,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of Jaccard 0.8 in 5-word shingles stays: the smallest doc_id, then the smallest text hash; null ids last.
+    """One document of each group linked by op8's fingerprints or by Jaccard 0.8, both of 5-word shingles, stays: the smallest doc_id, then the smallest text hash; null ids last.
 
     Wordless and null texts are one group. Rows that share a doc_id but no group all stay; of equal rows one stays. Other columns pass
     through, whatever their names. An empty table gives an empty one.

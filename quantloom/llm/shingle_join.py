@@ -1,11 +1,12 @@
-"""Components of texts whose sets of word shingles have Jaccard similarity 0.8 or more, without a lost link.
+"""Components of texts that op8 links by their fingerprints, or whose sets of word shingles have Jaccard similarity 0.8 or more.
 
-SimHash anchors carry a radius of 2 bits, and Jaccard 0.8 lies around 10 of 64. So the anchors' links are only the first candidates;
-the others come from a prefix filter: in one order of all shingles, two sets of Jaccard 0.8 share one of the first n - ceil(0.8 n) + 1
-of each. Shingles that are frequent in a sample come last in that order, which changes the cost and never the result.
+SimHash counts repeats: texts that share most of their length are linked by fingerprints within 2 bits, though their sets may differ. But Jaccard 0.8
+lies around 10 of 64 bits, which anchors can't carry, so sets are joined beside by a prefix filter: in one order of all shingles, two sets of Jaccard
+0.8 share one of the first n - ceil(0.8 n) + 1 of each. Shingles that are frequent in a sample come last in that order, which changes the cost and
+never the result.
 
-Round 1 compares each text with the first holder of its prefix shingles and with its nearest anchor links, so a large group of copies
-collapses at linear cost. Round 2 compares the pairs that share a prefix shingle early enough and are not yet in one component. Every candidate is
+Round 1 compares each text with the first holder of its prefix shingles, so a large group of copies collapses at linear cost. Round 2 compares the
+pairs that share a prefix shingle early enough and are in one component neither by fingerprints nor by round 1. Every pair of these rounds is
 confirmed by the exact Jaccard of the two sets (of 64-bit shingle hashes) before it is a link. Texts move to their pairs, not their sets,
 which are larger; a text with many partners is dealt over tasks, and a shingle with many holders meets itself block by block.
 
@@ -143,10 +144,8 @@ def confirmed(pairs: DataFrame, held: DataFrame, size: int = SIZE) -> DataFrame:
     return both.mapInPandas(run, "u long, v long")
 
 
-def first_candidates(texts: DataFrame, post: DataFrame, size: int, bits: int) -> DataFrame:
-    """u, v: each text with the first holder of its prefix shingles, of its fingerprint, and of its smallest anchor link."""
-    sized = (5 * F.col("n") >= 4 * F.col("lead.n")) & (5 * F.col("lead.n") >= 4 * F.col("n"))
-    held = post.where((F.col("lead.node") < F.col("node")) & sized).select(F.col("lead.node").alias("u"), F.col("node").alias("v"))
+def fingerprint_links(texts: DataFrame, size: int, bits: int) -> DataFrame:
+    """u, v: op8's links of the texts, from equal fingerprints to the first of their texts, and between the first texts of fingerprints within `bits`."""
 
     @F.pandas_udf("long")
     def print_of(text: pd.Series) -> pd.Series:
@@ -155,10 +154,18 @@ def first_candidates(texts: DataFrame, post: DataFrame, size: int, bits: int) ->
     fps = materialise(texts.select("node", print_of("text").alias("fp")).distinct())
     first = materialise(fps.groupBy("fp").agg(F.min("node").alias("first")))
     same = salted_left_join(fps, first, ["fp"], F.col("node")).where("first < node").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    near = simhash.links(first.select("fp"), bits).groupBy("v").agg(F.min("u").alias("u"))
     a, b = first.select(F.col("fp").alias("u"), F.col("first").alias("x")), first.select(F.col("fp").alias("v"), F.col("first").alias("y"))
-    near = near.join(a, "u").join(b, "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    return held.union(same).union(near).distinct()
+    near = simhash.links(first.select("fp"), bits).join(a, "u").join(b, "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    out = materialise(same.union(near))
+    forget(fps), forget(first)
+    return out
+
+
+def first_candidates(post: DataFrame) -> DataFrame:
+    """u, v: each text with the first holder of its prefix shingles."""
+    sized = (5 * F.col("n") >= 4 * F.col("lead.n")) & (5 * F.col("lead.n") >= 4 * F.col("n"))
+    held = post.where((F.col("lead.node") < F.col("node")) & sized)
+    return held.select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct()
 
 
 def other_candidates(post: DataFrame, comp: DataFrame) -> DataFrame:
@@ -188,9 +195,15 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, bits: int = simhash.MAX_B
     # Sets that reach Jaccard 0.8 share a prefix shingle, so only the texts in post can be linked.
     need = post.select("node").distinct()
     held = materialise(texts.join(need, "node", "left_semi").dropDuplicates(["node"]), "zstd")
-    one = materialise(confirmed(materialise(first_candidates(texts, post, size, bits)), held, size))
-    two = confirmed(materialise(other_candidates(post, simhash.components(one))), held, size)
-    comp = materialise(simhash.components(one.union(two)))
-    for table in (post, held, one):
+    alike = fingerprint_links(texts, size, bits)
+    pairs = materialise(first_candidates(post))
+    one = materialise(confirmed(pairs, held, size))
+    forget(pairs)
+    pairs = materialise(other_candidates(post, simhash.components(alike.union(one))))
+    two = materialise(confirmed(pairs, held, size))
+    for table in (pairs, post, held):
+        forget(table)
+    comp = materialise(simhash.components(alike.union(one).union(two)))
+    for table in (alike, one, two):
         forget(table)
     return salted_left_join(named, comp, ["node"], F.xxhash64("doc_id")).withColumn("root", F.coalesce("root", "node"))

@@ -95,3 +95,12 @@ def test_near_duplicates_equal_brute_force_in_small_blocks(spark, monkeypatch):
         want.setdefault(x, []).append(i)
     assert sorted(map(sorted, got.values())) == sorted(want.values())
     assert 12 < len(want) < 60
+
+
+def test_fingerprints_link_what_sets_do_not(spark):
+    """A long repeated passage with short ends of its own: Jaccard of the sets is far under 0.8, the fingerprints are within two bits."""
+    body = prose(31, 13) * 60
+    rows = [(i, " ".join(body + prose(40 + i, 12))) for i in range(4)] + [(9, " ".join(prose(50, 200)))]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS)
+    assert len(set(brute_roots([t for _, t in rows]))) == 5
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [0, 9]
