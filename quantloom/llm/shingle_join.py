@@ -7,7 +7,8 @@ never the result.
 
 Round 1 compares each text with the first holder of its prefix shingles, so a large group of copies collapses at linear cost. Round 2 compares the
 pairs that share a prefix shingle early enough and are in one component neither by fingerprints nor by round 1. Every pair of these rounds is
-confirmed by the exact Jaccard of the two sets (of 64-bit shingle hashes) before it is a link. Texts move to their pairs, not their sets,
+confirmed by the exact Jaccard of the two sets (of 64-bit shingle hashes) before it is a link. Most candidates are no pairs, so marks of the sets
+meet first, a bitmap each, and drop those that can't reach 0.8 whatever the texts are. Only then texts move to their pairs, not their sets,
 which are larger; a text with many partners is dealt over tasks, and a shingle with many holders meets itself block by block.
 
 Texts of the same words, ASCII case aside, are one node; wordless and null texts are one node.
@@ -32,6 +33,8 @@ ORDERED = 1_000_000
 #: Holders of a shingle that meet in one task, and partners that one copy of a text meets.
 BLOCK = 1_024
 PARTNERS = 256
+#: Bits of the largest bitmap of marks; larger sets only pass to the exact check more often.
+MARKS = 1 << 15
 #: Sampled shingles seen this often are moved behind the rare ones.
 OFTEN = 3
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -121,19 +124,62 @@ def shared(post: DataFrame) -> DataFrame:
     return rows.where(F.col("lead.node") != F.col("most")).drop("most").distinct()
 
 
-def confirmed(pairs: DataFrame, held: DataFrame, size: int = SIZE) -> DataFrame:
-    """The pairs (u, v) whose sets have Jaccard 0.8 or more; held is node, text. Only the texts of some pair are moved."""
+def marks(g: np.ndarray) -> bytes:
+    """A bitmap of at least four bits per shingle of a set, as far as MARKS allows; its size is a power of two."""
+    m = min(MARKS, max(64, 1 << (4 * len(g) - 1).bit_length())) if len(g) else 64
+    bits = np.zeros(m, np.uint8)
+    bits[g.view(np.uint64) & np.uint64(m - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_reach(a: bytes, n_a: int, b: bytes, n_b: int) -> bool:
+    """Whether sets of these marks and sizes can have Jaccard 0.8: each mark that the other set lacks is a shingle that it lacks."""
+    k = min(len(a), len(b))
+    x, y = (np.bitwise_or.reduce(np.frombuffer(s, np.uint8).reshape(-1, k)) for s in (a, b))
+    common = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+    return 9 * common >= 4 * (n_a + n_b)
+
+
+def marked(held: DataFrame, size: int = SIZE) -> DataFrame:
+    """held plus n and marks of each text's set."""
+
+    @F.pandas_udf("n int, marks binary")
+    def of(text: pd.Series) -> pd.DataFrame:
+        sets = (shingles(t, size) for t in text)
+        return pd.DataFrame([(len(g), marks(g)) for g in sets], columns=["n", "marks"])
+
+    return held.withColumn("of", of("text")).select(*held.columns, "of.*")
+
+
+def met(pairs: DataFrame, held: DataFrame, *what: str) -> DataFrame:
+    """u, v, and the columns `what` of both as c_u and c_v; what u holds is dealt over tasks if it has many partners."""
     degree = pairs.groupBy("u").agg(F.ceil(F.count("*") / PARTNERS).alias("deals"))
     dealt = salted_left_join(pairs, degree, ["u"], F.col("v")).select("u", "v", F.pmod(F.xxhash64("v"), "deals").alias("deal"))
+    side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in what]]
     first = held.join(degree.withColumnRenamed("u", "node"), "node")
-    first = first.select(F.col("node").alias("u"), F.col("text").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
-    both = dealt.join(held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(first, ["u", "deal"]).select("u", "v", "a", "b")
+    first = first.select(*side("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
+    return dealt.join(held.select(*side("v")), "v").join(first, ["u", "deal"]).drop("deal")
+
+
+def possible(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose marks leave Jaccard 0.8 possible; held is node, n, marks."""
+
+    def run(batches):
+        for rows in batches:
+            ok = np.fromiter(map(may_reach, rows["marks_u"], rows["n_u"], rows["marks_v"], rows["n_v"]), bool, len(rows))
+            yield rows.loc[ok, ["u", "v"]]
+
+    return met(pairs, held, "n", "marks").mapInPandas(run, "u long, v long")
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, size: int = SIZE) -> DataFrame:
+    """The pairs (u, v) whose sets have Jaccard 0.8 or more; held is node, text. Only the texts of some pair are moved."""
 
     def run(batches):
         last, mine = None, None
         for rows in batches:
             ok = np.zeros(len(rows), bool)
-            for i, (u, a, b) in enumerate(zip(rows["u"], rows["a"], rows["b"])):
+            for i, (u, a, b) in enumerate(zip(rows["u"], rows["text_u"], rows["text_v"])):
                 if u != last:
                     last, mine = u, shingles(a, size)
                 other = shingles(b, size)
@@ -141,7 +187,16 @@ def confirmed(pairs: DataFrame, held: DataFrame, size: int = SIZE) -> DataFrame:
                 ok[i] = 9 * common >= 4 * (len(mine) + len(other))
             yield rows.loc[ok, ["u", "v"]]
 
-    return both.mapInPandas(run, "u long, v long")
+    return met(pairs, held, "text").mapInPandas(run, "u long, v long")
+
+
+def linked(candidates: DataFrame, held: DataFrame, size: int = SIZE) -> DataFrame:
+    """The candidates (u, v) that are links, written; held is node, text, n, marks."""
+    pairs = materialise(candidates)
+    left = materialise(possible(pairs, held))
+    out = materialise(confirmed(left, held, size))
+    forget(pairs), forget(left)
+    return out
 
 
 def fingerprint_links(texts: DataFrame, size: int, bits: int) -> DataFrame:
@@ -194,14 +249,11 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, bits: int = simhash.MAX_B
     post = materialise(shared(prefixes(texts, size)))
     # Sets that reach Jaccard 0.8 share a prefix shingle, so only the texts in post can be linked.
     need = post.select("node").distinct()
-    held = materialise(texts.join(need, "node", "left_semi").dropDuplicates(["node"]), "zstd")
+    held = materialise(marked(texts.join(need, "node", "left_semi").dropDuplicates(["node"]), size), "zstd")
     alike = fingerprint_links(texts, size, bits)
-    pairs = materialise(first_candidates(post))
-    one = materialise(confirmed(pairs, held, size))
-    forget(pairs)
-    pairs = materialise(other_candidates(post, simhash.components(alike.union(one))))
-    two = materialise(confirmed(pairs, held, size))
-    for table in (pairs, post, held):
+    one = linked(first_candidates(post), held, size)
+    two = linked(other_candidates(post, simhash.components(alike.union(one))), held, size)
+    for table in (post, held):
         forget(table)
     comp = materialise(simhash.components(alike.union(one).union(two)))
     for table in (alike, one, two):

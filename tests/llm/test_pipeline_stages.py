@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from quantloom.llm import apportion, shingle_join
 
@@ -104,3 +106,34 @@ def test_fingerprints_link_what_sets_do_not(spark):
     df = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS)
     assert len(set(brute_roots([t for _, t in rows]))) == 5
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [0, 9]
+
+
+def test_texts_that_share_little_do_not_meet(spark, monkeypatch):
+    """Pairs that share a prefix shingle but not enough are dropped by their marks, before any text is moved for them."""
+    seen, check = [], shingle_join.confirmed
+    monkeypatch.setattr(shingle_join, "confirmed", lambda pairs, *a: seen.append(pairs.count()) or check(pairs, *a))
+    texts = []
+    for g in range(20):
+        own = prose(200 + g, 60)
+        texts += [" ".join(own + prose(300 + 2 * g + i, 60)) for i in (0, 1)]
+    texts.append(texts[0] + " end")
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    root = {r.doc_id: r.root for r in shingle_join.near_duplicates(df).collect()}
+    assert root[0] == root[40] and len(set(root.values())) == 40
+    assert sum(seen) <= 2
+
+
+def test_marks_lose_no_pair(monkeypatch):
+    """Sets of Jaccard 0.8 may reach it by their marks, whatever the sizes of their bitmaps, also where those are full."""
+    r = np.random.default_rng(7)
+    for most in (64, 1 << 15):
+        monkeypatch.setattr(shingle_join, "MARKS", most)
+        for n in (1, 2, 9, 15, 16, 17, 127, 128, 130, 1000):
+            for lost_a, lost_b in ((0, 0), (n // 9, n // 9), (n // 4, 0), (0, n // 5), (n // 2, n // 2)):
+                every = r.integers(-(2**63), 2**63 - 1, n + lost_a + lost_b)
+                a, b = np.unique(every[: n + lost_a]), np.unique(np.r_[every[:n], every[n + lost_a :]])
+                reaches = 5 * n >= 4 * (n + lost_a + lost_b)
+                may = shingle_join.may_reach(shingle_join.marks(a), len(a), shingle_join.marks(b), len(b))
+                assert may or not reaches
+                if most > 64 and n == 1000 and lost_a == lost_b == 500:
+                    assert not may
