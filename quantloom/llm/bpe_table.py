@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
@@ -75,13 +75,26 @@ def _counts(batches):
             yield pa.RecordBatch.from_arrays([c.field("values"), c.field("counts")], ["word", "n"])
 
 
+def _with_ids(path: str):
+    """word, ids of each word."""
+
+    def run(batches):
+        tok = _tokenizer(path)
+        for b in batches:
+            ids = pa.array(_encode(tok, b.column("word").to_pylist()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("word"), ids], ["word", "ids"])
+
+    return run
+
+
 def head_table(docs: DataFrame, path: str, text: str, rows: int) -> pa.Table:
-    """word, ids of the words that the sample repeats, the most frequent first; at most HEAD_WORDS."""
+    """word, ids of the words that the sample repeats, the most frequent first; at most HEAD_WORDS. A task encodes them, the driver holds no tokenizer."""
     some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(max(1, rows))) < SAMPLE_DOCS).select(F.col(text).alias("text"))
     counts = some.mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = counts.where((F.col("n") > 1) & (F.octet_length("word") <= HEAD_BYTES))
-    words = counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word").toArrow().column(0).to_pylist()
-    return pa.table({"word": pa.array(words, pa.string()), "ids": pa.array(_encode(_tokenizer(path), words), pa.list_(pa.int32()))})
+    words = counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word")
+    head = words.mapInArrow(_with_ids(path), "word string, ids array<int>").toArrow()
+    return head.cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))]))
 
 
 def squeeze(raw: bytes) -> bytes:
@@ -211,16 +224,21 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = Fal
     tail = dealt.groupBy("block").applyInArrow(_tail_words(send(head), blocks), "bucket int, block int, words binary")
     table = tail.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoded_words(path), "block int, words binary, ids binary")
     made = [row_type, StructField("ids", ArrayType(IntegerType()))] + [StructField("decoded", StringType())] * with_decoded
-    shared = send((head, pieces(path) if with_decoded else None))
+    shared = send((head, pieces(docs.sparkSession, path) if with_decoded else None))
     both = dealt.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_assembled(shared, with_decoded), StructType(made))
     named = [F.col("ids").alias(out)] + [F.col("decoded").alias(back)] * with_decoded
     return both.select(*[F.col("row").getField(c).alias(c) for c in kept], *named)
 
 
-def pieces(path: str) -> pa.Array:
-    """The id-to-piece table, ordered by id."""
-    tok = _tokenizer(path)
-    return pa.array([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())], pa.string())
+def pieces(spark: SparkSession, path: str) -> pa.Array:
+    """The id-to-piece table, ordered by id; a task reads it from the tokenizer."""
+
+    def run(_):
+        tok = _tokenizer(path)
+        yield pa.RecordBatch.from_arrays([pa.array([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())], pa.string())], ["piece"])
+
+    found = spark.range(1, numPartitions=1).mapInArrow(run, "piece string").toArrow().column("piece")
+    return found.cast(pa.string()).combine_chunks()
 
 
 def texts_of(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
@@ -231,7 +249,7 @@ def texts_of(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """encoded plus decoded. The id-to-piece table is bounded by the vocabulary, so every task holds it and takes pieces by id."""
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces(path))
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces(encoded.sparkSession, path))
 
     @F.arrow_udf("string")
     def text_of(x: pa.Array) -> pa.Array:

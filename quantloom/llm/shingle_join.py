@@ -80,8 +80,8 @@ def frequent(texts: DataFrame, size: int = SIZE):
         return pd.Series([shingles(t, size) for t in text], dtype=object)
 
     seen = some.select(F.explode(grams("text")).alias("g")).groupBy("g").count().where(F.col("count") >= OFTEN)
-    c = seen.orderBy(F.desc("count"), "g").limit(ORDERED).toPandas().sort_values("g")
-    return c["g"].to_numpy(np.int64), c["count"].to_numpy(np.int64)
+    c = seen.orderBy(F.desc("count"), "g").limit(ORDERED).orderBy("g").toArrow()  # sorted by tasks, and no row of it is an object in the driver
+    return c["g"].to_numpy(), c["count"].to_numpy()
 
 
 def prefixes(texts: DataFrame, size: int = SIZE) -> DataFrame:
