@@ -8,6 +8,8 @@ Texts are split into words by Spark's tasks and every distinct word is encoded o
   in packs to buckets by a hash of the word, where each distinct word is encoded once, and the packs go back with their ids to the blocks
   that hold them, where ids are put together by position.
 
+Tasks hold words and ids as Arrow arrays and go through a block's texts a part of about PART_BYTES at a time.
+
 Both ways always run; the sample changes their shares and never the ids. The number of blocks grows with the data, and a group of copies
 is dealt over all of them; only rows equal in all columns share a block.
 
@@ -18,8 +20,9 @@ encoded. An empty table gives an empty result. Other columns pass through, whate
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,46 +34,56 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, St
 from quantloom.llm.common import private
 
 #: The characters with Unicode property White_Space.
-WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Letters before and marks after a cut that is not at white space.
-LETTER, MARKS = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"), ",.;:!?"
+WHITE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Letters before and marks after a cut that is not at white space: marks at the end of a word are a word of their own.
+LETTER, MARKS = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", "[,.;:!?]"
 HEAD_WORDS = 1 << 17
 HEAD_BYTES = 256
 SAMPLE_DOCS = 10_000
 BLOCK_BYTES = 8 << 20
+PART_BYTES = 1 << 20
 
 
-def cut(word: str) -> tuple[str, ...]:
-    """A run without white space, and the marks at its end as a word of their own."""
-    if word and word[-1] in MARKS:
-        stem = word.rstrip(MARKS)
-        if stem and LETTER.match(stem[-1]):
-            return stem, word[len(stem) :]
-    return (word,) if word else ()
-
-
-def split_words(text: str | None) -> list[str]:
-    return [p for w in WHITE.split(text or "") for p in cut(w)]
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many each text has."""
+    marked = pc.replace_substring_regex(texts.fill_null(""), f"({LETTER})({MARKS}+)({WHITE}|$)", "\\1\n\\2\\3")
+    lists = pc.split_pattern_regex(marked, f"{WHITE}+")
+    words, text = lists.flatten(), pc.list_parent_indices(lists)
+    some = pc.not_equal(words, "")
+    return words.filter(some), np.bincount(text.filter(some), minlength=len(texts))
 
 
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would keep memory of its own
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
     return tok
 
 
-def _encode(tok, words: list[str]) -> list[list[int]]:
-    return [e.ids for i in range(0, len(words), 2000) for e in tok.encode_batch(words[i : i + 2000], add_special_tokens=False)]
+def _encode(tok, words: pa.Array) -> pa.ListArray:
+    parts = [pa.array([], pa.list_(pa.int32()))]
+    for i in range(0, len(words), 2000):
+        made = tok.encode_batch_fast(words.slice(i, 2000).to_pylist(), add_special_tokens=False)
+        parts.append(pa.array([e.ids for e in made], pa.list_(pa.int32())))
+    return pa.concat_arrays(parts)
+
+
+def _taken(ids: pa.ListArray, words: pa.Array, of: pa.Array) -> pa.ListArray:
+    """The ids of each of the words `of`; ids belong to `words`."""
+    place = pc.index_in(of, words)
+    if place.null_count:
+        raise KeyError(of.filter(place.is_null())[0].as_py())
+    return ids.take(place)
 
 
 def _counts(batches):
     """word, n of each batch's texts."""
     for b in batches:
-        for part in range(0, b.num_rows, 1000):
-            words = pa.array([w for t in b.column("text").slice(part, 1000).to_pylist() for w in split_words(t)], pa.string())
+        for part in range(0, b.num_rows, 250):
+            words = split_words(b.column("text").slice(part, 250))[0]
             c = words.value_counts()
             yield pa.RecordBatch.from_arrays([c.field("values"), c.field("counts")], ["word", "n"])
 
@@ -81,8 +94,7 @@ def _with_ids(path: str):
     def run(batches):
         tok = _tokenizer(path)
         for b in batches:
-            ids = pa.array(_encode(tok, b.column("word").to_pylist()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("word"), ids], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("word"), _encode(tok, b.column("word"))], ["word", "ids"])
 
     return run
 
@@ -97,33 +109,52 @@ def head_table(docs: DataFrame, path: str, text: str, rows: int) -> pa.Table:
     return head.cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))]))
 
 
-def squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+def squeeze(raw) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if len(raw) else b""
 
 
 def expand(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if data else b""
 
 
+def _lines(data: bytes) -> pa.Array:
+    """The words of a pack."""
+    return pc.split_pattern(pa.array([expand(data)], pa.binary()).cast(pa.string()), "\n").flatten()
+
+
+def _parts(texts: pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]:
+    """The position of a part's first text, and its texts."""
+    at, part, size = 0, [], 0
+    for text in texts:
+        part.append(expand(text.as_py()))
+        size += len(part[-1])
+        if size >= PART_BYTES:
+            yield at, pa.array(part, pa.binary()).cast(pa.string())
+            at, part, size = at + len(part), [], 0
+    if part:
+        yield at, pa.array(part, pa.binary()).cast(pa.string())
+
+
 def _packed(batches):
     """block, row, text: the text compressed for the shuffle."""
     for b in batches:
-        text = [squeeze((t or "").encode()) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("block"), b.column("row"), pa.array(text, pa.binary())], ["block", "row", "text"])
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            text = [squeeze(t.as_buffer() or b"") for t in part.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("row"), pa.array(text, pa.binary())], ["block", "row", "text"])
 
 
 def _tail_words(shared, buckets: int):
     """bucket, block, words: per bucket, the sorted distinct words of one block that the head lacks."""
-    head: set = set()
 
     def run(t: pa.Table) -> pa.Table:
-        if not head:
-            head.update(shared.value.column("word").to_pylist())
-        runs: set = set()
-        for text in t.column("text"):
-            runs.update(WHITE.split(expand(text.as_py()).decode()))
+        head, tail = shared.value.column("word"), []
+        for _, texts in _parts(t.column("text")):
+            words = split_words(texts)[0].unique()
+            tail.append(words.filter(pc.invert(pc.is_in(words, head))))
+        words = pa.chunked_array(tail, pa.string()).unique()
         found: dict = {}
-        for w in sorted({p for w in runs if w not in head for p in cut(w)} - head):
+        for w in words.take(pc.array_sort_indices(words)).to_pylist():
             found.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
         block = t.column("block")[0].as_py()
         rows = {"bucket": list(found), "block": [block] * len(found), "words": [squeeze("\n".join(ws).encode()) for ws in found.values()]}
@@ -142,14 +173,13 @@ def _encoded_words(path: str):
         tok, held, rows = _tokenizer(path), None, []
 
         def close():
-            lists = [expand(x).decode().split("\n") for _, x in rows]
-            words = sorted(set().union(*lists))
-            known = dict(zip(words, _encode(tok, words)))
-            data = []
+            lists = [_lines(x) for _, x in rows]
+            words = pa.chunked_array(lists).unique()
+            known, data = _encode(tok, words), []
             for ws in lists:
-                ids = [known[w] for w in ws]
-                flat = np.fromiter((i for x in ids for i in x), "<u4")
-                data.append(squeeze(np.array([len(x) for x in ids], "<u4").tobytes() + flat.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()))
+                ids = _taken(known, words, ws)
+                lens, flat = np.diff(ids.offsets.to_numpy()).astype("<u4"), ids.flatten().to_numpy().astype("<u4")
+                data.append(squeeze(lens.tobytes() + flat.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()))
             out = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array(data, pa.binary())]
             return pa.RecordBatch.from_arrays(out, ["block", "words", "ids"])
 
@@ -170,35 +200,23 @@ def _assembled(shared, with_text: bool):
     """row, ids (and decoded) of one block: ids by position, from the head and the block's tail words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, table, pieces = shared.value[0].column("word").to_pylist(), shared.value[0].column("ids").combine_chunks(), shared.value[1]
-        lens, flat = [np.diff(table.offsets.to_numpy())], [table.flatten().to_numpy()]
-        for ws, data in zip(right.column("words").to_pylist(), right.column("ids").to_pylist()) if right.num_rows else ():
-            ws, data = expand(ws).decode().split("\n"), expand(data)
-            words += ws
-            lens.append(np.frombuffer(data, "<u4", len(ws)).astype(np.int32))
-            flat.append(np.frombuffer(data, np.uint8, offset=4 * len(ws)).reshape(-1, 3).astype(np.int32) @ np.array([1, 1 << 8, 1 << 16], np.int32))
-        place = dict(zip(words, range(len(words))))
-        del words
-        lens, flat = np.concatenate(lens), np.concatenate(flat)
-        starts = (np.cumsum(lens, dtype=np.int64) - lens).astype(np.int32)
-        known: dict = {}
-        code, at = [], [0]
-        for text in left.column("text"):
-            one: list = []
-            for w in WHITE.split(expand(text.as_py()).decode()):
-                found = known.get(w)
-                if found is None:
-                    found = known[w] = tuple(place[p] for p in cut(w))
-                one.extend(found)
-            code.append(np.array(one, np.int32))
-            at.append(at[-1] + len(one))
-        del place, known
-        code = np.concatenate(code)
-        size = lens[code]
-        until = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        ids = flat[np.repeat(starts[code] - until[:-1], size) + np.arange(until[-1], dtype=np.int32)]
-        out = {"row": left.column("row"), "ids": pa.ListArray.from_arrays(pa.array(until[at]), pa.array(ids, pa.int32()))}
-        return pa.table(out | ({"decoded": texts_of(out["ids"], pieces)} if with_text else {}))
+        head, pieces = shared.value
+        words, known = head.column("word").chunks, head.column("ids").chunks
+        for pack, data in zip(right.column("words").to_pylist(), right.column("ids").to_pylist()) if right.num_rows else ():
+            words.append(_lines(pack))
+            n, data = len(words[-1]), expand(data)
+            lens = np.frombuffer(data, "<u4", n)
+            flat = np.frombuffer(data, np.uint8, offset=4 * n).reshape(-1, 3).astype(np.int32) @ np.array([1, 1 << 8, 1 << 16], np.int32)
+            known.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(flat, pa.int32())))
+        words, known = pa.concat_arrays([pa.array([], pa.string()), *words]), pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *known])
+        out = []
+        for at, texts in _parts(left.column("text")):
+            found, counts = split_words(texts)
+            got = _taken(known, words, found)
+            until = got.offsets.take(pa.array(np.concatenate([[0], np.cumsum(counts)])))
+            one = {"row": left.column("row").slice(at, len(texts)), "ids": pa.ListArray.from_arrays(until, got.flatten())}
+            out.append(pa.table(one | ({"decoded": texts_of(one["ids"], pieces)} if with_text else {})))
+        return pa.concat_tables(out)
 
     return run
 
